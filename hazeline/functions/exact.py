@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VALUE_TYPE = "decimal(18,2)"
+VALUE_SCALE = 2
 
 
-def exact(c: Column) -> Column:
-    return c.cast(VALUE_TYPE)
+def exact(c: Column, scale: int = VALUE_SCALE) -> Column:
+    return c.cast(f"decimal(18,{scale})")
 
 
 def _d(c: Column) -> Column:

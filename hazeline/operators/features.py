@@ -20,6 +20,7 @@ from hazeline.schema import (
     PM_LAGS,
     PM_WINDOWS,
     TARGETS,
+    one_row,
     require_columns,
 )
 
@@ -166,4 +167,4 @@ def feature_summary(source: DataFrame, features: DataFrame) -> DataFrame:
     """W24 summary: rows in and out, cities, feature count."""
     counted = features.agg(F.count("*").alias("output_rows"), F.count_distinct("city").alias("cities"))
     total = source.agg(F.count("*").alias("input_rows"))
-    return total.join(counted, F.lit(True)).withColumn("feature_count", F.lit(len(FEATURES)))
+    return one_row(total, counted).withColumn("feature_count", F.lit(len(FEATURES)))

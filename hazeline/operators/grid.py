@@ -96,6 +96,7 @@ def continuity(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     t = F.col(ts)
     per_hour = df.groupBy("city", t.alias("_t")).agg(F.count("*").alias("_n"))
     span = (epoch_seconds(F.max("_t")) - epoch_seconds(F.min("_t"))) / F.lit(3600.0) + 1
+    offset = F.pmod(epoch_seconds(F.col("_t")), F.lit(3600))
     return per_hour.groupBy("city").agg(
         F.sum("_n").alias("rows"),
         F.count("*").alias("distinct_hours"),
@@ -104,7 +105,7 @@ def continuity(df: DataFrame, ts: str = "timestamp") -> DataFrame:
         (
             (F.count("*") == F.sum("_n"))
             & (span == F.count("*"))
-            & (F.count_distinct(F.pmod(epoch_seconds(F.col("_t")), F.lit(3600))) == 1)
+            & (F.min(offset) == F.max(offset))
         ).alias("continuous"),
     )
 

@@ -130,6 +130,14 @@ def is_ntz(df: DataFrame, name: str = "timestamp") -> bool:
     return isinstance(df.schema[name].dataType, T.TimestampNTZType)
 
 
+def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Put one-row frames with different columns side by side, without a join."""
+    stacked = first
+    for other in others:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def epoch_seconds(col: Column) -> Column:
     """Whole seconds since 1970 for TIMESTAMP and TIMESTAMP_NTZ alike (session zone UTC)."""
     return F.unix_seconds(col.cast("timestamp"))
