@@ -164,9 +164,9 @@ def city_similarity(df: DataFrame, pairs: DataFrame | None = None, columns: list
     return every.join(found, ["city_a", "city_b", "pollutant"], "left").fillna(0, subset=["matched_rows"])
 
 
-def suspicious_pairs(similarity: DataFrame) -> DataFrame:
+def suspicious_pairs(similarity: DataFrame, correlation: float = 0.999, near_pct: float = 99.0) -> DataFrame:
     """Near-duplicate series."""
-    return similarity.where((F.col("correlation") >= 0.999) | (F.col("near_match_pct") >= 99.0))
+    return similarity.where((F.col("correlation") >= correlation) | (F.col("near_match_pct") >= near_pct))
 
 
 def named_pair(similarity: DataFrame, a: str, b: str) -> DataFrame:

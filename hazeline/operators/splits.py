@@ -7,9 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.operators.quality import duplicate_keys, is_missing
-from hazeline.operators.relational import key_differences, overlap_count
-from hazeline.schema import FEATURES, KEYS, TARGETS, epoch_seconds, missing_columns, one_row, require_columns
+from hazeline.operators.quality import is_missing
+from hazeline.schema import FEATURES, KEYS, TARGETS, epoch_seconds, missing_columns, require_columns
 
 PURGE_HOURS = 72
 
@@ -25,24 +24,28 @@ WALK_FORWARD = [
 def cut_timestamps(df: DataFrame, fractions: list[float]) -> list[datetime]:
     """The timestamp at position floor(n * fraction) among the n distinct timestamps.
 
-    Distinct times are counted per day, the day holding each position is found among the day counts, and only that day
-    is ordered; no task orders the whole history. The few cut points go to the driver because they become filters.
+    Distinct times are counted per day, the days holding the positions are found among the day counts, and only those
+    days are ordered; no task orders the whole history. The few cut points go to the driver because they become filters.
     """
     times = df.select("timestamp").distinct().withColumn("_day", F.to_date("timestamp"))
-    days = times.groupBy("_day").agg(F.count("*").alias("_n"))
     # One row per calendar day: a bounded table, ordered in one task.
-    running = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    days = days.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    total = days.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    if not total:
+    by_day = Window.orderBy("_day")
+    upto = F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    days = times.groupBy("_day").agg(F.count("*").alias("_n")).select(
+        "_day", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), total.alias("_total"))
+    positions = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.floor(F.col("_total") * F.lit(float(f))).alias("at"))
+        for i, f in enumerate(fractions)
+    ])
+    here = F.filter(positions, lambda p: (p["at"] >= F.col("_before")) & (p["at"] < F.col("_upto")))
+    wanted = days.select("_day", "_before", F.explode(here).alias("_p"))
+    rank = F.row_number().over(Window.partitionBy("_p.i").orderBy("timestamp"))
+    found = times.join(F.broadcast(wanted), "_day").withColumn("_r", rank)
+    hits = found.where(F.col("_r") == F.col("_p.at") - F.col("_before") + 1).select("_p.i", "timestamp").collect()
+    if len(hits) != len(fractions):
         raise ValueError("Input dataframe cannot be empty.")
-    cuts = []
-    for position in [int(total * f) for f in fractions]:
-        day = days.where((F.col("_before") <= position) & (position < F.col("_upto"))).first()
-        rank = F.row_number().over(Window.partitionBy("_day").orderBy("timestamp"))
-        inside = times.where(F.col("_day") == F.lit(day["_day"])).withColumn("_r", rank)
-        cuts.append(inside.where(F.col("_r") == position - day["_before"] + 1).first()["timestamp"])
-    return cuts
+    return [r["timestamp"] for r in sorted(hits, key=lambda r: r["i"])]
 
 
 def purged_split(
@@ -140,26 +143,49 @@ def split_bundle(
     if absent:
         raise ValueError(f"split is missing features: {', '.join(absent)}")
 
-    def side(df, p):
+    def tagged(df, side):
         cells = sum([is_missing(df, c).cast("int") for c in features], F.lit(0))
         targets = sum([is_missing(df, c).cast("int") for c in TARGETS], F.lit(0))
-        return df.agg(
-            F.count("*").alias(f"{p}_rows"),
-            F.count_distinct("city").alias(f"{p}_cities"),
-            F.min("timestamp").alias(f"{p}_start"),
-            F.max("timestamp").alias(f"{p}_end"),
-            F.sum(cells).alias(f"{p}_missing_features"),
-            F.sum(targets).alias(f"{p}_missing_targets"),
-        )
-
-    out = one_row(
-        side(train, "train"),
-        side(evaluation, "evaluation"),
-        duplicate_keys(train, KEYS).withColumnRenamed("duplicates", "train_duplicates"),
-        duplicate_keys(evaluation, KEYS).withColumnRenamed("duplicates", "evaluation_duplicates"),
-        key_differences(train, evaluation).agg(F.count("*").alias("city_differences")),
-        overlap_count(train, evaluation),
+        return df.select(*KEYS, cells.alias("_f"), targets.alias("_t"), F.lit(side).alias("_side"))
+
+    # One pass: rows per key and side, then per city, then the totals.
+    sides = {"train": 0, "evaluation": 1}
+    both = tagged(train, 0).unionByName(tagged(evaluation, 1))
+    per_key = both.groupBy(*KEYS).agg(
+        *[
+            F.struct(
+                F.count_if(F.col("_side") == i).alias("n"),
+                F.coalesce(F.sum(F.when(F.col("_side") == i, F.col("_f"))), F.lit(0)).alias("f"),
+                F.coalesce(F.sum(F.when(F.col("_side") == i, F.col("_t"))), F.lit(0)).alias("t"),
+            ).alias(p)
+            for p, i in sides.items()
+        ]
     )
+    per_city = per_key.groupBy("city").agg(
+        *[
+            F.struct(
+                F.sum(f"{p}.n").alias("n"), F.sum(f"{p}.f").alias("f"), F.sum(f"{p}.t").alias("t"),
+                F.sum(F.greatest(F.col(f"{p}.n") - 1, F.lit(0))).alias("repeats"),
+                F.min(F.when(F.col(f"{p}.n") > 0, F.col("timestamp"))).alias("start"),
+                F.max(F.when(F.col(f"{p}.n") > 0, F.col("timestamp"))).alias("end"),
+            ).alias(p)
+            for p in sides
+        ],
+        F.count_if((F.col("train.n") > 0) & (F.col("evaluation.n") > 0)).alias("overlap"),
+    )
+    totals = []
+    for p in sides:
+        totals += [
+            F.sum(f"{p}.n").alias(f"{p}_rows"),
+            F.count_if(F.col(f"{p}.n") > 0).alias(f"{p}_cities"),
+            F.min(f"{p}.start").alias(f"{p}_start"),
+            F.max(f"{p}.end").alias(f"{p}_end"),
+            F.sum(f"{p}.f").alias(f"{p}_missing_features"),
+            F.sum(f"{p}.t").alias(f"{p}_missing_targets"),
+            F.sum(f"{p}.repeats").alias(f"{p}_duplicates"),
+        ]
+    one_sided = (F.col("train.n") > 0) != (F.col("evaluation.n") > 0)
+    out = per_city.agg(*totals, F.count_if(one_sided).alias("city_differences"), F.sum("overlap").alias("overlap"))
     gap = (epoch_seconds(F.col("evaluation_start")) - epoch_seconds(F.col("train_end"))) / F.lit(3600.0)
     out = out.withColumn("gap_hours", gap)
     ok = (F.col("train_rows") > 0) & (F.col("evaluation_rows") > 0) & (F.col("gap_hours") >= minimum_gap_hours)
