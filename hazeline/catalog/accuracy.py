@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hazeline.catalog import twin as S
 from hazeline.catalog.inputs import feature_panel, predictions, target_panel
 from hazeline.catalog.registry import query
-from hazeline.catalog.tables import FOLD_SQL, FOLDS
+from hazeline.catalog.tables import FOLD_TABLE, FOLDS
 from hazeline.operators import evaluate as E
 from hazeline.operators.splits import walk_forward
 from hazeline.schema import CATEGORY_ORDER
@@ -79,7 +79,7 @@ def fold_metrics(spark, folder):
     return E.metrics(long, ["fold", "horizon_hours", "model"]).withColumn("fit_seconds", F.lit(0.0))
 
 
-_FOLDS = f"""{FOLD_SQL.split('),')[0]}),
+_FOLDS = f"""{FOLD_TABLE},
 fold_rows AS (SELECT f.fold, x.* FROM features x JOIN folds f ON x.timestamp BETWEEN f.a AND f.b WHERE f.role = 'validation'),
 fold_long AS ({' UNION ALL '.join(f"SELECT fold, {h} AS horizon_hours, '{m}' AS model, target_aqi_{h}h::DOUBLE AS y_true, {c}::DOUBLE AS prediction FROM fold_rows"
     for h in (24, 48, 72) for m, c in (('persistence', 'aqi_current'), ('mean_24h', 'aqi_rolling_mean_24h'), ('mean_12h', 'aqi_rolling_mean_12h')))}),
@@ -135,7 +135,7 @@ def common_rows(spark, folder):
 
 
 @query("e11_paired_comparison", f"""
-WITH both AS (SELECT city, timestamp, horizon_hours FROM predictions GROUP BY ALL HAVING count(DISTINCT model) = 2)
-SELECT horizon_hours, model, {_METRICS} FROM predictions JOIN both USING (city, timestamp, horizon_hours) GROUP BY horizon_hours, model""", _R)
+WITH shared AS (SELECT city, timestamp, horizon_hours FROM predictions GROUP BY ALL HAVING count(DISTINCT model) = 2)
+SELECT horizon_hours, model, {_METRICS} FROM predictions JOIN shared USING (city, timestamp, horizon_hours) GROUP BY horizon_hours, model""", _R)
 def paired(spark, folder):
     return E.paired_comparison(predictions(spark, folder), ["persistence", "mean_24h"])

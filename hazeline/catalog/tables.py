@@ -340,9 +340,10 @@ def split_summary(spark, folder):
 FOLDS = P.expanding_folds(
     [datetime(2024, 1, 15), datetime(2024, 1, 22)], datetime(2024, 1, 1), datetime(2024, 1, 30, 23))
 
-FOLD_SQL = "folds AS (SELECT * FROM (VALUES " + ", ".join(
+FOLD_TABLE = "folds AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', 'train', TIMESTAMP '{a}', TIMESTAMP '{b}'), ('{n}', 'validation', TIMESTAMP '{c}', TIMESTAMP '{d}')"
-    for n, a, b, c, d in FOLDS) + """) t(fold, role, a, b)),
+    for n, a, b, c, d in FOLDS) + ") t(fold, role, a, b))"
+FOLD_SQL = FOLD_TABLE + """,
 labelled AS (SELECT f.fold, f.role, t.* FROM targets t JOIN folds f ON t.timestamp BETWEEN f.a AND f.b)"""
 
 
@@ -368,7 +369,7 @@ _CC = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, *TARGETS])
 
 
 @query("p5_split_bundle", f"""
-WITH c AS (SELECT * FROM features WHERE {_CC}),
+WITH c AS MATERIALIZED (SELECT city, timestamp FROM features WHERE {_CC}),
 a AS (SELECT * FROM c WHERE timestamp BETWEEN TIMESTAMP '{FOLDS[0][1]}' AND TIMESTAMP '{FOLDS[0][2]}'),
 b AS (SELECT * FROM c WHERE timestamp BETWEEN TIMESTAMP '{FOLDS[0][3]}' AND TIMESTAMP '{FOLDS[0][4]}')
 SELECT (SELECT count(*) FROM a) AS train_rows, (SELECT count(DISTINCT city) FROM a) AS train_cities, (SELECT min(timestamp) FROM a) AS train_start,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hazeline.functions import aqi
 from hazeline.operators.quantiles import exact_quantiles
-from hazeline.schema import CATEGORY_ORDER, HORIZONS, KEYS, TARGETS
+from hazeline.schema import CATEGORY_ORDER, HORIZONS, KEYS, TARGETS, all_present
 
 TOLERANCES = (5, 10, 20, 30)
 
@@ -149,7 +149,7 @@ def common_rows(df: DataFrame, models: list[str]) -> DataFrame:
         (F.max("y_true") - F.min("y_true")).alias("target_spread"),
         *[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(f"{m}_prediction") for m in models],
     )
-    return wide.dropna(subset=[f"{m}_prediction" for m in models])
+    return wide.where(all_present([f"{m}_prediction" for m in models]))
 
 
 def paired_comparison(df: DataFrame, models: list[str], by: list[str] = ("horizon_hours",)) -> DataFrame:

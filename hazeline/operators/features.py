@@ -20,6 +20,7 @@ from hazeline.schema import (
     PM_LAGS,
     PM_WINDOWS,
     TARGETS,
+    all_present,
     one_row,
     require_columns,
 )
@@ -153,7 +154,7 @@ def model_projection(df: DataFrame, *extra: str) -> DataFrame:
 
 def complete_rows(df: DataFrame) -> DataFrame:
     """Rows with every feature and every target."""
-    return df.dropna(subset=[*FEATURES, *TARGETS])
+    return df.where(all_present([*FEATURES, *TARGETS]))
 
 
 def latest_per_city(df: DataFrame) -> DataFrame:

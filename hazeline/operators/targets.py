@@ -16,7 +16,7 @@ from hazeline.operators.grid import (
     require_continuous,
     with_halo,
 )
-from hazeline.schema import HORIZONS, KEYS, TARGETS, hours, require_columns
+from hazeline.schema import HORIZONS, KEYS, TARGETS, all_present, hours, require_columns
 
 MEAN_HOURS = 24
 AQI_COLUMNS = ["pm2_5_24h_mean", "pm10_24h_mean", "pm2_5_aqi", "pm10_aqi", "aqi_current", "aqi_category",
@@ -113,7 +113,7 @@ def build_aqi(df: DataFrame, on_gap: str = "trust", block_hours: int = BLOCK_HOU
 
 def complete_targets(df: DataFrame) -> DataFrame:
     """W4."""
-    return df.dropna(subset=["aqi_current", *TARGETS])
+    return df.where(all_present(["aqi_current", *TARGETS]))
 
 
 def build_summary(df: DataFrame, drop_incomplete: bool = False) -> DataFrame:

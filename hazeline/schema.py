@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
@@ -130,6 +132,15 @@ def is_ntz(df: DataFrame, name: str = "timestamp") -> bool:
     return isinstance(df.schema[name].dataType, T.TimestampNTZType)
 
 
+def all_present(names: list[str]) -> Column:
+    """Every named column is known.
+
+    Separate IS NOT NULL conjuncts, not one ``dropna`` predicate over all columns: the optimizer derives a copy of a
+    predicate for every computed column it mentions, which doubles a wide predicate with each of them.
+    """
+    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+
+
 def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Put one-row frames with different columns side by side, without a join."""
     stacked = first
