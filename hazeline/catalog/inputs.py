@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.operators.evaluate import long_predictions
-from hazeline.operators.features import build_features
+from hazeline.operators.features import build_features, complete_rows
 from hazeline.operators.targets import build_aqi, build_targets
 from hazeline.plans import panel as P
+from hazeline.session import written
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,3 +60,8 @@ def dirty(spark, folder) -> DataFrame:
         F.lit(0).alias("precipitation"), (k % 20).alias("wind_speed"), (e % 370).alias("wind_direction"),
         (k + 790).alias("pressure"), lat[F.col("city")].alias("latitude"), lon[F.col("city")].alias("longitude"),
     )
+
+
+def feature_table(spark, folder) -> DataFrame:
+    """Complete feature rows as a stored table, for work that reads them several times."""
+    return written(complete_rows(feature_panel(spark, folder)), "features")

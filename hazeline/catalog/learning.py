@@ -1 +1,203 @@
-"""to come"""
+"""Models, their reports, and the streaming jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hazeline.catalog import twin as S
+from hazeline.catalog.inputs import aqi_panel, feature_table, panel, sparse
+from hazeline.catalog.registry import query
+from hazeline.catalog.tables import FOLDS
+from hazeline.operators import models as M
+from hazeline.operators.features import latest_per_city
+from hazeline.operators.splits import walk_forward
+from hazeline.plans.reports import forecast_report
+from hazeline.operators.explain import linear_contributions
+from hazeline.schema import FEATURES, KEYS
+from hazeline.session import work_dir
+from hazeline.sources.landed import write_report
+from hazeline.streaming import jobs as T
+
+# The published sizes are the defaults of the model functions; these keep a run over the small tables short.
+QUICK = M.TreeSize(forest_trees=10, forest_depth=6, boosted_trees=5, boosted_depth=3)
+
+
+def _sides(spark, folder, fold=0):
+    rows = walk_forward(feature_table(spark, folder), FOLDS[fold:fold + 1])
+    return (M.model_rows(rows.where(F.col("role") == "train")),
+            M.model_rows(rows.where(F.col("role") != "train")))
+
+
+def _one(spark, folder, name, horizon=24):
+    train, evaluation = _sides(spark, folder)
+    return M.train_and_evaluate(name, horizon, train, {"validation": evaluation}, QUICK)[1].drop("fit_seconds")
+
+
+@query("m2_ridge")
+def ridge(spark, folder):
+    return _one(spark, folder, "ridge")
+
+
+@query("m3_random_forest")
+def forest(spark, folder):
+    return _one(spark, folder, "random_forest")
+
+
+@query("m4_boosted_trees")
+def boosted(spark, folder):
+    return _one(spark, folder, "boosted_trees")
+
+
+@query("m5_train_and_evaluate")
+def train_and_evaluate(spark, folder):
+    train, validation = _sides(spark, folder)
+    _, test = _sides(spark, folder, 1)
+    return M.train_and_evaluate("ridge", 48, train, {"validation": validation, "test": test})[1].drop("fit_seconds")
+
+
+@query("m6_walk_forward_benchmark")
+def benchmark(spark, folder):
+    labelled = walk_forward(feature_table(spark, folder), FOLDS)
+    return M.walk_forward_benchmark(labelled, ["persistence", "ridge"], ["fold_1", "fold_2"]).drop("fit_seconds")
+
+
+@query("m7_s12_training_report")
+def training_report(spark, folder):
+    """Candidate metrics of the last fold as a nested JSON report, read back."""
+    labelled = walk_forward(feature_table(spark, folder), FOLDS)
+    scores = M.walk_forward_benchmark(labelled, ["persistence", "ridge"], ["fold_2"])
+    report = scores.agg(
+        F.lit("candidate").alias("status"), F.lit(len(FEATURES)).alias("feature_count"), F.lit(False).alias("promoted"),
+        F.array_sort(F.collect_list(F.struct("horizon_hours", "model", "mae", "rmse", "r2"))).alias("results"))
+    path = work_dir(spark, "report")
+    write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    return back.select("status", "feature_count", "promoted", F.explode("results").alias("r")).select(
+        "status", "feature_count", "promoted", "r.*")
+
+
+def _fitted(spark, folder):
+    train, evaluation = _sides(spark, folder)
+    models = {h: M.create("ridge", train, f"target_aqi_{h}h").fit(train) for h in (24, 48, 72)}
+    return train, evaluation, models
+
+
+@query("m8_m9_batch_scoring")
+def batch_scoring(spark, folder):
+    """Models saved per horizon, loaded again, and applied to the newest row of every city."""
+    table = feature_table(spark, folder)
+    _, _, models = _fitted(spark, folder)
+    path = work_dir(spark, "models")
+    M.save_models(models, path)
+    newest = latest_per_city(table).select(
+        *KEYS, "aqi_current", "aqi_category", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    scored = M.score_all(newest, M.load_models(path), "ridge")
+    return scored.select(*KEYS, "horizon", "predicted_aqi", "predicted_category", "model_name", "model_alias")
+
+
+@query("m10_model_parity")
+def model_parity(spark, folder):
+    _, evaluation, models = _fitted(spark, folder)
+    path = work_dir(spark, "models")
+    M.save_models({24: models[24]}, path)
+    again = M.load_models(path, [24])[24]
+    return M.model_parity(models[24].transform(evaluation), again.transform(evaluation), KEYS)
+
+
+@query("e13_final_holdout")
+def final_holdout(spark, folder):
+    train, test = _sides(spark, folder, 1)
+    return M.holdout_report(M.holdout_predictions(train, test, "ridge"))
+
+
+@query("r2_explained_forecast_report")
+def explained_report(spark, folder):
+    """Scores and contributions of fitted models on every city's newest row."""
+    table = feature_table(spark, folder)
+    _, _, models = _fitted(spark, folder)
+    newest = latest_per_city(table).select(
+        *KEYS, "aqi_current", "aqi_category", "dominant_pollutant", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    parts = []
+    for h, model in models.items():
+        betas, means, _ = M.linear_terms(model)
+        parts.append(linear_contributions(newest, betas, means).withColumn("horizon_hours", F.lit(h)))
+    contributions = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    report = forecast_report(M.score_all(newest, models, "ridge"), contributions)
+    rows = report.select(*KEYS, "current_aqi", F.explode("forecasts").alias("f"))
+    return rows.select(*KEYS, "current_aqi", "f.horizon_hours", "f.predicted_aqi", "f.predicted_category",
+                       F.col("f.alert.level").alias("alert"), F.col("f.explanation")[0]["feature"].alias("top_feature"))
+
+
+# Streams ----------------------------------------------------------------------------------------------------------
+
+
+def _reading_stream(spark, folder):
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    stream = T.file_stream(spark, folder, schema, "events.parquet")
+    return stream.select(
+        F.col("event_type").alias("city"), F.col("ts").cast("timestamp").alias("observed_at"),
+        F.col("event_id").alias("reading_id"), "value")
+
+
+@query("t1_hourly_readings_stream", """
+SELECT city, timestamp, event_id AS reading_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, timestamp ORDER BY ts DESC, event_id DESC) AS rn FROM readings) WHERE rn = 1""", "value")
+def hourly_stream(spark, folder):
+    path = work_dir(spark, "t1")
+    T.hourly_readings(_reading_stream(spark, folder), path, work_dir(spark, "t1-progress"))
+    return T.latest_readings(spark.read.parquet(path)).select("city", "timestamp", "reading_id", "value")
+
+
+_T2 = f"""
+SELECT city, timestamp, m25 AS pm2_5_24h_mean, m10 AS pm10_24h_mean, greatest(a, b) AS aqi_current FROM (
+  SELECT *, {S.pm25_index('m25')} AS a, {S.pm10_index('m10')} AS b FROM (
+    SELECT city, timestamp, count(*) OVER w AS n, CAST(sum(pm2_5) OVER w AS DOUBLE) / 24::DOUBLE AS m25, CAST(sum(pm10) OVER w AS DOUBLE) / 24::DOUBLE AS m10
+    FROM {{table}} WINDOW w AS (PARTITION BY city ORDER BY timestamp RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)) WHERE n = 24)
+WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM {{table}}) - INTERVAL 2 HOUR"""
+
+
+@query("t2_trailing_aqi_stream", _T2.format(table="panel"), "pm2_5_24h_mean pm10_24h_mean")
+def trailing_stream(spark, folder):
+    """Append mode emits a window once the watermark (two hours behind the newest hour) has passed its end."""
+    rows = panel(spark, folder).select("city", F.col("timestamp").cast("timestamp").alias("timestamp"), "pm2_5", "pm10")
+    source = T.land(rows, "t2-source")
+    stream = T.trailing_aqi(T.file_stream(spark, source, rows.schema))
+    path = work_dir(spark, "t2")
+    T.append_to_files(stream, path, work_dir(spark, "t2-progress"))
+    return spark.read.schema(stream.schema).parquet(path).select(
+        "city", "timestamp", "pm2_5_24h_mean", "pm10_24h_mean", "aqi_current")
+
+
+@query("t3_matured_forecasts_stream", """
+SELECT f.city, f.timestamp + to_hours(h) AS target_timestamp, h::INT AS horizon_hours, f.aqi_current::DOUBLE AS predicted_aqi,
+  a.aqi_current::DOUBLE AS actual_aqi, abs(a.aqi_current - f.aqi_current)::DOUBLE AS absolute_error
+FROM named f CROSS JOIN (VALUES (24), (48), (72)) t(h) JOIN named a ON a.city = f.city AND a.timestamp = f.timestamp + to_hours(h)
+WHERE f.aqi_current IS NOT NULL AND a.aqi_current IS NOT NULL""", "predicted_aqi actual_aqi absolute_error")
+def maturity_stream(spark, folder):
+    rows = aqi_panel(spark, folder).where(F.col("aqi_current").isNotNull()).select(
+        "city", F.col("timestamp").cast("timestamp").alias("timestamp"), "aqi_current")
+    made = rows.select(
+        "city", "timestamp", F.col("aqi_current").cast("double").alias("predicted_aqi"),
+        F.explode(F.array(F.lit(24), F.lit(48), F.lit(72))).alias("horizon_hours"))
+    made = made.select("city", (F.col("timestamp") + F.make_interval(hours=F.col("horizon_hours"))).alias("target_timestamp"),
+                       "horizon_hours", "predicted_aqi")
+    forecasts = T.file_stream(spark, T.land(made, "t3-forecasts"), made.schema)
+    actuals = T.file_stream(spark, T.land(rows, "t3-actuals"), rows.schema)
+    stream = T.matured_forecasts(forecasts, actuals)
+    path = work_dir(spark, "t3")
+    T.append_to_files(stream, path, work_dir(spark, "t3-progress"))
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("t4_gap_alarm_stream", """
+SELECT r.city, max(r.timestamp) AS reading, count(*) AS readings, max(h.latest) AS latest_history,
+  date_diff('hour', max(h.latest), max(r.timestamp))::BIGINT AS gap_hours
+FROM readings r LEFT JOIN (SELECT city, max(timestamp) AS latest FROM sparse WHERE timestamp < TIMESTAMP '2024-01-29 00:00:00' GROUP BY city) h USING (city)
+GROUP BY r.city HAVING date_diff('hour', max(h.latest), max(r.timestamp)) > 1""")
+def gap_stream(spark, folder):
+    stored = sparse(spark, folder).where(F.col("timestamp") < F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
+    path = work_dir(spark, "t4")
+    T.gap_alarms(_reading_stream(spark, folder), stored.select(*KEYS), path, work_dir(spark, "t4-progress"))
+    return spark.read.parquet(path).drop("batch")
+
+

@@ -12,7 +12,7 @@ from hazeline.operators import evaluate as E
 from hazeline.operators import ledger as L
 from hazeline.operators.targets import build_aqi
 from hazeline.schema import HORIZONS, LEDGER_KEYS
-from hazeline.session import work_dir
+from hazeline.session import work_dir, written
 from hazeline.sources.landed import read_ledger
 
 NOW = "2024-01-29 12:00:00"
@@ -60,8 +60,10 @@ def _recorded(spark, folder):
 
 
 def _evaluated(spark, folder):
+    """The scored ledger as the stored table it is in use, so that reports read it instead of rebuilding it."""
     history = build_aqi_history(spark, folder)
-    return L.evaluate(_recorded(spark, folder), history, F.lit(NOW).cast("timestamp"))
+    scored = L.evaluate(_recorded(spark, folder), history, F.lit(NOW).cast("timestamp"))
+    return written(scored, "ledger")
 
 
 def build_aqi_history(spark, folder):

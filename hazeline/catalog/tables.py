@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from hazeline.catalog.inputs import events, feature_panel, panel, predictions, readings, sparse, target_panel
+from hazeline.catalog.inputs import events, feature_panel, feature_table, panel, predictions, readings, sparse, target_panel
 from hazeline.catalog.quality import SPLIT_SQL, split_panel
 from hazeline.catalog.registry import query
 from hazeline.operators import relational as R
@@ -361,7 +361,7 @@ def purge_gaps(spark, folder):
 
 
 def _sides(spark, folder):
-    rows = P.walk_forward(complete_rows(feature_panel(spark, folder)), FOLDS[:1])
+    rows = P.walk_forward(feature_table(spark, folder), FOLDS[:1])
     return rows.where(F.col("role") == "train"), rows.where(F.col("role") != "train")
 
 
@@ -398,7 +398,7 @@ SELECT count(*) AS rows, count(DISTINCT city) AS cities, min(timestamp) AS start
   (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY city)) AS rows_per_city, 0::BIGINT AS missing_feature_cells,
   0::BIGINT AS duplicate_rows, 56 AS feature_count, true AS passed FROM c""")
 def offline_report(spark, folder):
-    return store.offline_report(store.offline_table(complete_rows(feature_panel(spark, folder))))
+    return store.offline_report(store.offline_table(feature_table(spark, folder)))
 
 
 @query("f3_latest_features", f"""
@@ -413,7 +413,7 @@ def latest_features(spark, folder):
        "max_absolute_difference")
 def parity(spark, folder):
     """Features written to the offline store and read back point-in-time equal those computed."""
-    built = store.offline_table(complete_rows(feature_panel(spark, folder)))
+    built = store.offline_table(feature_table(spark, folder))
     path = work_dir(spark, "offline")
     store.write_offline(built, path)
     stored = spark.read.parquet(path).select(*built.columns)
