@@ -12,6 +12,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Plans here hold hundreds of expressions; recording a Python stack for each doubles the time to build them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
