@@ -19,9 +19,9 @@ NOW = "2024-01-29 12:00:00"
 
 
 def _forecasts(spark, folder):
-    """The 24-hour mean as the forecast of every hour, at three horizons."""
+    """The 24-hour mean as the forecast of every hour, at three horizons, as a stored batch."""
     rows = feature_panel(spark, folder).where(F.col("aqi_rolling_mean_24h").isNotNull())
-    return rows.select(
+    made = rows.select(
         "city",
         F.col("timestamp").cast("timestamp").alias("forecast_created_at"),
         F.explode(F.array(*[F.lit(f"{h}H") for h in HORIZONS])).alias("horizon"),
@@ -31,6 +31,7 @@ def _forecasts(spark, folder):
         "model_name": F.lit("mean_24h"),
         "model_alias": F.concat(F.lit("production-"), F.lower("horizon")),
     })
+    return written(made, "forecasts")
 
 
 _FORECASTS = f"""made AS (

@@ -44,7 +44,7 @@ def bootstrap(
         known = existing.select("city").distinct()
         weather, pollution = weather.join(known, "city", "left_anti"), pollution.join(known, "city", "left_anti")
     merged = one_to_one(weather, pollution, KEYS, validate)
-    merged = merged.join(F.broadcast(cities), "city").withColumn("source", F.lit(BOOTSTRAP_SOURCE))
+    merged = merged.join(cities, "city").withColumn("source", F.lit(BOOTSTRAP_SOURCE))
     recent = newest_hours(completed_hours(merged.select(*HISTORY_COLUMNS), as_of), hours)
     health = history_health(recent, hours).select("city", "valid", "reasons")
     good = recent.join(health.where("valid").select("city"), "city", "left_semi").select(*HISTORY_COLUMNS)

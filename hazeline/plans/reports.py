@@ -90,7 +90,7 @@ def performance_report(ledger: DataFrame, holdout: DataFrame) -> DataFrame:
 def resolve_cities(requests: DataFrame, dimension: DataFrame, column: str = "requested") -> DataFrame:
     """Requested names to canonical ones; ``supported`` is false where there is none."""
     known = dimension.select(normalised_city(F.col("city")).alias("_n"), F.col("city").alias("canonical"))
-    out = requests.withColumn("_n", normalised_city(F.col(column))).join(F.broadcast(known), "_n", "left").drop("_n")
+    out = requests.withColumn("_n", normalised_city(F.col(column))).join(known, "_n", "left").drop("_n")
     return out.withColumn("supported", F.col("canonical").isNotNull())
 
 

@@ -61,10 +61,10 @@ def read_panel(spark: SparkSession, path: str, sort: bool = False) -> DataFrame:
 def write_panel(df: DataFrame, path: str, by: list[str] = ("city",), mode: str = "overwrite") -> None:
     """S3: partitioned Parquet, sorted inside each file so that row-group statistics prune by time.
 
-    Rows are spread by (partition columns, month), not by city alone: one city may hold a large share of all rows.
+    The rebalance hint gathers each partition's rows into few files and lets adaptive execution split the large ones:
+    one city may hold a large share of all rows.
     """
-    month = F.date_trunc("month", F.col("timestamp"))
-    spread = df.repartition(*[F.col(c) for c in by], month)
+    spread = df.hint("rebalance", *by)
     spread.sortWithinPartitions(*by, "timestamp").write.mode(mode).partitionBy(*by).parquet(path)
 
 
