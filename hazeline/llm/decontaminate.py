@@ -136,9 +136,8 @@ class ItemAutomaton:
 _held: OrderedDict[tuple, ItemAutomaton] = OrderedDict()
 
 
-def _automaton(block, n: int) -> ItemAutomaton:
-    # The driver's id of a broadcast is unique within a session; workers live no longer than that.
-    key = (block._jid if hasattr(block, "_jid") else id(block), n)
+def _automaton(digest: str, block, n: int) -> ItemAutomaton:
+    key = (digest, n)
     if key not in _held:
         while len(_held) >= HELD:
             _held.popitem(last=False)
@@ -190,7 +189,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_share: flo
     ``clean_text`` is null where more than ``max_share`` of the words are hit: such a document is to be refused.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items)]
+    blocks = [(hashlib.sha256(repr(b).encode()).hexdigest(), spark.sparkContext.broadcast(b)) for b in item_blocks(items)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +198,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_share: flo
                 text = text.as_py() or b""
                 words = text.translate(LETTER_DIGIT_WORDS).split()
                 spans, ids, longest = [], set(), 0
-                for block in blocks:
-                    more, found, length = _automaton(block, n).match(words)
+                for digest, block in blocks:
+                    more, found, length = _automaton(digest, block, n).match(words)
                     spans += more
                     ids |= found
                     longest = max(longest, length)
