@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hazeline.llm.common import read_table
 from hazeline.llm.decontaminate import contamination
+from hazeline.llm.substrings import drop_repeated_passages
 from hazeline.llm.sentencepieces import encode_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids", "decoded")
+
+
+@query("op8_substrings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept_text")
