@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hazeline.llm.common import read_table
 from hazeline.llm.decontaminate import contamination
-from hazeline.llm.substrings import drop_repeated_passages
+from hazeline.llm.fertility import quality_rules
 from hazeline.llm.sentencepieces import encode_pieces
+from hazeline.llm.substrings import drop_repeated_passages
+from hazeline.llm.token_files import token_file_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids", "decoded")
 
 
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query("op7_fertility")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op8_substrings")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept_text")
