@@ -33,7 +33,7 @@ MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Values are rounded to this many steps per unit before counting.
 STEPS = 200
 #: Bands reach this many interquartile ranges beyond the quartiles, and at least this far in each measure's own unit.
-REACH, LEAST_REACH = 4.0, {"chars_per_token": 0.5, "byte_share": 0.1, "token_entropy": 0.1}
+REACH, LEAST_REACH = 3.0, {"chars_per_token": 0.4, "byte_share": 0.1, "token_entropy": 0.1}
 LEAST_GROUP = 100
 MOST_WORDS, LONGEST_KEPT = 500_000, 64
 WHITE = bytes(range(9, 14)) + b" "
