@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hazeline.llm.common import read_table
 from hazeline.llm.decontaminate import contamination
 from hazeline.llm.fertility import quality_rules
+from hazeline.llm.jaccard_join import jaccard_components
 from hazeline.llm.sentencepieces import encode_pieces
 from hazeline.llm.substrings import drop_repeated_passages
 from hazeline.llm.token_files import token_file_round_trip
@@ -40,6 +41,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids", "decoded")
 
 
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 @query("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
