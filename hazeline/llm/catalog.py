@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hazeline.llm.code_switch import identify_languages
 from hazeline.llm.common import read_table
 from hazeline.llm.decontaminate import contamination
 from hazeline.llm.fertility import quality_rules
@@ -59,3 +60,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substrings")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
