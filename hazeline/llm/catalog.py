@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hazeline.llm.clause_grammar import toxicity
 from hazeline.llm.code_switch import identify_languages
 from hazeline.llm.common import read_table
 from hazeline.llm.decontaminate import contamination
@@ -52,6 +53,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("clauses")
+
+
 @query("op7_fertility")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
