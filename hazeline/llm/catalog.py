@@ -13,6 +13,7 @@ from hazeline.llm.common import read_table
 from hazeline.llm.decontaminate import contamination
 from hazeline.llm.fertility import quality_rules
 from hazeline.llm.jaccard_join import jaccard_components
+from hazeline.llm.secret_forest import scan
 from hazeline.llm.sentencepieces import encode_pieces
 from hazeline.llm.substrings import drop_repeated_passages
 from hazeline.llm.token_files import token_file_round_trip
@@ -48,6 +49,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"), threshold=0.5).drop("clean_text")
+
+
 @query("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
