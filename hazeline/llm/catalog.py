@@ -16,8 +16,11 @@ from hazeline.llm.jaccard_join import jaccard_components
 from hazeline.llm.secret_forest import scan
 from hazeline.llm.sentencepieces import encode_pieces
 from hazeline.llm.substrings import drop_repeated_passages
+from hazeline.llm.surrogates import replace_personal_data
 from hazeline.llm.token_files import token_file_round_trip
 
+#: Key of the query's surrogates; a deployment passes its own secret to the operator.
+SURROGATE_KEY = "catalog-key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -77,3 +80,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_surrogates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY).drop("made")
