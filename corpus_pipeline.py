@@ -8,7 +8,7 @@ None and the tests hold the stages against brute-force versions.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazeline.llm.code_switch import identify_languages
@@ -51,20 +51,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id from each component of near duplicates; documents without words stay."""
-    groups = jaccard_components(docs)
-    stay = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    first = F.row_number().over(_same_document(docs))
-    return rows.withColumn("__first", first).where("__first = 1 OR doc_id IS NULL").drop("__first")
-
-
-def _same_document(docs: DataFrame):
-    from pyspark.sql import Window
-
-    # Rows without a doc_id are told apart by their text, so that they don't meet in one task.
-    return Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(*[
-        F.col(f"`{c}`") for c in docs.columns])
+    """The document of the smallest doc_id from each component of near duplicates; documents without words stay.
+
+    Rows without a doc_id count as behind all others, by their content; rows that repeat a doc_id are one document, the first in order.
+    """
+    content = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(1 << 61))
+    rows = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + content))
+    groups = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    order = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    first = rows.join(stay, "__row", "left_semi").withColumn("__first", F.row_number().over(order))
+    return first.where("__first = 1").drop("__row", "__first")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
