@@ -152,20 +152,16 @@ _T2 = f"""
 SELECT city, timestamp, m25 AS pm2_5_24h_mean, m10 AS pm10_24h_mean, greatest(a, b) AS aqi_current FROM (
   SELECT *, {S.pm25_index('m25')} AS a, {S.pm10_index('m10')} AS b FROM (
     SELECT city, timestamp, count(*) OVER w AS n, CAST(sum(pm2_5) OVER w AS DOUBLE) / 24::DOUBLE AS m25, CAST(sum(pm10) OVER w AS DOUBLE) / 24::DOUBLE AS m10
-    FROM {{table}} WINDOW w AS (PARTITION BY city ORDER BY timestamp RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)) WHERE n = 24)
-WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM {{table}}) - INTERVAL 2 HOUR"""
+    FROM {{table}} WINDOW w AS (PARTITION BY city ORDER BY timestamp RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)) WHERE n = 24)"""
 
 
 @query("t2_trailing_aqi_stream", _T2.format(table="panel"), "pm2_5_24h_mean pm10_24h_mean")
 def trailing_stream(spark, folder):
-    """Append mode emits a window once the watermark (two hours behind the newest hour) has passed its end."""
     rows = panel(spark, folder).select("city", F.col("timestamp").cast("timestamp").alias("timestamp"), "pm2_5", "pm10")
     source = T.land(rows, "t2-source")
-    stream = T.trailing_aqi(T.file_stream(spark, source, rows.schema))
     path = work_dir(spark, "t2")
-    T.append_to_files(stream, path, work_dir(spark, "t2-progress"))
-    return spark.read.schema(stream.schema).parquet(path).select(
-        "city", "timestamp", "pm2_5_24h_mean", "pm10_24h_mean", "aqi_current")
+    T.trailing_aqi(T.file_stream(spark, source, rows.schema), path, work_dir(spark, "t2-progress"))
+    return T.latest_trailing_aqi(spark, path).select("city", "timestamp", "pm2_5_24h_mean", "pm10_24h_mean", "aqi_current")
 
 
 @query("t3_matured_forecasts_stream", """
@@ -197,7 +193,5 @@ GROUP BY r.city HAVING date_diff('hour', max(h.latest), max(r.timestamp)) > 1"""
 def gap_stream(spark, folder):
     stored = sparse(spark, folder).where(F.col("timestamp") < F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
     path = work_dir(spark, "t4")
-    T.gap_alarms(_reading_stream(spark, folder), stored.select(*KEYS), path, work_dir(spark, "t4-progress"))
-    return spark.read.parquet(path).drop("batch")
-
-
+    T.newest_readings(_reading_stream(spark, folder), path, work_dir(spark, "t4-progress"))
+    return T.gap_alarms(spark.read.parquet(path), stored.select(*KEYS))

@@ -174,6 +174,7 @@ SELECT count(*) AS source_rows, count(DISTINCT city) AS cities, (count(*) - 71 *
 def sequence_counts(spark, folder):
     """Rows up to the last hour that has every target, so that only the warm-up of each city is lost."""
     rows = feature_panel(spark, folder)
-    usable = rows.where(F.col("timestamp") <= F.lit("2024-01-27 23:00:00").cast("timestamp_ntz"))
+    last = rows.where(F.col("target_aqi_72h").isNotNull()).agg(F.max("timestamp").alias("_last"))
+    usable = rows.join(F.broadcast(last), F.col("timestamp") <= F.col("_last")).drop("_last")
     made = Q.build_sequences(usable.withColumn("target", F.coalesce("target_aqi_72h", F.lit(0))), "target", _SCALER)
     return Q.sequence_counts(made, usable)

@@ -1,7 +1,7 @@
 """Means, spreads and correlations from exact sums.
 
-Sensor values carry a fixed number of decimals. Summing them as DECIMAL and converting once makes every result
-independent of how rows were partitioned, which a floating-point sum is not.
+Sensor values carry a few decimals. Summing them as DECIMAL and converting once makes every result independent of how rows were
+partitioned, which a floating-point sum is not. Eight decimals leave every reading as it is and exceed any sensor's resolution.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VALUE_SCALE = 2
+VALUE_SCALE = 8
 
 
 def exact(c: Column, scale: int = VALUE_SCALE) -> Column:

@@ -22,7 +22,7 @@ from hazeline.schema import (
     one_row,
 )
 
-AUDIT_SCALE = 4
+AUDIT_SCALE = 8
 DESCRIBE_PROBS = [0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99, 0.999]
 DESCRIBE_NAMES = ["p1", "p5", "p25", "p50", "p75", "p95", "p99", "p999"]
 
@@ -116,7 +116,6 @@ def coverage(df: DataFrame) -> DataFrame:
 # J3, J4, A6, A7 ---------------------------------------------------------------------------------------------------
 
 PAIR_METRICS = ["matched_rows", "correlation", "mae", "exact_match_pct", "near_match_pct"]
-MAX_IMPLICIT_CITIES = 64
 
 
 def _pair_metrics(a, b):
@@ -133,13 +132,11 @@ def _pair_metrics(a, b):
     )
 
 
-def city_pairs(df: DataFrame, limit: int = MAX_IMPLICIT_CITIES) -> DataFrame:
-    """All unordered pairs of the cities found. Above ``limit`` cities the caller names the pairs it wants instead."""
-    names = sorted(r["city"] for r in df.select("city").distinct().limit(limit + 1).collect())
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} cities: pass the pairs to compare")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    return df.sparkSession.createDataFrame(pairs, "city_a string, city_b string")
+def city_pairs(df: DataFrame) -> DataFrame:
+    """All unordered pairs of the cities found: each name with the names behind it in the sorted list of all."""
+    names = df.where("city IS NOT NULL").agg(F.array_sort(F.collect_set("city")).alias("names"))
+    firsts = names.select("names", F.posexplode("names").alias("i", "city_a"))
+    return firsts.select("city_a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("city_b"))
 
 
 def city_similarity(df: DataFrame, pairs: DataFrame | None = None, columns: list[str] = POLLUTANTS) -> DataFrame:

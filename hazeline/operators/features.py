@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions.exact import exact, std_of
-from hazeline.operators.grid import BLOCK_HOURS, block_window, drop_halo, full_window, with_halo
+from hazeline.operators.grid import BLOCK_HOURS, at_hour, block_window, drop_halo, full_window, with_halo
 from hazeline.operators.targets import MEAN_HOURS, current_aqi, future_targets, gate, trailing_means
 from hazeline.schema import (
     AQI_CHANGES,
@@ -30,8 +30,8 @@ FEATURE_LOOKBACK = max(AQI_LAGS)
 
 def lag_columns(w) -> dict:
     """W6, W7."""
-    cols = {f"aqi_lag_{n}h": F.lag("aqi_current", n).over(w) for n in AQI_LAGS}
-    cols.update({f"{p}_lag_{n}h": F.lag(p, n).over(w) for p in ("pm2_5", "pm10") for n in PM_LAGS})
+    cols = {f"aqi_lag_{n}h": at_hour("aqi_current", n, w) for n in AQI_LAGS}
+    cols.update({f"{p}_lag_{n}h": at_hour(p, n, w) for p in ("pm2_5", "pm10") for n in PM_LAGS})
     return cols
 
 
@@ -76,8 +76,8 @@ def pm_mean_columns(w) -> dict:
 
 def change_columns(w) -> dict:
     """W11."""
-    cols = {f"aqi_change_{n}h": F.col("aqi_current") - F.lag("aqi_current", n).over(w) for n in AQI_CHANGES}
-    cols.update({f"{p}_change_1h": F.col(p) - F.lag(p, 1).over(w) for p in ("pm2_5", "pm10")})
+    cols = {f"aqi_change_{n}h": F.col("aqi_current") - at_hour("aqi_current", n, w) for n in AQI_CHANGES}
+    cols.update({f"{p}_change_1h": F.col(p) - at_hour(p, 1, w) for p in ("pm2_5", "pm10")})
     return cols
 
 

@@ -39,10 +39,17 @@ def block_window(key: str = "city", ts: str = "timestamp"):
     return Window.partitionBy(key, BLOCK).orderBy(ts)
 
 
-def full_window(value, n: int, window, agg):
-    """``agg`` over the last ``n`` rows, NULL until all ``n`` values are present."""
+def at_hour(value, n: int, window, ts: str = "timestamp"):
+    """The value ``n`` hours before (after, if negative). NULL if the row that many steps away is of another hour: a gap lies between."""
+    step = F.lag if n >= 0 else F.lead
+    return F.when(step(ts, abs(n)).over(window) == F.col(ts) - hours(n), step(value, abs(n)).over(window))
+
+
+def full_window(value, n: int, window, agg, ts: str = "timestamp"):
+    """``agg`` over the last ``n`` hours, NULL until all ``n`` values are present without a gap."""
     frame = window.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(value).over(frame) == n, agg(frame))
+    whole = F.min(ts).over(frame) == F.col(ts) - hours(n - 1)
+    return F.when((F.count(value).over(frame) == n) & whole, agg(frame))
 
 
 def previous_row(df: DataFrame, keys: list[str], ts: str = "timestamp", block_hours: int = BLOCK_HOURS) -> DataFrame:

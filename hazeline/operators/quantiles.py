@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 100_000
-RANK_MARGIN = 1e-4
-RANK_WHOLE_GROUP_BELOW = 50_000
+#: Half widths of the intervals around a rank, as shares of a group: the narrowest that spans ``LEAST_RANKS`` rows is used, so that
+#: the neighbouring ranks of an interpolation are inside however few rows there are.
+RANK_MARGINS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
+LEAST_RANKS = 3
 
 
 def bounded_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], out: str = "quantiles"):
@@ -27,23 +29,22 @@ def bounded_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], out: str = "quantiles"):
     """Linear quantiles of any numeric column, as one array per group in the order of ``probs``."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    low = [max(p - RANK_MARGIN, 0.0) for p in probs]
-    high = [min(p + RANK_MARGIN, 1.0) for p in probs]
+    edges = [[max(p - m, 0.0) for p in probs] + [min(p + m, 1.0) for p in probs] for m in RANK_MARGINS]
     sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [*low, *high], SKETCH_ACCURACY).alias("_s"),
+        F.count("*").alias("_n"), *[F.percentile_approx("_v", e, SKETCH_ACCURACY).alias(f"_s{j}") for j, e in enumerate(edges)]
     )
-    small = F.col("_n") <= RANK_WHOLE_GROUP_BELOW
+    near_enough = F.col(f"_s{len(edges) - 1}")
+    for j in range(len(edges) - 2, -1, -1):
+        near_enough = F.when(F.col("_n") * RANK_MARGINS[j] >= LEAST_RANKS, F.col(f"_s{j}")).otherwise(near_enough)
+    sketch = sketch.withColumn("_s", near_enough)
     wanted = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("_n") - 1)
         wanted.append(
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(small, F.col("_min")).otherwise(F.col("_s")[i]).alias("low"),
-                F.when(small, F.col("_max")).otherwise(F.col("_s")[i + len(probs)]).alias("high"),
+                F.col("_s")[i].alias("low"),
+                F.col("_s")[i + len(probs)].alias("high"),
                 F.floor(position).alias("k0"),
                 F.ceil(position).alias("k1"),
                 (position - F.floor(position)).alias("part"),

@@ -9,6 +9,7 @@ from hazeline.functions import aqi
 from hazeline.functions.exact import exact
 from hazeline.operators.grid import (
     BLOCK_HOURS,
+    at_hour,
     block_window,
     drop_halo,
     full_window,
@@ -61,11 +62,12 @@ def future_targets(df: DataFrame, window=None) -> DataFrame:
     """AQI 24, 48 and 72 hours ahead."""
     if window is None:
         return drop_halo(future_targets(with_halo(df, 0, max(HORIZONS)), block_window()))
-    return df.withColumns({f"target_aqi_{h}h": F.lead("aqi_current", h).over(window) for h in HORIZONS})
+    return df.withColumns({f"target_aqi_{h}h": at_hour("aqi_current", -h, window) for h in HORIZONS})
 
 
 def gate(df: DataFrame, on_gap: str) -> DataFrame:
-    """``raise``: gaps fail now; ``quarantine``: drop the cities that have them; ``trust``: the grid is known whole."""
+    """``raise``: gaps fail now; ``quarantine``: drop the cities that have them; ``trust``: no check,
+    a value that a gap touches is NULL."""
     if on_gap == "raise":
         return require_continuous(df)
     if on_gap == "quarantine":

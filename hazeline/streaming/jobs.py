@@ -43,18 +43,16 @@ def latest_readings(versions: DataFrame) -> DataFrame:
     return dedupe(versions, KEYS, [F.col("observed_at"), F.col("reading_id")])
 
 
-def hourly_readings(
-    readings: DataFrame, path: str, checkpoint: str, id_column: str = "reading_id", delay: str = "2 hours"
-):
+def hourly_readings(readings: DataFrame, path: str, checkpoint: str, id_column: str = "reading_id"):
     """Readings stream to an append-only hourly table.
 
-    ``readings`` has city, observed_at (TIMESTAMP), the reading's id and its values. Repeated deliveries are dropped
-    within the watermark; each batch is reduced to one newest row per (city, hour) before it is written, and readers
-    take the newest version (``latest_readings``), so a later reading of the hour replaces an earlier one. Batches
-    write to their own folder, which makes a repeated batch overwrite itself.
+    ``readings`` has city, observed_at (TIMESTAMP), the reading's id and its values. Each batch is reduced to one newest row per
+    (city, hour) before it is written, and readers take the newest version (``latest_readings``): a later reading of the hour
+    replaces an earlier one, and a repeated delivery is the same version again. Nothing waits for a watermark, so rows count however
+    late they come and however the input is cut into files and batches. Batches write to their own folder, which makes a repeated
+    batch overwrite itself.
     """
-    unique = readings.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark([id_column])
-    bucketed = unique.withColumn("timestamp", F.date_trunc("hour", F.col("observed_at")))
+    bucketed = readings.withColumn("timestamp", F.date_trunc("hour", F.col("observed_at")))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         newest = dedupe(batch, KEYS, [F.col("observed_at"), F.col(id_column)])
@@ -65,27 +63,53 @@ def hourly_readings(
 
 # T2 ---------------------------------------------------------------------------------------------------------------
 
+HOURLY_SQL = "city string, timestamp timestamp, pm2_5 {pm2_5}, pm10 {pm10}, day date, batch long"
+MEAN_HOURS = 24
 
-def trailing_aqi(hourly: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Trailing 24-hour AQI per city from an hourly stream (city, timestamp, pm2_5, pm10).
 
-    Sliding event-time windows in append mode: a window is emitted once, when the watermark has passed its end, and
-    only if it holds 24 different hours. Repeats of an hour are removed first.
+def _versions(spark: SparkSession, path: str, schema: str, hours_of: DataFrame) -> DataFrame:
+    """Newest version of each (city, hour) among the days that ``hours_of`` (city, day) names: partition pruning by day."""
+    stored = spark.read.schema(schema).parquet(path)
+    stored = stored.join(hours_of.select("city", "day").distinct(), ["city", "day"], "left_semi")
+    return dedupe(stored, KEYS, [F.col("batch")]).drop("batch", "day")
+
+
+def trailing_aqi(hourly: DataFrame, path: str, checkpoint: str):
+    """Trailing 24-hour AQI per city from an hourly stream (city, timestamp, pm2_5, pm10), as files under ``path``/aqi.
+
+    Each batch first stores its hours. A new or revised hour changes the trailing means of itself and the 23 hours behind it: these
+    are computed anew from the stored hours and written as a version of this batch. Readers take the newest version
+    (``latest_trailing_aqi``). So late, revised and newest hours all count, and the result is that of one run over all rows.
     """
-    once = hourly.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(KEYS)
-    window = F.window("timestamp", "24 hours", "1 hour")
-    means = once.groupBy("city", window).agg(
-        F.count("*").alias("hours"),
-        F.sum("pm2_5").alias("pm2_5_sum"),
-        F.sum("pm10").alias("pm10_sum"),
-    ).where(F.col("hours") == 24)
-    means = means.select(
-        "city",
-        (F.col("window.end") - F.expr("INTERVAL 1 HOUR")).alias("timestamp"),
-        (F.col("pm2_5_sum").cast("double") / F.lit(24.0)).alias("pm2_5_24h_mean"),
-        (F.col("pm10_sum").cast("double") / F.lit(24.0)).alias("pm10_24h_mean"),
-    )
-    return current_aqi(means)
+    types = dict(hourly.dtypes)
+    schema = HOURLY_SQL.format(**types)
+    ahead = F.sequence(F.lit(0), F.lit(MEAN_HOURS - 1))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        hours_in = dedupe(batch.select(*KEYS, "pm2_5", "pm10"), KEYS, [F.col("pm2_5"), F.col("pm10")])
+        hours_in.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").mode("overwrite").parquet(
+            f"{path}/hours/batch={batch_id}")
+        touched = (hours_in.select("city", F.explode(ahead).alias("k"), "timestamp")
+                   .select("city", (F.col("timestamp") + F.make_interval(hours=F.col("k"))).alias("timestamp")).distinct())
+        days = touched.select("city", F.explode(F.sequence(
+            F.to_date(F.col("timestamp") - F.expr(f"INTERVAL {MEAN_HOURS - 1} HOURS")), F.to_date("timestamp"))).alias("day"))
+        known = _versions(spark, f"{path}/hours", schema, days)
+        spread = known.select("city", F.explode(ahead).alias("k"), F.col("timestamp").alias("at"), "pm2_5", "pm10").select(
+            "city", (F.col("at") + F.make_interval(hours=F.col("k"))).alias("timestamp"), "pm2_5", "pm10")
+        means = spread.join(touched, KEYS, "left_semi").groupBy(*KEYS).agg(
+            F.count(F.when(F.col("pm2_5").isNotNull() & F.col("pm10").isNotNull(), 1)).alias("hours"),
+            (F.sum("pm2_5").cast("double") / F.lit(float(MEAN_HOURS))).alias("pm2_5_24h_mean"),
+            (F.sum("pm10").cast("double") / F.lit(float(MEAN_HOURS))).alias("pm10_24h_mean"))
+        current_aqi(means.where(F.col("hours") == MEAN_HOURS).drop("hours")).write.mode("overwrite").parquet(
+            f"{path}/aqi/batch={batch_id}")
+
+    return run_to_end(hourly.writeStream.foreachBatch(store), checkpoint)
+
+
+def latest_trailing_aqi(spark: SparkSession, path: str) -> DataFrame:
+    """State of a T2 table: the newest version of each (city, hour)."""
+    return dedupe(spark.read.parquet(f"{path}/aqi"), KEYS, [F.col("batch")]).drop("batch")
 
 
 # T3 ---------------------------------------------------------------------------------------------------------------
@@ -118,27 +142,31 @@ def append_to_files(stream: DataFrame, path: str, checkpoint: str):
 # T4 ---------------------------------------------------------------------------------------------------------------
 
 
-def gap_alarms(
-    readings: DataFrame, stored: DataFrame, path: str, checkpoint: str
-):
-    """T4: per batch, cities whose readings run more than one hour ahead of the stored history.
-
-    ``stored`` is the batch view (city, timestamp) of the history; only its newest hour per city is used.
-    """
-    newest = stored.groupBy("city").agg(F.max("timestamp").cast("timestamp").alias("latest_history"))
+def newest_readings(readings: DataFrame, path: str, checkpoint: str):
+    """T4: per batch, the newest hour and the number of readings of each city."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.groupBy("city").agg(
             F.max(F.date_trunc("hour", F.col("observed_at"))).alias("reading"), F.count("*").alias("readings")
         )
-        gap = epoch_hours(F.col("reading")) - epoch_hours(F.col("latest_history"))
-        alarms = fresh.join(newest, "city", "left").withColumn("gap_hours", gap.cast("long"))
-        alarms = alarms.where(F.col("latest_history").isNull() | (F.col("gap_hours") > 1))
-        alarms.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run_to_end(readings.writeStream.foreachBatch(store), checkpoint)
 
 
+def gap_alarms(batches: DataFrame, stored: DataFrame) -> DataFrame:
+    """T4: cities whose readings run more than one hour ahead of the stored history: one row per city over all batches so far.
+
+    ``stored`` is the history (city, timestamp) as it stands when the alarms are read, so an hour that has been stored meanwhile
+    ends its alarm.
+    """
+    newest = stored.groupBy("city").agg(F.max("timestamp").cast("timestamp").alias("latest_history"))
+    fresh = batches.groupBy("city").agg(F.max("reading").alias("reading"), F.sum("readings").alias("readings"))
+    gap = epoch_hours(F.col("reading")) - epoch_hours(F.col("latest_history"))
+    alarms = fresh.join(newest, "city", "left").withColumn("gap_hours", gap.cast("long"))
+    return alarms.where(F.col("latest_history").isNull() | (F.col("gap_hours") > 1))
+
+
 def land(df: DataFrame, purpose: str) -> str:
     """Write a table to the shared folder for a stream to pick up."""
     path = work_dir(df.sparkSession, purpose)

@@ -51,13 +51,11 @@ def test_asof_join_against_brute_force(spark, ttl, bucket):
     assert {r["id"]: r["v"] for r in got} == want and len(got) == len(looks)
 
 
-@pytest.mark.parametrize("small", [50_000, 10])
-def test_exact_quantiles(spark, monkeypatch, small):
-    """Both ways of locating the ranks: the whole group, and the sketch's interval."""
-    monkeypatch.setattr(Qt, "RANK_WHOLE_GROUP_BELOW", small)
-    monkeypatch.setattr(Qt, "RANK_MARGIN", 0.02)
+@pytest.mark.parametrize("sizes", [(1, 2), (3, 10), (900, 1201), (60_000, 100)])
+def test_exact_quantiles(spark, sizes):
+    """One way of locating the ranks at every size, with many ties in one group."""
     rng = np.random.default_rng(1)
-    values = {"a": rng.normal(size=900).round(2).tolist(), "b": [3.0] * 500 + rng.exponential(size=701).tolist()}
+    values = {"a": rng.normal(size=sizes[0]).round(2).tolist(), "b": [3.0] * (sizes[1] // 2) + rng.exponential(size=sizes[1]).tolist()}
     df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.95, 0.999, 1.0]
     got = {r["k"]: r["quantiles"] for r in Qt.exact_quantiles(df, ["k"], "v", probs).collect()}
