@@ -31,50 +31,85 @@ from hazeline.llm.common import rows_of, work_dir, written
 
 ROW_STRIDE, STRIPE_BYTES, BLOOM_RATE = 10_000, 64 << 20, 0.01
 FILE_SQL = "part int, ordinal long, doc_id long, ids array<int>"
-#: Chunks kept by a worker, and the longest that is kept.
-MOST_CHUNKS, LONGEST_KEPT = 600_000, 64
+#: Words kept by a worker, and what closes a word.
+MOST_CHUNKS, MOST_PIECES, LONGEST_PIECE = 900_000, 200_000, 24
+MARKS = ".,;:!?#*$%&|<>"
 #: Spaces between two white-space characters belong to a longer run and are no place to cut.
 RUN = re.compile(r"\s (?:\s|$)")
-CAREFUL_CUT = re.compile(r"(?<!\s)(?= )|(?= \S)")
 
 
 class ChunkEncoder:
-    """Ids of texts by way of their chunks."""
+    """Ids of texts by way of their chunks: what stands behind each single space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if RUN.search(text):
-            return [c for c in CAREFUL_CUT.split(text) if c]
-        first, *rest = text.split(" ")
-        return [first, *(" " + c for c in rest)] if first else [" " + c for c in rest]
+        self.behind_space: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}
+        #: Bytes of each token: a character of the vocabulary stands for one byte, in special tokens for itself.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+
+    def library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words of letters behind a space, encoded as one text: the pre-tokeniser cuts it at each space."""
+        for a in range(0, len(words), 4096):
+            part = words[a:a + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            packed = ids.tobytes()
+            for w, start, end in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
+                self.behind_space[w] = packed[4 * start:4 * end]
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a space and a chunk. Single line breaks and what closes a word are pieces of their own."""
+        first, *lines = text.split("\n")
+        if lines and not (first and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *lines))):
+            return self.library(" " + text)
+        stem = first.rstrip(MARKS)
+        known = self.behind_space.get(stem)
+        ids = self.piece(" " + first) if known is None else known if stem == first else known + self.piece(first[len(stem):])
+        for line in lines:
+            stem = line.rstrip(MARKS)
+            ids += self.piece("\n") + (self.piece(stem) + self.piece(line[len(stem):]) if stem.isalpha() else self.piece(line))
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        if len(text) > LONGEST_PIECE:
+            return self.library(text)
+        if text not in self.alone:
+            if len(self.alone) >= MOST_PIECES:
+                self.alone.clear()
+            self.alone[text] = self.library(text)
+        return self.alone[text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.chunks(t) for t in texts]
-        kept = self.kept
-        missing = {c for chunks in cut for c in chunks if c not in kept}
-        if len(kept) + len(missing) > MOST_CHUNKS:
-            kept.clear()
-            missing = {c for chunks in cut for c in chunks}
-        missing = list(missing)
-        long_ones = []
-        for a in range(0, len(missing), 4096):
-            part = missing[a:a + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = e.ids
-                kept[c] = struct.pack(f"<{len(ids)}I", *ids)
-                if len(c) > LONGEST_KEPT:
-                    long_ones.append(c)
-        out = [b"".join(map(kept.__getitem__, chunks)) for chunks in cut]
-        for c in long_ones:
-            del kept[c]
+        split = [None if RUN.search(t) else t.split(" ") for t in texts]
+        get = self.behind_space.get
+        found = [parts and list(map(get, parts)) for parts in split]
+        stems = {c.partition("\n")[0].rstrip(MARKS) for parts, ids in zip(split, found) if parts
+                 for c, i in zip(parts[1:], ids[1:]) if i is None} - self.behind_space.keys()
+        words = [w for w in stems if w.isalpha()]
+        if len(self.behind_space) + len(words) > MOST_CHUNKS:
+            self.behind_space.clear()
+            words = list({w for parts in split if parts for c in parts[1:]
+                          if (w := c.partition("\n")[0].rstrip(MARKS)).isalpha()})
+        self.learn(words)
+        out = []
+        for text, parts, ids in zip(texts, split, found):
+            if parts is None:
+                out.append(self.library(text))
+            else:
+                ids[0] = self.piece(parts[0]) if parts[0] else b""
+                out.append(b"".join([self.chunk(c) if i is None else i for c, i in zip(parts, ids)]))
         return out
 
 
