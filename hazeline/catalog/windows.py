@@ -52,6 +52,22 @@ def targets(spark, folder):
     return _select(target_panel(spark, folder), ["aqi_current", *TARGETS])
 
 
+@query("w3_gapped_panel", f"""
+SELECT city, timestamp, m25 AS pm2_5_24h_mean, aqi::INT AS aqi_current,
+  (CASE WHEN lead(timestamp, 24) OVER w = timestamp + INTERVAL 24 HOUR THEN lead(aqi, 24) OVER w END)::INT AS target_aqi_24h
+FROM (SELECT *, greatest({S.pm25_index('m25')}, {S.pm10_index('m10')}) AS aqi FROM (
+  SELECT city, timestamp, CASE WHEN whole THEN CAST(s25 AS DOUBLE) / 24::DOUBLE END AS m25, CASE WHEN whole THEN CAST(s10 AS DOUBLE) / 24::DOUBLE END AS m10
+  FROM (SELECT city, timestamp, sum(pm2_5) OVER f AS s25, sum(pm10) OVER f AS s10,
+          count(*) OVER f = 24 AND min(timestamp) OVER f = timestamp - INTERVAL 23 HOUR AS whole
+        FROM sparse WINDOW f AS (PARTITION BY city ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))))
+WINDOW w AS (PARTITION BY city ORDER BY timestamp)""", "pm2_5_24h_mean")
+def gapped(spark, folder):
+    """The panel with its absent hours: whatever a gap touches is NULL, never the value of another hour."""
+    rows = T.build_targets(sparse(spark, folder), on_gap="trust")
+    return rows.select("city", "timestamp", "pm2_5_24h_mean", F.col("aqi_current").cast("int").alias("aqi_current"),
+                       F.col("target_aqi_24h").cast("int").alias("target_aqi_24h"))
+
+
 _COMPLETE = "WHERE aqi_current IS NOT NULL AND target_aqi_24h IS NOT NULL AND target_aqi_48h IS NOT NULL AND target_aqi_72h IS NOT NULL"
 
 
