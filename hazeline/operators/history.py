@@ -52,11 +52,15 @@ def bootstrap(
 
 
 def recover_gap(existing: DataFrame, recovered: DataFrame, keep: int = KEPT_HOURS) -> DataFrame:
-    """H3: recovered rows replace the history; live rows inside the recovered span win their hour."""
+    """H3: recovered rows replace the history; live rows inside the recovered span win their hour.
+
+    A city without recovered rows keeps what it has; its readings are then refused by H4, which names it.
+    """
     spans = recovered.groupBy("city").agg(F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"))
     live = existing.where(F.col("source") == LIVE_SOURCE).join(spans, "city")
     live = live.where(F.col("timestamp").between(F.col("_a"), F.col("_b"))).select(*HISTORY_COLUMNS)
-    both = recovered.select(*HISTORY_COLUMNS).unionByName(live)
+    kept = existing.join(spans.select("city"), "city", "left_anti").select(*HISTORY_COLUMNS)
+    both = recovered.select(*HISTORY_COLUMNS).unionByName(live).unionByName(kept)
     best = dedupe(both, KEYS, [source_priority(F.col("source")), F.col("source")])
     return newest_hours(best, keep)
 

@@ -77,14 +77,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def hourly_rows(df: DataFrame, names: dict[str, str], payload: str = "payload", keep: list[str] = ("city",)) -> DataFrame:
-    """``{"hourly": {"time": [...], "x": [...]}}`` to one row per hour with the panel's names."""
+    """``{"hourly": {"time": [...], "x": [...]}}`` to one row per hour with the panel's names.
+
+    A time that can't be read gives a NULL timestamp, which the builds' checks name; it does not end the job.
+    """
     arrays = [T.StructField("time", T.ArrayType(T.StringType()))]
     arrays += [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
     schema = T.StructType([T.StructField("hourly", T.StructType(arrays))])
     parsed = df.select(*keep, F.from_json(payload, schema).alias("_p"))
     zipped = F.arrays_zip(F.col("_p.hourly.time").alias("time"), *[F.col(f"_p.hourly.{n}").alias(n) for n in names])
     return parsed.select(*keep, F.explode(zipped).alias("_r")).select(
-        *keep, F.to_timestamp("_r.time").alias("timestamp"),
+        *keep, F.try_to_timestamp("_r.time").alias("timestamp"),
         *[F.col(f"_r.{source}").alias(target) for source, target in names.items()],
     )
 
