@@ -84,4 +84,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_surrogates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY).drop("made")
+    return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)

@@ -40,7 +40,8 @@ MALE_NAMES = "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon M
 LAST_NAMES = ("Abel Baker Carver Dorn Ebner Fischer Garner Holm Ingram Jansen Keller Lang Moser Norden Otter Palmer Quint Reuter Stern "
               "Tanner Ulmer Vogel Weber York Ziegler").split()
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HEX = "0123456789abcdef"
+#: Every pattern needs a digit, an @ or a title: most texts have none and are not searched further.
+NEEDED = r"[0-9@]|\b(?:Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor)"
 
 
 def kind_of(entity: Column) -> Column:
@@ -90,31 +91,40 @@ def _check_digit(body: Column) -> Column:
     return ((F.lit(10) - F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     """The replacement of an entity; ``attempt`` above 0 gives others."""
-    kind = kind_of(entity)
-    hexes = _stream(secret, F.concat_ws("/", kind, normal_form(entity, kind), attempt.cast("string")))
-    reshaped = _reshaped(entity, hexes)
+    def with_kind(kind: Column) -> Column:
+        seed = F.concat_ws("/", kind, normal_form(entity, kind), attempt.cast("string"))
+        return _let(_stream(secret, seed), lambda hexes: _let(
+            _reshaped(entity, hexes), lambda reshaped: _by_kind(entity, kind, hexes, reshaped)))
+    return _let(kind_of(entity), with_kind)
+
+
+def _by_kind(entity: Column, kind: Column, hexes: Column, reshaped: Column) -> Column:
     mail = F.concat(_reshaped(F.substring_index(entity, "@", 1), hexes), F.lit("@mail"), _number(hexes, 7, 1000).cast("string"),
                     F.lit(".example.com"))
     # The first digit, which names the network, stays; the last one is the check digit.
     digits = F.regexp_replace(reshaped, r"\D", "")
     body = F.concat(F.substring(F.regexp_replace(entity, r"\D", ""), 1, 1), F.substring(digits, 2, 14))
     number = F.concat(body, _check_digit(body))
-    places = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(
-        number, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"\D", "")) + 1, F.lit(1))).otherwise(c))
+    card = _let(number, lambda own: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(
+        own, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"\D", "")) + 1, F.lit(1))).otherwise(c)), ""))
     ip = F.concat_ws(".", (_number(hexes, 1, 223) + 1).cast("string"), *[_number(hexes, i, 256).cast("string") for i in (2, 3)],
                      (_number(hexes, 4, 254) + 1).cast("string"))
     # Country code and area code keep their first digit, so numbers stay dialable ones of their region.
-    phone = F.concat(F.regexp_extract(entity, r"^\D*\d*\D*\d?", 0),
-                     F.expr("''"))
-    phone = F.concat(phone, F.substring(reshaped, F.length(phone) + 1, F.length(entity)))
+    start = F.regexp_extract(entity, r"^\D*\d*\D*\d?", 0)
+    phone = F.concat(start, F.substring(reshaped, F.length(start) + 1, F.length(entity)))
     title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
     given = F.when(entity.rlike(f"^(?:{FEMALE_TITLES})[. ]"), _pick(hexes, 1, FEMALE_NAMES)).otherwise(_pick(hexes, 1, MALE_NAMES))
     name = F.when(entity.rlike(r" \p{L}+ \p{L}+$"), F.concat(title, given, F.lit(" "), _pick(hexes, 2, LAST_NAMES))).otherwise(
         F.concat(title, _pick(hexes, 2, LAST_NAMES)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(reshaped, F.lit(3), F.length(entity)))
-    return (F.when(kind == "email", mail).when(kind == "card", F.array_join(places, "")).when(kind == "ip", ip)
+    return (F.when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip)
             .when(kind == "phone", phone).when(kind == "name", name).when(kind == "iban", iban).otherwise(reshaped))
 
 
@@ -150,7 +160,8 @@ def numbered(entities: DataFrame, secret: str) -> DataFrame:
 def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     """``doc_id``, number of entities, number of distinct ones, and the text with surrogates in place of them."""
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"),
-                        F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array()).alias("entities"))
+                        F.coalesce(F.when(F.col("text").rlike(NEEDED), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))),
+                                   F.array().cast("array<string>")).alias("entities"))
     # The clashing ones by text: entities are few beside their texts.
     held = found.where(F.size("entities") > 0).select("text_key", F.explode(F.array_distinct("entities")).alias("entity"))
     held = written(held, "held-entities")
@@ -159,7 +170,7 @@ def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     joined = found.join(by_text, "text_key", "left")
     gaps = F.split("text", ANY, -1)
     made = F.transform("entities", lambda e: surrogate(e, F.coalesce(F.try_element_at("attempts", e), F.lit(0)), secret))
-    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("made", i), F.lit("")))), "")
-    return joined.withColumn("made", made).select(
+    rebuilt = _let(made, lambda m: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(m, i), F.lit("")))), ""))
+    return joined.select(
         "doc_id", F.size("entities").alias("n_entities"), F.size(F.array_distinct("entities")).alias("n_distinct"),
-        F.when(F.size("entities") == 0, F.col("text")).otherwise(rebuilt).alias("text"), "made")
+        F.when(F.size("entities") == 0, F.col("text")).otherwise(rebuilt).alias("text"))
