@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import rows_of, text_of
+from hazeline.llm.common import rows_of, text_of, worker_store
 
 SAMPLE_DOCS = 500
 BUCKETS = 1 << 16
@@ -204,19 +204,13 @@ class WordScores(dict):
         return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
-_scores: dict[bytes, WordScores] = {}
-
-
 def label_documents(docs: DataFrame, field: Field, held_out: F.Column) -> DataFrame:
     """Language, score, words and language switches of every document."""
     model = docs.sparkSession.sparkContext.broadcast(field)
     key = np.array([zlib.crc32(x.tobytes()) for x in (field.weights, field.transitions)]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scores:
-            _scores.clear()
-            _scores[key] = WordScores(model.value)
-        scores = _scores[key]
+        scores = worker_store(("word scores", key), lambda: WordScores(model.value))
         languages = scores.field.languages
         for batch in rows_of(batches, 2 << 20):
             texts = [(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column("text")]

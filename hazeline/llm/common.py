@@ -7,6 +7,7 @@ use (white space 0x20 and 0x09-0x0D; ASCII letters and digits plus everything ab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hazeline.session import work_dir, written
 
-__all__ = ["ASCII_LOWER", "LETTER_DIGIT_WORDS", "WordHashes", "mix", "read_table", "rows_of", "text_of", "windows", "work_dir", "written"]
+__all__ = ["ASCII_LOWER", "LETTER_DIGIT_WORDS", "WordHashes", "mix", "read_table", "rows_of", "text_of", "windows", "worker_store", "work_dir", "written"]
 
 #: Lower-cases A-Z and leaves every other byte alone.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -26,7 +27,16 @@ LETTER_DIGIT_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: The folder that holds the package, for Python workers that were started elsewhere.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; from then on the session's Python workers also look for this package where the driver found it."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = ":".join(filter(None, [*paths, ROOT]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +58,18 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Ite
             start = end
 
 
+_store: dict[tuple, object] = {}
+
+
+def worker_store(key: tuple, make):
+    """What a worker keeps between tasks for one operator. A worker that turns to another operator drops it first: the stores of
+    several operators together would be several times as large."""
+    if key not in _store:
+        _store.clear()
+        _store[key] = make()
+    return _store[key]
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, computed once per word; emptied when it has ``most`` words."""
 

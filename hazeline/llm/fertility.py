@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import rows_of, text_of, written
+from hazeline.llm.common import rows_of, text_of, worker_store, written
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, REPEAT_WIDTH = 50, 50, 3
 SYMBOLS = b"#*$%&|<>"
@@ -60,9 +60,6 @@ class WordPieces(dict):
             self[w] = np.array(ids, self.kind).tobytes()
 
 
-_pieces: dict[str, WordPieces] = {}
-
-
 def repeated_words(words: list[bytes], width: int = REPEAT_WIDTH) -> int:
     """Words inside windows that the text holds twice or more."""
     n = len(words) - width + 1
@@ -101,9 +98,7 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
     """Base counts and fertility measures of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _pieces:
-            _pieces[model_path] = WordPieces(model_path)
-        pieces = _pieces[model_path]
+        pieces = worker_store(("word pieces", model_path), lambda: WordPieces(model_path))
         for batch in rows_of(batches):
             texts = [t.as_py() or b"" for t in batch.column("text")]
             split = [t.split() for t in texts]

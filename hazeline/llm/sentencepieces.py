@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from hazeline.llm.common import text_of
+from hazeline.llm.common import text_of, worker_store
 
 SPACE = "▁"
 SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -165,13 +165,8 @@ class PieceEncoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return worker_store(("pieces", path), lambda: PieceEncoder(path))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:

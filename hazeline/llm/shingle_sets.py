@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.blobs import by_bucket, layout, pack40, runs, split_hash, table, unpack40
-from hazeline.llm.common import ASCII_LOWER, WordHashes, mix, rows_of, text_of, windows
+from hazeline.llm.common import ASCII_LOWER, WordHashes, mix, rows_of, text_of, windows, worker_store
 
 SETS_SQL = "doc_id long, class long, n_shingles long"
 SENT_SQL = "bucket long, source long, classes binary, counts binary, hashes binary"
@@ -29,15 +29,13 @@ LIVE = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("central", pa.int64
                   ("spread", pa.list_(pa.int32()))])
 LIVE_SQL = "class long, n long, central long, shingles array<long>, spread array<int>"
 
-_hashes = WordHashes()
-
-
 def sets_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document numbers and shingles of all distinct (document, shingle); per document the set's digest and size."""
     split = [(t or b"").translate(ASCII_LOWER).split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     doc = np.repeat(np.arange(len(split)), counts)
-    h = np.concatenate([_hashes.of(w) for w in split]) if len(doc) else np.empty(0, np.uint64)
+    hashes = worker_store(("hashes",), WordHashes)
+    h = np.concatenate([hashes.of(w) for w in split]) if len(doc) else np.empty(0, np.uint64)
     full = windows(h, width)
     inside = doc[:len(full)] == doc[width - 1:] if len(full) else np.empty(0, bool)
     parts, owners = [full[inside]], [doc[:len(full)][inside]]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.blobs import by_bucket, contains, layout, pack40, runs, split_hash, table, unpack40
-from hazeline.llm.common import WordHashes, windows
+from hazeline.llm.common import WordHashes, windows, worker_store
 
 #: Every residue is a difference of two members of the cover.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -43,9 +43,6 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 KEY_BITS = np.uint64(40)
 
-_hashes = WordHashes()
-
-
 class Words:
     """Words of a block of documents, one after the other."""
 
@@ -55,7 +52,8 @@ class Words:
         self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.starts = np.cumsum(self.counts) - self.counts
         n = int(self.counts.sum())
-        self.hashes = np.concatenate([_hashes.of(w) for w in self.words]) if n else np.empty(0, np.uint64)
+        hashes = worker_store(("hashes",), WordHashes)
+        self.hashes = np.concatenate([hashes.of(w) for w in self.words]) if n else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.words)), self.counts)
         self.order = np.array([-1 if i is None else i for i in self.ids], np.int64)
         self.known = np.array([i is not None for i in self.ids], bool)

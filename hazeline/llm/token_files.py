@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import rows_of, work_dir, written
+from hazeline.llm.common import rows_of, work_dir, worker_store, written
 
 ROW_STRIDE, STRIPE_BYTES, BLOOM_RATE = 10_000, 64 << 20, 0.01
 FILE_SQL = "part int, ordinal long, doc_id long, ids array<int>"
@@ -113,17 +113,13 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Write the ids of every text, each with ``end_id`` behind it, in ascending doc_id order."""
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     dealt = dealt.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoders.setdefault(tokenizer_path, None) or ChunkEncoder(tokenizer_path)
-        _encoders[tokenizer_path] = own
+        own = worker_store(("byte chunks", tokenizer_path), lambda: ChunkEncoder(tokenizer_path))
         part, ordinal, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         for batch in rows_of(batches):
             packed = own.encode([(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column("text")])
