@@ -3,7 +3,9 @@
 One pattern finds mail addresses, IBANs, card numbers, social security numbers, network addresses, phone numbers and titled names.
 An entity's surrogate follows from a keyed hash of its type and normal form, so equal entities get equal surrogates in all documents,
 and keeps its shape: digits for digits with the separators where they were, network octets in range, letters of the same script and
-case, mail domains under ``example.com``, card numbers with a valid check digit; names come from a list of the same gender as the title.
+case, mail domains under ``example.com``, card numbers with a valid check digit; given names come from a list of the same gender as the
+title, surnames are put together from syllables of the same script. With every attempt surnames get a syllable more, and from
+``WIDER_FROM`` on phone numbers a digit more, so no type runs out of surrogates however many entities there are.
 
 Distinct entities must keep distinct surrogates, and no surrogate may be another document's real entity: all distinct entities are
 compared by (type, surrogate), and those that clash are numbered and hashed anew until none do. Only clashing entities carry a number;
@@ -11,6 +13,10 @@ they are joined to the documents that hold them, by the hash of the text.
 
 Scale: one scan finds entities; what is shuffled is entities, and texts once for the join with the (few) numbered ones.
 
+Cards have 13 to 19 digits and a valid check digit; sixteen digits in fours, also with up to three more behind them, count as a card
+without one, as a mistyped card is personal, too. National phone numbers are those with a leading zero or in the American form with
+separators; ten digits in a row without a zero are no phone number.
+
 Edge cases: null text stays null with no entities; text without entities is unchanged; a repeated row gets the same result; an
 entity inside a longer run of digits or letters is not one; other columns are ignored.
 """
@@ -23,35 +29,56 @@ from pyspark.sql import functions as F
 from hazeline.llm.common import written
 
 MOST_ATTEMPTS = 25
+#: From this attempt on a phone number gets a digit more with each.
+WIDER_FROM = 4
 #: Types in the order in which the pattern tries them.
 # Shapes of personal data, titles and names.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.])(?:\d{4}[ -]?){3}\d{4}(?![\w])",
+    "card": r"(?<![\w.])(?:\d{4}[ -]?){3}\d{4}(?:[ -]\d{1,3})?(?![\w])",
+    "number": r"(?<![\w.+])[1-9](?:\d{12,18}|\d{3}[ -]\d{6}[ -]\d{4,5}|\d{3}[ -]\d{3}[ -]\d{3}[ -]\d{3})(?![\w]|[ -]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)",
+    "phone": r"(?<![\w])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+             r"|(?<![\w.+/-])(?:1[ .-])?[2-9]\d{2}(?:-[2-9]\d{2}-|\.[2-9]\d{2}\.| [2-9]\d{2} )\d{4}(?![\w]|[.-]\d)"
+             r"|(?<![\w.+/-])0[1-9](?:\d{8,9}|(?:[ .-]\d{2}){4}|\d{1,3}[ -]\d{3,4}[ -]\d{3,4}|\d{0,3}[ /-]\d{6,8})(?![\w]|[./-]\d)"
+             r"|(?<![\w.+/-])00[1-9]\d{0,2}(?:[ .-]\d{2,8}){2,5}(?!\w)",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Señora"
 FEMALE_NAMES = "Alma Clara Dora Elsa Flora Greta Helen Irma Julia Karla Laura Marta Nora Olga Paula Rita Sonia Tessa Vera Wanda".split()
 MALE_NAMES = "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Oscar Paul Ralf Simon Tom Victor".split()
-LAST_NAMES = ("Abel Baker Carver Dorn Ebner Fischer Garner Holm Ingram Jansen Keller Lang Moser Norden Otter Palmer Quint Reuter Stern "
-              "Tanner Ulmer Vogel Weber York Ziegler").split()
+#: 64 syllables of each script, from 16 beginnings and 4 vowels; the first script's serve all others.
+SYLLABLES = {script: [b + v for b in beginnings.split() for v in vowels.split()] for script, beginnings, vowels in (
+    ("Latin", "b br d f g h k l m n p r s st t v", "a e i o"), ("Cyrillic", "б бр д ф г х к л м н п р с ст т в", "а е и о"),
+    ("Greek", "β βρ δ φ γ χ κ λ μ ν π ρ σ στ τ ζ", "α ε ι ο"))}
+#: Syllables of a surname at the first attempt; as many more as the hash has digits for.
+LEAST_SYLLABLES, MOST_SYLLABLES = 3, 30
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every pattern needs a digit, an @ or a title: most texts have none and are not searched further.
 NEEDED = r"[0-9@]|\b(?:Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor)"
 
 
 def kind_of(entity: Column) -> Column:
-    """First type whose pattern the whole entity fits."""
+    """First type whose pattern the whole entity fits; a number is a card if its check digit is right, and else ``none``."""
     kind = F.lit("name")
     for name, pattern in reversed(list(PATTERNS.items())):
-        kind = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
+        found = F.when(_checked(entity), F.lit("card")).otherwise(F.lit("none")) if name == "number" else F.lit(name)
+        kind = F.when(entity.rlike(f"^(?:{pattern})$"), found).otherwise(kind)
     return kind
 
 
+def _checked(entity: Column) -> Column:
+    return _let(F.regexp_replace(entity, r"\D", ""), lambda n: F.substring(n, -1, 1) == _check_digit(n.substr(F.lit(1), F.length(n) - 1)))
+
+
+def is_entity(candidate: Column) -> Column:
+    """All that the patterns find are entities, but numbers without a valid check digit."""
+    number = candidate.rlike(f"^(?:{PATTERNS['number']})$") & ~candidate.rlike(f"^(?:{PATTERNS['card']})$")
+    return ~F.when(number, ~_checked(candidate)).otherwise(F.lit(False))
+
+
 def normal_form(entity: Column, kind: Column) -> Column:
     """What makes two spellings the same entity: digits alone, small letters for mail."""
     digits = F.regexp_replace(entity, r"[^0-9A-Za-z]", "")
@@ -85,9 +112,9 @@ def _reshaped(entity: Column, hexes: Column) -> Column:
 
 
 def _check_digit(body: Column) -> Column:
-    """Luhn digit behind 15 digits."""
+    """Luhn digit behind the digits of ``body``."""
     doubled = F.transform(F.split(body, ""), lambda c, i: F.when(
-        i % 2 == 0, F.floor(c.cast("int") * 2 / 10) + c.cast("int") * 2 % 10).otherwise(c.cast("int")).cast("int"))
+        (F.length(body) - i) % 2 == 1, F.floor(c.cast("int") * 2 / 10) + c.cast("int") * 2 % 10).otherwise(c.cast("int")).cast("int"))
     return ((F.lit(10) - F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string")
 
 
@@ -101,30 +128,47 @@ def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     def with_kind(kind: Column) -> Column:
         seed = F.concat_ws("/", kind, normal_form(entity, kind), attempt.cast("string"))
         return _let(_stream(secret, seed), lambda hexes: _let(
-            _reshaped(entity, hexes), lambda reshaped: _by_kind(entity, kind, hexes, reshaped)))
+            _reshaped(entity, hexes), lambda reshaped: _by_kind(entity, kind, attempt, hexes, reshaped)))
     return _let(kind_of(entity), with_kind)
 
 
-def _by_kind(entity: Column, kind: Column, hexes: Column, reshaped: Column) -> Column:
-    mail = F.concat(_reshaped(F.substring_index(entity, "@", 1), hexes), F.lit("@mail"), _number(hexes, 7, 1000).cast("string"),
-                    F.lit(".example.com"))
+def _surname(entity: Column, attempt: Column, hexes: Column) -> Column:
+    """Syllables in the script of the entity, one more with every attempt."""
+    n = F.least(F.lit(LEAST_SYLLABLES) + attempt, F.lit(MOST_SYLLABLES))
+    last = F.substring_index(entity, " ", -1)
+
+    def of(script: str) -> Column:
+        syllables = F.array(*map(F.lit, SYLLABLES[script]))
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(
+            syllables, (F.conv(F.substring(hexes, F.lit(17) + i * 3, F.lit(3)), 16, 10).cast("int") % len(SYLLABLES[script])) + 1)), ""))
+    made = of("Latin")
+    for script in list(SYLLABLES)[1:]:
+        made = F.when(last.rlike(rf"^\p{{Is{script}}}"), of(script)).otherwise(made)
+    return made
+
+
+def _by_kind(entity: Column, kind: Column, attempt: Column, hexes: Column, reshaped: Column) -> Column:
+    # Short local parts have few shapes, so the domain carries 48 bits of the hash.
+    mail = F.concat(_reshaped(F.substring_index(entity, "@", 1), hexes), F.lit("@mail"), F.substring(hexes, 65, 12), F.lit(".example.com"))
     # The first digit, which names the network, stays; the last one is the check digit.
     digits = F.regexp_replace(reshaped, r"\D", "")
-    body = F.concat(F.substring(F.regexp_replace(entity, r"\D", ""), 1, 1), F.substring(digits, 2, 14))
-    number = F.concat(body, _check_digit(body))
+    body = F.concat(F.substring(F.regexp_replace(entity, r"\D", ""), 1, 1), digits.substr(F.lit(2), F.length(digits) - 2))
+    number = _let(body, lambda b: F.concat(b, _check_digit(b)))
     card = _let(number, lambda own: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(
         own, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"\D", "")) + 1, F.lit(1))).otherwise(c)), ""))
     ip = F.concat_ws(".", (_number(hexes, 1, 223) + 1).cast("string"), *[_number(hexes, i, 256).cast("string") for i in (2, 3)],
                      (_number(hexes, 4, 254) + 1).cast("string"))
-    # Country code and area code keep their first digit, so numbers stay dialable ones of their region.
-    start = F.regexp_extract(entity, r"^\D*\d*\D*\d?", 0)
-    phone = F.concat(start, F.substring(reshaped, F.length(start) + 1, F.length(entity)))
+    # The first digit stays: the world zone or the leading zero. It is the same in all spellings of a number.
+    start = F.regexp_extract(entity, r"^\D*\d", 0)
+    phone = F.concat(start, F.substring(reshaped, F.length(start) + 1, F.length(entity)),
+                     F.rpad(F.lit(""), F.greatest(attempt - (WIDER_FROM - 1), F.lit(0)), F.conv(F.substring(hexes, 100, 12), 16, 10)))
     title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
     given = F.when(entity.rlike(f"^(?:{FEMALE_TITLES})[. ]"), _pick(hexes, 1, FEMALE_NAMES)).otherwise(_pick(hexes, 1, MALE_NAMES))
-    name = F.when(entity.rlike(r" \p{L}+ \p{L}+$"), F.concat(title, given, F.lit(" "), _pick(hexes, 2, LAST_NAMES))).otherwise(
-        F.concat(title, _pick(hexes, 2, LAST_NAMES)))
+    surname = _surname(entity, attempt, hexes)
+    name = _let(surname, lambda last: F.when(entity.rlike(r" \p{L}+ \p{L}+$"), F.concat(title, given, F.lit(" "), last)).otherwise(
+        F.concat(title, last)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(reshaped, F.lit(3), F.length(entity)))
-    return (F.when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip)
+    return (F.when(kind == "none", entity).when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip)
             .when(kind == "phone", phone).when(kind == "name", name).when(kind == "iban", iban).otherwise(reshaped))
 
 
@@ -161,7 +205,9 @@ def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     """``doc_id``, number of entities, number of distinct ones, and the text with surrogates in place of them."""
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"),
                         F.coalesce(F.when(F.col("text").rlike(NEEDED), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))),
-                                   F.array().cast("array<string>")).alias("entities"))
+                                   F.array().cast("array<string>")).alias("candidates"))
+    # All candidates keep their place between the gaps; those that are no entities stand for themselves.
+    found = found.withColumn("entities", F.filter("candidates", is_entity))
     # The clashing ones by text: entities are few beside their texts.
     held = found.where(F.size("entities") > 0).select("text_key", F.explode(F.array_distinct("entities")).alias("entity"))
     held = written(held, "held-entities")
@@ -169,7 +215,7 @@ def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     by_text = again.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts"))
     joined = found.join(by_text, "text_key", "left")
     gaps = F.split("text", ANY, -1)
-    made = F.transform("entities", lambda e: surrogate(e, F.coalesce(F.try_element_at("attempts", e), F.lit(0)), secret))
+    made = F.transform("candidates", lambda e: surrogate(e, F.coalesce(F.try_element_at("attempts", e), F.lit(0)), secret))
     rebuilt = _let(made, lambda m: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(m, i), F.lit("")))), ""))
     return joined.select(
         "doc_id", F.size("entities").alias("n_entities"), F.size(F.array_distinct("entities")).alias("n_distinct"),

@@ -141,3 +141,34 @@ def test_surrogates_stay_distinct(spark):
     got = replace_personal_data(frame(spark, rows), "k").collect()
     assert len({r.text for r in got}) == 150
     assert not {r.text for r in got} & {t for _, t in rows}
+
+
+def test_surrogates_never_run_out(spark):
+    """More names of a title, short phone numbers of a shape and one-letter mail boxes than short lists have surrogates for."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    last = ["X" + a + b + c for a in letters[:15] for b in letters[:10] for c in letters[:20]]
+    rows = [(i, f"Mr. {x}") for i, x in enumerate(last)] + [(10_000 + i, f"Herr Jo {x}") for i, x in enumerate(last)]
+    rows += [(20_000 + i, f"+1{i:04d}") for i in range(10_000)] + [(30_000 + i, f"a@d{i}.org") for i in range(3000)] + [(40_000, "Mr. Иванов")]
+    got = {r.doc_id: r.text for r in replace_personal_data(frame(spark, rows), "k").collect()}
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & {t for _, t in rows}
+    assert re.fullmatch(r"Mr\. [А-Я][а-я]+", got[40_000])
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]+", got[i]) and re.fullmatch(r"Herr [A-Z][a-z]+ [A-Z][a-z]+", got[10_000 + i]) for i in range(3000))
+
+
+def test_surrogates_of_national_phones_and_cards_of_all_lengths(spark):
+    found = ["386-555-3733", "1.386.555.3733", "030 1234567", "0171/1234567", "01 23 45 67 89", "020 7946 0958", "01711234567",
+             "0049 30 1234567", "+491511234567", "378282246310005", "3782 822463 10005", "4222222222222", "6304000000000000000",
+             "4111 1111 1111 1111", "4111111111111112"]
+    kept = ["378282246310006", "4222222222223", "2024-01-02", "01.02.2024", "01/2024", "1234567890", "12345678901234567890", "3.14159"]
+    rows = [(i, f"x {t}, y") for i, t in enumerate(found + kept)] + [(100, "call +1 (386) 555-3733 or +13865553733")]
+    got = {r.doc_id: r for r in replace_personal_data(frame(spark, rows), "k").collect()}
+    for i, t in enumerate(found):
+        assert got[i].n_entities == 1 and got[i].text != rows[i][1], t
+        assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", rows[i][1]), t
+    for i, t in enumerate(kept, len(found)):
+        assert got[i].n_entities == 0 and got[i].text == rows[i][1], t
+    one, other = re.fullmatch(r"call (.*) or (.*)", got[100].text).groups()
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", other)
+    for i in (9, 10, 11, 12, 13):
+        digits = [int(c) for c in re.sub(r"\D", "", got[i].text)]
+        assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
