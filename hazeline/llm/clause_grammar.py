@@ -6,7 +6,8 @@ of a matched word by a factor of its state: a target in reach raises it, a negat
 to the end of the clause, and repeated insults in one clause saturate. Their composition is one transducer over state tuples. A
 document's features are the weights of its matched clauses (largest, sum, number); a logistic curve over them is the score.
 
-Fitting: labelled rows, of which a hash of doc_id picks about ``SAMPLE_ROWS`` of either label (a bound on the fit). Lexicon entries
+Fitting: labelled rows, of which a hash of doc_id picks about ``SAMPLE_ROWS`` of either label (a bound on the fit). In the curve each
+counts for the rows it stands for, so the curve keeps the mix of labels however many there are. Lexicon entries
 are chosen one by one, each for the toxic documents that the entries before it leave unexplained, so words that merely stand in copies
 of a toxic document explain nothing new. Scale: one scan scores all; the fitted grammar is small and bounded by ``MOST_ENTRIES``.
 
@@ -201,13 +202,13 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, tuple[str, float]]:
     return lexicon
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps; each row counts ``weights`` times."""
     w = np.zeros(x.shape[1])
     ridge = penalty * np.diag(np.r_[1e-3, np.ones(x.shape[1] - 1)])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
+        w += np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (weights * (y - p)) - ridge @ w)
     return w
 
 
@@ -219,7 +220,7 @@ def fit(rows: list[tuple[str, int, float]]) -> Grammar:
     if len({label for _, label, _ in rows}) < 2:
         return Grammar(lexicon, machine, np.array([-3.0, 1.0, 0.5, 0.5]))
     x = np.array([features(matched_clauses(t, symbols, machine)) for t, _, _ in rows])
-    return Grammar(lexicon, machine, fit_curve(x, np.array([label for _, label, _ in rows], float)))
+    return Grammar(lexicon, machine, fit_curve(x, np.array([label for _, label, _ in rows], float), np.array([n for _, _, n in rows])))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int, float]]:
@@ -227,7 +228,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     known = (docs.select("doc_id", F.col("text").alias("text")).where("text IS NOT NULL")
              .join(labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
              .withColumn("h", F.xxhash64("doc_id")))
-    parts, sizes = 1_000_000, {r.toxic: r.n for r in labels.where("toxic IS NOT NULL").groupBy(
+    parts, sizes = 1 << 62, {r.toxic: r.n for r in labels.where("toxic IS NOT NULL").groupBy(
         F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
     for label, n in sizes.items():

@@ -172,3 +172,24 @@ def test_surrogates_of_national_phones_and_cards_of_all_lengths(spark):
     for i in (9, 10, 11, 12, 13):
         digits = [int(c) for c in re.sub(r"\D", "", got[i].text)]
         assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_toxicity_keeps_the_mix_of_labels(spark):
+    """A bounded sample gives about the scores that all rows give."""
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(4400):
+        toxic = i % 11 == 0
+        weak = rng.random() < (0.8 if toxic else 0.05)
+        rows.append((i, f"{prose(rng, 12)} {'you oaf ' if weak else ''}{prose(rng, 12)}"))
+        labels.append((i, int(toxic)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    curves = []
+    for n in (100, 10_000):
+        sample = grammar.training_sample(docs, labels, n)
+        x = np.array([[1.0, float("oaf" in t)] for t, _, _ in sample])
+        curve = grammar.fit_curve(x, np.array([y for _, y, _ in sample], float), np.array([w for _, _, w in sample]))
+        curves.append(1 / (1 + np.exp(-np.array([curve[0], curve.sum()]))))
+    assert np.abs(curves[0] - curves[1]).max() < 0.2 and curves[0][0] < 0.05
+    whole, part = (grammar.fit(grammar.training_sample(docs, labels, n)) for n in (10_000, 100))
+    score = [1 / (1 + np.exp(-grammar.features([]) @ g.curve)) for g in (whole, part)]
+    assert abs(score[0] - score[1]) < 0.05
