@@ -7,8 +7,8 @@ travel as arrays, so that documents are scanned and judged in one pass and never
 
 Labelled findings: rows (value, before, after, label). Where none are given, ``seed_findings`` derives them from the corpus by rules
 of high precision: published key formats and values assigned to names of credentials are findings; words of letters alone, mail and
-network addresses, card and phone numbers are not; whatever no rule decides is left out. A hash of doc_id bounds the documents read
-for that (``SAMPLE_DOCS``); the dictionary comes from the same documents.
+network addresses, card and phone numbers are not; whatever no rule decides is left out. All documents are read for them and for the
+dictionary; only the findings of the fit are bounded (``MOST_FINDINGS``, half of either label, those with the smallest hashes).
 
 Edge cases: null or empty text has no candidates; without findings of both kinds every candidate that a rule calls a finding is one;
 an empty table gives no rows; other columns are ignored (``clean`` keeps them all and replaces ``text``).
@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import rows_of, text_of
+from hazeline.llm.common import rows_of, text_of, written
 
-SAMPLE_DOCS = 4000
 MOST_FINDINGS = 6000
 TREES, DEPTH, SEED = 30, 6, 11
 DICTIONARY_WORDS, DICTIONARY_SHORTEST = 5000, 3
@@ -136,27 +136,46 @@ def around(text: str, start: int, stop: int) -> tuple[str, str, str]:
     return text[start:stop], text[max(0, start - 32):start], text[stop:stop + 16]
 
 
-def sampled(docs: DataFrame, total: int, most: int = SAMPLE_DOCS) -> DataFrame:
-    parts = 1_000_000
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(min(1.0, most / max(1, total)) * parts))
+class Smallest:
+    """Distinct values with the smallest hashes (those of Spark's ``xxhash64``) and the smallest surroundings of each."""
 
+    def __init__(self, most: int):
+        self.most, self.bound, self.found = most, 1 << 63, {}
 
-def seed_findings(docs: DataFrame) -> DataFrame:
-    """Findings that rules of high precision decide: value, before, after, label."""
+    def add(self, value: str, before: str, after: str) -> None:
+        if (known := self.found.get(value)) is not None:
+            self.found[value] = known[0], min(known[1], (before, after))
+            return
+        h = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), seed=42)
+        h -= (h >> 63) << 64
+        if h <= self.bound:
+            self.found[value] = h, (before, after)
+            if len(self.found) > 4 * self.most:
+                self.cut()
+
+    def cut(self) -> None:
+        kept = sorted(self.found.items(), key=lambda x: x[1][0])[:self.most]
+        self.found, self.bound = dict(kept), kept[-1][1][0]
+
+
+def seed_findings(docs: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
+    """Findings that rules of high precision decide: value, before, after, label. Each task keeps those that ``fit`` could choose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Smallest(most // 2), Smallest(most // 2)
         for batch in rows_of(batches):
-            rows = []
             for t in batch.column("text"):
                 text = (t.as_py() or b"").decode("utf-8", "replace")
                 for m in re.finditer(r"\S{12,}", text):  # long words that are no candidates are false findings, too
                     if m[0].isalpha():
-                        rows.append((*around(text, *m.span()), 0))
+                        kept[0].add(*around(text, *m.span()))
                 for start, stop in candidates(text):
                     value, before, after = around(text, start, stop)
                     if (label := seed_label(value, before)) is not None:
-                        rows.append((value, before, after, label))
-            value, before, after, label = zip(*rows) if rows else ((), (), (), ())
+                        kept[label].add(value, before, after)
+        rows = [(value, *near, label) for label, own in enumerate(kept) for value, (_, near) in own.found.items()]
+        if rows:
+            value, before, after, label = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(value, pa.string()), pa.array(before, pa.string()), pa.array(after, pa.string()),
                                               pa.array(label, pa.int32())], names=["value", "before", "after", "label"])
 
@@ -191,14 +210,13 @@ def _flat(node) -> tuple[np.ndarray, ...]:
 
 def fit(findings: DataFrame, dictionary: frozenset[str], most: int = MOST_FINDINGS) -> Forest:
     """Forest of at most ``most`` findings, each distinct one once, of either label."""
-    distinct = findings.where("value IS NOT NULL AND label IS NOT NULL").dropDuplicates(["value", "label"])
-    share = distinct.groupBy("label").agg(F.count("*").alias("n")).collect()
-    if {r.label for r in share} != {0, 1}:
+    known = findings.where("value IS NOT NULL AND label IS NOT NULL").groupBy("value", "label").agg(
+        F.min(F.struct("before", "after")).alias("near"))
+    known = written(known.select("value", "near.before", "near.after", "label"), "findings")
+    if {r.label for r in known.select("label").distinct().collect()} != {0, 1}:
         return Forest([], dictionary)
-    parts, chosen = 1_000_000, F.lit(False)
-    for r in share:
-        chosen = chosen | ((F.col("label") == r.label) & (F.pmod(F.xxhash64("value"), F.lit(parts)) < int(min(1.0, most / 2 / r.n) * parts)))
-    rows = sorted(distinct.where(chosen).select("value", "before", "after", "label").collect(), key=lambda r: (r.value, r.label))
+    rows = [r for label in (0, 1) for r in known.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(most // 2).collect()]
+    rows = sorted(rows, key=lambda r: (r.value, r.label))
     spark = findings.sparkSession
     points = spark.createDataFrame(
         [(float(r.label), Vectors.dense(describe(r.value, r.before or "", r.after or "", dictionary))) for r in rows], ["label", "features"])
@@ -230,9 +248,8 @@ def masked(text: str, found: list[tuple[int, int, str, float]]) -> str:
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, clean: bool = False) -> DataFrame:
     """Secrets of every document; with ``clean`` also its text with each one replaced by ``MASK``."""
-    sample = sampled(docs, docs.count())
-    dictionary = dictionary_of(sample)
-    forest = fit(findings if findings is not None else seed_findings(sample), dictionary)
+    dictionary = dictionary_of(docs)
+    forest = fit(findings if findings is not None else seed_findings(docs), dictionary)
     model = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

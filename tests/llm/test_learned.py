@@ -9,6 +9,7 @@ import numpy as np
 from samples import empty, frame, prose
 
 from hazeline.llm import clause_grammar as grammar
+from hazeline.llm import code_switch, secret_forest
 from hazeline.llm.catalog import QUERIES
 from hazeline.llm.code_switch import forward_backward, identify_languages
 from hazeline.llm.common import read_table
@@ -193,3 +194,22 @@ def test_toxicity_keeps_the_mix_of_labels(spark):
     whole, part = (grammar.fit(grammar.training_sample(docs, labels, n)) for n in (10_000, 100))
     score = [1 / (1 + np.exp(-grammar.features([]) @ g.curve)) for g in (whole, part)]
     assert abs(score[0] - score[1]) < 0.05
+
+
+def test_secret_findings_come_from_all_documents(spark, monkeypatch):
+    """One document of 9,000 holds a key; a word in every document is in the dictionary."""
+    rows = [(i, "plain 110.120.130.140 words") for i in range(9000)] + [(9000, "password=a1b2c3d4e5f6a7b8")]
+    seen = []
+    real = secret_forest.fit
+    monkeypatch.setattr(secret_forest, "fit", lambda findings, words: seen.append((findings, words)) or real(findings, words))
+    scan(frame(spark, rows)).count()
+    assert {(r.value, r.label) for r in seen[0][0].collect()} == {("a1b2c3d4e5f6a7b8", 1), ("110.120.130.140", 0)}
+    assert seen[0][1] == {"plain", "words", "password"}
+
+
+def test_secret_findings_of_a_task_are_the_smallest_hashes(spark):
+    rows = [(i, f"198.151.{100 + i // 250}.{100 + i % 250}") for i in range(1000)]
+    docs = frame(spark, rows).coalesce(1)
+    got = {r.value for r in secret_forest.seed_findings(docs, 40).collect()}
+    want = [r.text for r in docs.orderBy(code_switch.F.xxhash64("text")).limit(20).collect()]
+    assert set(want) <= got and len(got) <= 80
