@@ -2,7 +2,8 @@
 
 A row of the shuffle holds the hashes that one block of documents sends to one bucket. Buckets and blocks are cut by size: a bucket's
 hashes fit a task, and a block is large enough that such a row holds dozens of hashes even when there are very many buckets. Within a
-bucket 40 bits tell hashes apart (2e6 hashes: one false meeting in 5e5 of them).
+bucket 40 bits tell hashes apart (2e6 hashes: one false meeting in 5e5 of them); that serves where a meeting is only a hint. Where it
+decides, the full hash and a second, independent one travel: 128 bits.
 """
 
 from __future__ import annotations
@@ -35,6 +36,31 @@ def unpack40(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def pack128(h: np.ndarray, other: np.ndarray) -> bytes:
+    """Pairs of 64-bit hashes: all first ones, then all second ones."""
+    return h.astype("<u8").tobytes() + other.astype("<u8").tobytes()
+
+
+def unpack128(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(data, "<u8")
+    return both[:len(both) // 2].astype(np.uint64), both[len(both) // 2:].astype(np.uint64)
+
+
+def place_of(h: np.ndarray, other: np.ndarray, known: np.ndarray, known_other: np.ndarray) -> np.ndarray:
+    """Where each pair stands among the known pairs, which are sorted; -1 if it is none of them."""
+    at = np.searchsorted(known, h)
+    out = np.full(len(h), -1)
+    open_ = np.flatnonzero(at < len(known))
+    while len(open_):  # more than once only where first hashes meet
+        open_ = open_[known[at[open_]] == h[open_]]
+        same = known_other[at[open_]] == other[open_]
+        out[open_[same]] = at[open_[same]]
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(known)]
+    return out
+
+
 def split_hash(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each hash and the 40 bits that tell it apart there."""
     n = np.uint64(buckets)

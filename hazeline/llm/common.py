@@ -71,16 +71,16 @@ def worker_store(key: tuple, make):
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, computed once per word; emptied when it has ``most`` words."""
+    """Word to 64-bit hash, computed once per word; emptied when it has ``most`` words. Hashes of another seed are independent."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 400_000, seed: int = 0):
         super().__init__()
-        self.most = most
+        self.most, self.seed = most, seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

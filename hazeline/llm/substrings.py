@@ -5,11 +5,11 @@ modulo ``PERIOD``, in the difference cover: for any two positions some shift bel
 passage windows always share an anchor at the same offset. Three steps over blocks of documents:
 
 1. each block sends its anchors to hash buckets, and buckets answer which anchors more than one document has;
-2. each shared anchor extends to the passage windows around it; their fingerprints go to buckets with the block's smallest doc_id,
-   and buckets answer with the smallest doc_id of all;
+2. each shared anchor extends to the passage windows around it; their 128-bit fingerprints (two hashes over independent hashes of
+   the words) go to buckets with the block's smallest doc_id, and buckets answer with the smallest doc_id of all;
 3. each document drops the words under windows whose smallest doc_id is below its own.
 
-Scale: texts are shuffled once, by block; anchors (3 in 7 words, 5 bytes each) and windows around shared anchors once each. A passage
+Scale: texts are shuffled once, by block; anchors (3 in 7 words, 5 bytes each) and windows around shared anchors (16 bytes each) once each. A passage
 of a third of all documents is sent once per block, not per document, and no pair of documents is ever formed. Block and bucket
 counts follow the input's bytes. All steps are part of one plan, so lost executors only recompute.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.blobs import by_bucket, contains, layout, pack40, runs, split_hash, table, unpack40
+from hazeline.llm.blobs import by_bucket, contains, layout, pack40, pack128, place_of, runs, split_hash, table, unpack40, unpack128
 from hazeline.llm.common import WordHashes, windows, worker_store
 
 #: Every residue is a difference of two members of the cover.
@@ -42,6 +42,9 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
                     ("kept_text", pa.string())])
 RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 KEY_BITS = np.uint64(40)
+#: Of the second fingerprint: the seed of its word hashes and its multiplier.
+SECOND_SEED, SECOND_MULTIPLIER = 0x5EED, 0xD1342543DE82EF95
+
 
 class Words:
     """Words of a block of documents, one after the other."""
@@ -52,7 +55,7 @@ class Words:
         self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.starts = np.cumsum(self.counts) - self.counts
         n = int(self.counts.sum())
-        hashes = worker_store(("hashes",), WordHashes)
+        hashes, self.second = worker_store(("hash pairs",), lambda: (WordHashes(), WordHashes(seed=SECOND_SEED)))
         self.hashes = np.concatenate([hashes.of(w) for w in self.words]) if n else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.words)), self.counts)
         self.order = np.array([-1 if i is None else i for i in self.ids], np.int64)
@@ -64,75 +67,107 @@ class Words:
         at = np.flatnonzero((self.doc[:len(h)] == self.doc[width - 1:]) & self.known[self.doc[:len(h)]]) if len(h) else np.empty(0, int)
         return at, h[at]
 
+    def others(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Second hashes of the windows that start there; only the documents that have one are hashed again."""
+        out = np.empty(len(at), np.uint64)
+        docs = self.doc[at]
+        for d, s in by_bucket(docs, len(self.words)):
+            out[s] = windows(self.second.of(self.words[d]), width, SECOND_MULTIPLIER)[at[s] - self.starts[d]]
+        return out
+
     def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         at, h = self.windows(width - PERIOD + 1)
         on = np.isin((at - self.starts[self.doc[at]]) % PERIOD, COVER)
         return at[on], h[on]
 
 
-def _first_of_each(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, the smallest document of each, whether it has several documents."""
-    order = np.lexsort((docs, h))
-    h, docs = h[order], docs[order]
-    first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
-    last = np.r_[h[1:] != h[:-1], True] if len(h) else np.empty(0, bool)
-    return h[first], docs[first], docs[first] != docs[last]
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys begin to differ from those before."""
+    return np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)] if len(keys[0]) else np.empty(0, bool)
+
 
+def _first_of_each(h: np.ndarray, other: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes, the smallest document of each, whether it has several documents."""
+    order = np.lexsort((docs, other, h))
+    h, other, docs = h[order], other[order], docs[order]
+    first = _new(h, other)
+    last = np.r_[first[1:], True] if len(h) else first
+    return h[first], other[first], docs[first], docs[first] != docs[last]
 
-def _asks(block: int, h: np.ndarray, docs: np.ndarray, several: np.ndarray, buckets: int, with_docs: bool) -> pa.Table:
+
+def _asks(block: int, h: np.ndarray, other: np.ndarray, docs: np.ndarray, several: np.ndarray, buckets: int, whole: bool) -> pa.Table:
+    """``whole``: with both hashes and the documents; else with 40 bits of the first hash."""
     bucket, key = split_hash(h, buckets)
-    order = np.lexsort((key, docs, bucket) if with_docs else (key, bucket))
-    bucket, key, docs, several = bucket[order], key[order], docs[order], several[order]
+    order = np.lexsort((h, docs, bucket) if whole else (key, bucket))
+    bucket, key, h, other, docs, several = bucket[order], key[order], h[order], other[order], docs[order], several[order]
     out = {f.name: [] for f in ASKS}
     for b, s in by_bucket(bucket, buckets):
-        values, counts = runs(docs[s]) if with_docs else (docs[:0], docs[:0])
-        for name, x in (("bucket", b), ("block", block), ("hashes", pack40(key[s])), ("several", np.packbits(several[s]).tobytes()),
+        values, counts = runs(docs[s]) if whole else (docs[:0], docs[:0])
+        packed = pack128(h[s], other[s]) if whole else pack40(key[s])
+        for name, x in (("bucket", b), ("block", block), ("hashes", packed), ("several", np.packbits(several[s]).tobytes()),
                         ("docs", values.astype("<i8").tobytes()), ("counts", counts.astype("<u4").tobytes())):
             out[name].append(x)
     return table(ASKS, **out)
 
 
+def _hashes_of(data: bytes, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    if whole:
+        return unpack128(data)
+    h = unpack40(data)
+    return h, np.zeros(len(h), np.uint64)
+
+
 def _docs_of(row_docs: bytes, row_counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(row_docs, "<i8"), np.frombuffer(row_counts, "<u4"))
 
 
-def _answers(asks: pa.Table, with_docs: bool) -> pa.Table:
+def _answers(asks: pa.Table, whole: bool) -> pa.Table:
     """To each block: its hashes that another document has too, with the smallest document of all."""
     rows = asks.to_pylist()
-    keys = [unpack40(r["hashes"]) for r in rows]
-    sizes = np.array([len(k) for k in keys])
-    key, source = np.concatenate(keys), np.repeat(np.arange(len(rows)), sizes)
+    keys = [_hashes_of(r["hashes"], whole) for r in rows]
+    sizes = np.array([len(k) for k, _ in keys])
+    key, other, source = np.concatenate([k for k, _ in keys]), np.concatenate([o for _, o in keys]), np.repeat(np.arange(len(rows)), sizes)
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], "u1"), count=n) for r, n in zip(rows, sizes)]).astype(bool)
-    docs = np.concatenate([_docs_of(r["docs"], r["counts"]) for r in rows]) if with_docs else np.zeros(len(key), np.int64)
-    order = np.lexsort((docs, key))
-    first = np.r_[True, key[order][1:] != key[order][:-1]]
+    docs = np.concatenate([_docs_of(r["docs"], r["counts"]) for r in rows]) if whole else np.zeros(len(key), np.int64)
+    order = np.lexsort((docs, other, key))
+    first = _new(key[order], other[order])
     group = np.cumsum(first) - 1
     shared = (np.bincount(group) > 1) | (np.bincount(group, several[order]) > 0)
     smallest = docs[order][first]
     meant = shared[group]
-    if with_docs:  # nothing to tell a block whose only document with it is the smallest
+    if whole:  # nothing to tell a block whose only document with it is the smallest
         meant &= several[order] | (docs[order] > smallest[group])
     order, least = order[meant], smallest[group[meant]]
     order2 = np.lexsort((least, source[order]))
     order, least = order[order2], least[order2]
     out = {f.name: [] for f in ANSWERS}
     for i, s in by_bucket(source[order], len(rows)):
-        values, counts = runs(least[s]) if with_docs else (least[:0], least[:0])
-        for name, x in (("block", rows[i]["block"]), ("bucket", rows[i]["bucket"]), ("hashes", pack40(key[order[s]])),
+        values, counts = runs(least[s]) if whole else (least[:0], least[:0])
+        packed = pack128(key[order[s]], other[order[s]]) if whole else pack40(key[order[s]])
+        for name, x in (("block", rows[i]["block"]), ("bucket", rows[i]["bucket"]), ("hashes", packed),
                         ("docs", values.astype("<i8").tobytes()), ("counts", counts.astype("<u4").tobytes())):
             out[name].append(x)
     return table(ANSWERS, **out)
 
 
-def _told(answers: pa.Table, with_docs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (bucket and 40 bits) and the smallest document of each."""
+def _told(answers: pa.Table) -> np.ndarray:
+    """Sorted keys (bucket and 40 bits) of anchors that another document has, too."""
+    rows = answers.to_pylist()
+    if not rows:
+        return np.empty(0, np.uint64)
+    return np.sort(np.concatenate([(np.uint64(r["bucket"]) << KEY_BITS) | unpack40(r["hashes"]) for r in rows]))
+
+
+def _earliest(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pairs of hashes and the smallest document of each."""
     rows = answers.to_pylist()
     if not rows:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys = np.concatenate([(np.uint64(r["bucket"]) << KEY_BITS) | unpack40(r["hashes"]) for r in rows])
-    docs = np.concatenate([_docs_of(r["docs"], r["counts"]) for r in rows]) if with_docs else np.zeros(len(keys), np.int64)
-    order = np.argsort(keys)
-    return keys[order], docs[order]
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys = [unpack128(r["hashes"]) for r in rows]
+    h, other = np.concatenate([k for k, _ in keys]), np.concatenate([o for _, o in keys])
+    docs = np.concatenate([_docs_of(r["docs"], r["counts"]) for r in rows])
+    order = np.lexsort((other, h))
+    return h[order], other[order], docs[order]
 
 
 def _key(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -152,7 +187,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = 13, with_text: bool = F
     def anchors(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
         words = Words(table_)
         at, h = words.anchors(width)
-        return _asks(key[0].as_py(), *_first_of_each(h, words.order[words.doc[at]]), buckets, False)
+        return _asks(key[0].as_py(), *_first_of_each(h, np.zeros(len(h), np.uint64), words.order[words.doc[at]]), buckets, False)
 
     def shared_anchors(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
         return _answers(table_, False)
@@ -160,24 +195,26 @@ def drop_repeated_passages(docs: DataFrame, width: int = 13, with_text: bool = F
     def passages(key: tuple[pa.Scalar, ...], table_: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(table_)
         at, h = words.anchors(width)
-        at = at[contains(_key(h, buckets), _told(answers, False)[0])]
+        at = at[contains(_key(h, buckets), _told(answers))]
         starts = np.unique((at[:, None] - np.arange(PERIOD)[None, :]).ravel())
         all_at, all_h = words.windows(width)
         meant = contains(all_at, starts)
         all_at, all_h = all_at[meant], all_h[meant]
         block = key[0].as_py()
-        return _asks(block, *_first_of_each(all_h, words.order[words.doc[all_at]]), buckets, True)
+        others = words.others(all_at, width)
+        return _asks(block, *_first_of_each(all_h, others, words.order[words.doc[all_at]]), buckets, True)
 
     def earliest(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
         return _answers(table_, True)
 
     def removal(key: tuple[pa.Scalar, ...], table_: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(table_)
-        known, least = _told(answers, True)
+        known, known_others, least = _earliest(answers)
         at, h = words.windows(width)
-        keys = _key(h, buckets)
-        hit = np.flatnonzero(contains(keys, known))
-        hit = hit[least[np.searchsorted(known, keys[hit])] < words.order[words.doc[at[hit]]]] if len(hit) else hit
+        hit = np.flatnonzero(contains(h, known))
+        place = place_of(h[hit], words.others(at[hit], width), known, known_others)
+        hit, place = hit[place >= 0], place[place >= 0]
+        hit = hit[least[place] < words.order[words.doc[at[hit]]]]
         edge = np.zeros(len(words.hashes) + 1, np.int64)
         np.add.at(edge, at[hit], 1)
         np.add.at(edge, at[hit] + width, -1)

@@ -169,6 +169,22 @@ def test_substrings(spark, docs, rows, many_blocks):
     assert drop_repeated_passages(empty(spark)).count() == 0
 
 
+def test_substrings_need_both_hashes():
+    """Windows that meet in the first hash alone are two windows, for the buckets and for the removal."""
+    import numpy as np
+
+    from hazeline.llm import substrings
+    from hazeline.llm.blobs import place_of
+    h = np.array([5, 5 + (1 << 40), 9], np.uint64)  # the first two agree in 40 bits
+    asks = [substrings._asks(b, *substrings._first_of_each(h, other, np.array([b, b, b])), 1, True)
+            for b, other in ((1, np.array([1, 2, 3], np.uint64)), (2, np.array([1, 7, 4], np.uint64)))]
+    import pyarrow as pa
+    known, others, least = substrings._earliest(substrings._answers(pa.concat_tables(asks), True))
+    assert (known.tolist(), others.tolist(), least.tolist()) == ([5], [1], [1])
+    known, others = np.array([5, 5, 8], np.uint64), np.array([1, 4, 2], np.uint64)
+    assert place_of(np.array([5, 5, 5, 8, 8, 9], np.uint64), np.array([4, 1, 3, 2, 1, 2], np.uint64), known, others).tolist() == [1, 0, -1, 2, -1, -1]
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(BYTES)
