@@ -2,7 +2,8 @@
 
 Each word gets a score per language from hashed features (the word, prefixes and suffixes up to four letters, letter pairs and
 triples, and a lexicon of frequent words); transitions between languages are learned. Forward-backward labels every word, so mixed
-texts are seen as such; the document takes the language with most of its letters, and the score is that share.
+texts are seen as such; the document takes the language with most of its letters, and the score is that share. A run of letters longer
+than ``LONGEST_PIECE`` bytes, as scripts without spaces have, is read in pieces that are each labelled; ``n_words`` counts the run once.
 
 Fitting: labelled rows with a non-null language; a hash of doc_id picks about ``SAMPLE_DOCS`` of each language (a bound on the fit,
 not on what is labelled). Runs of their words are strung together across languages, which teaches the transitions. Scale: one scan
@@ -34,6 +35,8 @@ SEQUENCES, LENGTH, LONGEST_RUN = 1500, 32, 24
 ROUNDS, RATE, SHRINK = 40, 0.25, 1e-4
 LEXICON_SHARE, LEXICON_LEAST = 0.9, 5
 MOST_WORDS = 400_000
+#: Bytes of a run of letters that are one place of the chain.
+LONGEST_PIECE = 40
 #: Words to a step of the scan over a document.
 BLOCK = 32
 LETTER = re.compile(r"[^\W\d_]")
@@ -46,9 +49,26 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split()
 
 
+def pieces_of(words: list[bytes]) -> list[bytes]:
+    """The words, those longer than ``LONGEST_PIECE`` cut between characters."""
+    if not words or max(map(len, words)) <= LONGEST_PIECE:
+        return words
+    out = []
+    for w in words:
+        at = 0
+        while len(w) - at > LONGEST_PIECE:
+            end = at + LONGEST_PIECE
+            while w[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append(w[at:end])
+            at = end
+        out.append(w[at:])
+    return out
+
+
 def features(word: bytes, lexicon: dict[bytes, int]) -> list[int]:
     """Buckets of a word's features."""
-    w = b"^" + word[:40] + b"$"
+    w = b"^" + word + b"$"
     n, crc = len(w), zlib.crc32
     found = [crc(w)]
     found += [crc(w[:k], 1) for k in range(2, min(5, n) + 1)]
@@ -121,7 +141,7 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Field:
     """Field from (language, text) rows."""
     by_language: dict[str, list[list[bytes]]] = {}
     for lang, text in sample:
-        if words := words_of(text or ""):
+        if words := pieces_of(words_of(text or "")):
             by_language.setdefault(lang, []).append(words)
     languages = sorted(by_language)
     k = len(languages)
@@ -170,7 +190,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tu
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text",
                                                                       F.xxhash64("doc_id").alias("h"))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    parts = 1_000_000
+    parts = 1 << 62
     chosen = F.lit(False)
     for lang, n in sizes.items():
         share = min(1.0, per_language / n)
@@ -215,6 +235,8 @@ def label_documents(docs: DataFrame, field: Field, held_out: F.Column) -> DataFr
         for batch in rows_of(batches, 2 << 20):
             texts = [(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column("text")]
             split = [words_of(t) if languages and LETTER.search(t) else [] for t in texts]
+            n_words = np.fromiter(map(len, split), np.int64, len(split))
+            split = list(map(pieces_of, split))
             counts = np.fromiter(map(len, split), np.int64, len(split))
             names, shares, switches = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             words = [w for s in split for w in s]
@@ -233,7 +255,7 @@ def label_documents(docs: DataFrame, field: Field, held_out: F.Column) -> DataFr
                     names[d] = languages[b]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(shares),
-                 pa.array(counts), pa.array(switches)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+                 pa.array(n_words), pa.array(switches)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     return text_of(docs, held_out.alias("held_out")).mapInArrow(run, SCHEMA)
 

@@ -196,6 +196,20 @@ def test_toxicity_keeps_the_mix_of_labels(spark):
     assert abs(score[0] - score[1]) < 0.05
 
 
+def test_language_reads_long_runs_whole(spark):
+    """The language of a run without spaces is not that of its first 40 bytes."""
+    rng = random.Random(5)
+    one, other = "абвгде", "жзиклм"
+    rows = [(i, "".join(rng.choice((one, other)[i % 2]) for _ in range(60)), ("aa", "bb")[i % 2]) for i in range(200)]
+    sample = [(lang, text) for _, text, lang in rows]
+    mixed = "".join(rng.choice(one) for _ in range(20)) + "".join(rng.choice(other) for _ in range(400))
+    field = code_switch.fit(sample)
+    got = code_switch.label_documents(frame(spark, [(1, mixed)]), field, code_switch.F.lit(False)).first()
+    assert got.lang_pred == "bb" and got.n_words == 1 and 0.9 < got.score < 1
+    pieces = code_switch.pieces_of([mixed.encode(), b"x" * 40, b"y" * 81])
+    assert b"".join(pieces) == mixed.encode() + b"x" * 40 + b"y" * 81 and all(p.decode() and len(p) <= 40 for p in pieces)
+
+
 def test_secret_findings_come_from_all_documents(spark, monkeypatch):
     """One document of 9,000 holds a key; a word in every document is in the dictionary."""
     rows = [(i, "plain 110.120.130.140 words") for i in range(9000)] + [(9000, "password=a1b2c3d4e5f6a7b8")]
