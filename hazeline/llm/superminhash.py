@@ -7,9 +7,11 @@ of many shingles needs few steps. Here all shingles of a batch of texts take eac
 open take the next.
 
 Signatures are cut into bands; sets that agree in a band are candidates. With 32 bands of 4 values a pair at the threshold of 0.8 is
-missed with probability (1 - 0.8^4)^32 = 5e-8. Every candidate that could join two groups is confirmed on the full sets. Within a band's
-list pairs are not formed all at once: the most central member meets the others, the linked ones become groups (union-find),
-the next centre is taken among what is left, and after ``CENTRES`` of them only members in different groups meet.
+missed with probability (1 - 0.8^4)^32 = 5e-8. Candidates' sets are compared with each other as a whole first: a shingle of one set only is in
+no intersection, so each set's shared shingles say how large a partner can be, and most sets that only resemble others allow none.
+Every pair that could join two groups is confirmed on the sets. Within a band's list pairs are not formed all at once: the most central
+member meets the others, the linked ones become groups (union-find), the next centre is taken among what is left, and after
+``CENTRES`` of them members in different groups meet only within the sizes that both allow.
 
 Scale: texts are scanned once for signatures; only texts whose set shares a band are read again. Equal sets are one class, so copies
 never meet. Lists and joins hold 8-byte numbers; a hot list is joined, never collected.
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.common import mix, rows_of, text_of, written
 from hazeline.llm.components import components
-from hazeline.llm.shingle_sets import sets_of
+from hazeline.llm.shingle_sets import live_classes, sets_of
 
 PLACES, BAND_ROWS = 128, 4
 #: From this step on a shingle's order is kept as a whole; before, only its few exchanges are.
 WHOLE_ORDER_FROM = 6
 #: Centres that each list tries before its remaining members meet one another.
 CENTRES = 2
+#: Sizes are put into bins of this ratio.
+BIN_RATIO = 1.05
 #: Nodes of a task's union-find before it hands over what it has.
 MOST_NODES = 1_000_000
 FRACTION = np.uint64(32)
@@ -139,34 +143,29 @@ def band_entries(classes: DataFrame) -> DataFrame:
     return classes.select("class", "bands").mapInArrow(run, "key long, class long")
 
 
-def full_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """``class`` and its shingles, from one text of each class of ``chosen`` (rep: doc_id and text_hash)."""
-    reps = chosen.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("text_hash"))
-    texts = text_of(docs, F.xxhash64("text").alias("text_hash"))
-    texts = texts.join(reps, (texts["text_hash"] == reps["text_hash"]) & texts["doc_id"].eqNullSafe(reps["rep_id"]), "left_semi")
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One text of each class of ``chosen`` (rep: doc_id and text_hash); rows that repeat it come along."""
+    reps = chosen.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    return docs.select("doc_id", "text").join(
+        reps, (F.xxhash64("text") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            _, h, digest, sizes = sets_of([t.as_py() for t in batch.column("text")], width)
-            ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))],
-                                             names=["class", "shingles"])
 
-    sets = texts.select("text").mapInArrow(run, "class long, shingles array<long>")
-    return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold. A shingle of one class only is in no intersection, so ``sets`` holds each
+    class's full size and those of its shingles that other classes have."""
+    own, other = (sets.select(F.col("class").alias(x), F.col("shingles").alias("of_" + x), F.col("n").alias("n_" + x)) for x in ("a", "b"))
+    both = pairs.join(own, "a").join(other, "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def close_sizes(a: str, b: str, percent: int) -> F.Column:
-    """Sets of these sizes can reach the threshold."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def can_meet(a: str, b: str) -> F.Column:
+    """Each set allows a partner of the other's size."""
+    return (F.col(f"{a}.n") <= F.col(f"{b}.upto")) & (F.col(f"{b}.n") <= F.col(f"{a}.upto"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    own, other = (sets.select(F.col("class").alias(x), F.col("shingles").alias("of_" + x)) for x in ("a", "b"))
-    both = pairs.join(own, "a").join(other, "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+def size_bin(n: F.Column) -> F.Column:
+    return F.floor(F.log(n) / F.log(F.lit(BIN_RATIO))).cast("int")
 
 
 def union_find(links: DataFrame) -> DataFrame:
@@ -203,25 +202,28 @@ def union_find(links: DataFrame) -> DataFrame:
 
 
 def links_between(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Labels (node, label) of all classes that links connect. ``entries``: key, class, n, central (a written table)."""
+    """Labels (node, label) of all classes that links connect. ``entries``: key, class, n, upto, central (a written table)."""
     links, labels, open_ = None, None, entries
+    own = ["key", "class", "n", "upto", "central"]
     for _ in range(CENTRES):
-        centre = open_.groupBy("key").agg(F.max(F.struct("central", "class", "n", *(["label"] if labels is not None else []))).alias("c"))
-        met = open_.alias("x").join(centre.alias("c"), "key").where(F.col("x.class") != F.col("c.c.class"))
-        met = met.where(close_sizes("x.n", "c.c.n", percent))
+        centre = open_.groupBy("key").agg(F.max(F.struct("central", *open_.drop("key", "central").columns)).alias("c")).select("key", "c.*")
+        met = open_.alias("x").join(centre.alias("c"), "key").where((F.col("x.class") != F.col("c.class")) & can_meet("x", "c"))
         if labels is not None:
-            met = met.where(F.col("x.label") != F.col("c.c.label"))
-        pairs = met.select(F.col("c.c.class").alias("a"), F.col("x.class").alias("b")).distinct()
+            met = met.where(F.col("x.label") != F.col("c.label"))
+        pairs = met.select(F.col("c.class").alias("a"), F.col("x.class").alias("b")).distinct()
         found = written(union_find(confirmed(pairs, sets, percent)), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         # The centre has met all others of its list; lists whose members are all in one group are done.
-        left = open_.join(centre.select("key", F.col("c.class").alias("met")), "key").where("class <> met").select("key", "class", "n", "central")
+        left = open_.join(centre.select("key", F.col("class").alias("met")), "key").where("class <> met").select(*own)
         left = left.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         lists = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         open_ = written(left.join(lists, "key", "left_semi"), "open-entries")
-    met = open_.alias("x").join(open_.toDF(*open_.columns).alias("y"), "key").where(
-        (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & close_sizes("x.n", "y.n", percent))
+    # What is left looks for partners in the bins of the sizes that it allows; of a pair, the smaller set looks for the larger.
+    looking = open_.withColumn("bin", F.explode(F.sequence(size_bin(F.col("n")), size_bin(F.greatest("n", "upto"))))).where("n <= upto")
+    met = looking.alias("x").join(open_.toDF(*open_.columns).withColumn("bin", size_bin(F.col("n"))).alias("y"), ["key", "bin"]).where(
+        ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class"))))
+        & (F.col("x.label") != F.col("y.label")) & can_meet("x", "y"))
     pairs = met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     return components(links.unionByName(union_find(confirmed(pairs, sets, percent))))
 
@@ -234,12 +236,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         F.first("n_shingles").alias("n"), F.min("doc_id").alias("copy_of"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         F.first("bands", ignorenulls=True).alias("bands")), "classes")
     entries = band_entries(classes)
-    lists = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    lists = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     shared = written(entries.join(lists, "key"), "shared-bands")
-    central = shared.groupBy("class").agg(F.sum(F.log("members")).alias("central"))
-    live = written(classes.join(central, "class").select("class", "n", "central", "rep"), "live")
-    at = written(shared.select("key", "class").join(live.select("class", "n", "central"), "class"), "entries")
-    labels = links_between(at, written(full_sets(docs, live, width), "full-sets"), percent)
+    candidates = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", "n", "rep")
+    candidates = written(candidates, "candidates")
+    # Of the candidates' sets only what several of them have can be common; who has too little of that has no partner.
+    texts = written(texts_of(docs, candidates), "candidate-texts")
+    live = written(live_classes(texts, candidates.select("class", "n"), width, percent), "shared-shingles")
+    # With s shared shingles a set of n allows partners of m shingles where s / (n + m - s) can reach the threshold.
+    upto = F.floor(F.size("shingles") * (100 + percent) / percent).cast("long") - F.col("n")
+    at = shared.join(live.select("class", "n", upto.alias("upto"), "central"), "class").where(100 * F.col("upto") >= percent * F.col("n"))
+    labels = links_between(written(at, "entries"), live.select("class", "n", "shingles"), percent)
     named = classes.select("class", "copy_of").join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
     smallest = named.groupBy("label").agg(F.min("copy_of").alias("component_id"))
