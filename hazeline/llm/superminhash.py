@@ -9,9 +9,10 @@ open take the next.
 Signatures are cut into bands; sets that agree in a band are candidates. With 32 bands of 4 values a pair at the threshold of 0.8 is
 missed with probability (1 - 0.8^4)^32 = 5e-8. Candidates' sets are compared with each other as a whole first: a shingle of one set only is in
 no intersection, so each set's shared shingles say how large a partner can be, and most sets that only resemble others allow none.
-Every pair that could join two groups is confirmed on the sets. Within a band's list pairs are not formed all at once: the most central
-member meets the others, the linked ones become groups (union-find), the next centre is taken among what is left, and after
-``CENTRES`` of them members in different groups meet only within the sizes that both allow.
+Every pair that could join two groups is confirmed on the sets. Pairs are not formed within a band's list: its most central member meets
+the others first, and the linked ones become groups (union-find). Lists that still hold several groups are gone through in blocks: a
+task holds a block's sets, or those of two blocks, lets one after the other meet the members of other groups, and returns only the links
+that join groups, fewer than members.
 
 Scale: texts are scanned once for signatures; only texts whose set shares a band are read again. Equal sets are one class, so copies
 never meet. Lists and joins hold 8-byte numbers; a hot list is joined, never collected.
@@ -37,10 +38,8 @@ from hazeline.llm.shingle_sets import live_classes, sets_of
 PLACES, BAND_ROWS = 128, 4
 #: From this step on a shingle's order is kept as a whole; before, only its few exchanges are.
 WHOLE_ORDER_FROM = 6
-#: Centres that each list tries before its remaining members meet one another.
-CENTRES = 2
-#: Sizes are put into bins of this ratio.
-BIN_RATIO = 1.05
+#: Shingles of a block of a list: what one task holds of it, once or twice.
+BLOCK_SHINGLES = 1 << 20
 #: Nodes of a task's union-find before it hands over what it has.
 MOST_NODES = 1_000_000
 FRACTION = np.uint64(32)
@@ -164,10 +163,6 @@ def can_meet(a: str, b: str) -> F.Column:
     return (F.col(f"{a}.n") <= F.col(f"{b}.upto")) & (F.col(f"{b}.n") <= F.col(f"{a}.upto"))
 
 
-def size_bin(n: F.Column) -> F.Column:
-    return F.floor(F.log(n) / F.log(F.lit(BIN_RATIO))).cast("int")
-
-
 def union_find(links: DataFrame) -> DataFrame:
     """Links (a, b) replaced by the trees of each task's own union-find: every node with its root, no cycle left within a task."""
 
@@ -201,31 +196,71 @@ def union_find(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
+def links_in_list(rows: list[int], other: list[bool] | None, sets: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between classes of one list that join two of its groups: each row in turn, the most central first, meets those rows of
+    other groups that it has not met. With ``other``, only rows of different sides meet."""
+    n, upto, label, classes = (sets.column(c).to_numpy() for c in ("n", "upto", "label", "class"))
+    lists = sets.column("shingles").combine_chunks()
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    vocabulary, codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    group = np.unique(label, return_inverse=True)[1]
+    unmet, marked, out = np.ones(len(n), bool), np.zeros(len(vocabulary), bool), []
+    side = np.array(other) if other is not None else None
+    for r in rows:
+        unmet[r] = False
+        meant = unmet & (group != group[r]) & (n <= upto[r]) & (n[r] <= upto)
+        if side is not None:
+            meant &= side != side[r]
+        if not meant.any():
+            continue
+        own = codes[ends[r]:ends[r + 1]]
+        marked[own] = True
+        common = np.r_[0, np.cumsum(marked[codes])][ends]
+        marked[own] = False
+        common = common[1:] - common[:-1]
+        for x in np.flatnonzero(meant & (100 * common >= percent * (n + n[r] - common))).tolist():
+            if group[x] != group[r]:
+                out.append((int(classes[r]), int(classes[x])))
+                group[group == group[x]] = group[r]
+        if (group == group[0]).all():
+            break
+    return out
+
+
+def links_within(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join groups within each list of ``open_`` (key, class, n, upto, central, label).
+
+    A list is cut into blocks of about ``BLOCK_SHINGLES``; each task has one block, or two that meet, and returns at most one link per member.
+    """
+    parts = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long")
+    sizes = open_.groupBy("key").agg(parts.alias("parts"))
+    dealt = open_.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("parts")))
+    meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
+        F.least("block", x).alias("low"), F.greatest("block", x).alias("high"))))
+    dealt = dealt.withColumn("meeting", meeting).select("key", "meeting.*", "block", "class", "n", "upto", "central", "label")
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(-table.column("central").to_numpy(), kind="stable").tolist()
+        other = [b == key[2].as_py() for b in table.column("block").to_pylist()] if key[1] != key[2] else None
+        found = links_in_list(order, other, table, percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.join(sets.select("class", "shingles"), "class").groupBy("key", "low", "high").applyInArrow(meet, "a long, b long")
+
+
 def links_between(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, label) of all classes that links connect. ``entries``: key, class, n, upto, central (a written table)."""
-    links, labels, open_ = None, None, entries
-    own = ["key", "class", "n", "upto", "central"]
-    for _ in range(CENTRES):
-        centre = open_.groupBy("key").agg(F.max(F.struct("central", *open_.drop("key", "central").columns)).alias("c")).select("key", "c.*")
-        met = open_.alias("x").join(centre.alias("c"), "key").where((F.col("x.class") != F.col("c.class")) & can_meet("x", "c"))
-        if labels is not None:
-            met = met.where(F.col("x.label") != F.col("c.label"))
-        pairs = met.select(F.col("c.class").alias("a"), F.col("x.class").alias("b")).distinct()
-        found = written(union_find(confirmed(pairs, sets, percent)), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        # The centre has met all others of its list; lists whose members are all in one group are done.
-        left = open_.join(centre.select("key", F.col("class").alias("met")), "key").where("class <> met").select(*own)
-        left = left.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        lists = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        open_ = written(left.join(lists, "key", "left_semi"), "open-entries")
-    # What is left looks for partners in the bins of the sizes that it allows; of a pair, the smaller set looks for the larger.
-    looking = open_.withColumn("bin", F.explode(F.sequence(size_bin(F.col("n")), size_bin(F.greatest("n", "upto"))))).where("n <= upto")
-    met = looking.alias("x").join(open_.toDF(*open_.columns).withColumn("bin", size_bin(F.col("n"))).alias("y"), ["key", "bin"]).where(
-        ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class"))))
-        & (F.col("x.label") != F.col("y.label")) & can_meet("x", "y"))
-    pairs = met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return components(links.unionByName(union_find(confirmed(pairs, sets, percent))))
+    centre = entries.groupBy("key").agg(F.max(F.struct("central", "class", "n", "upto")).alias("c")).select("key", "c.*")
+    met = entries.alias("x").join(centre.alias("c"), "key").where((F.col("x.class") != F.col("c.class")) & can_meet("x", "c"))
+    pairs = met.select(F.col("c.class").alias("a"), F.col("x.class").alias("b")).distinct()
+    links = written(union_find(confirmed(pairs, sets, percent)), "links")
+    labels = components(links)
+    # The centre has met all others of its list; lists whose members are all in one group are done.
+    left = entries.join(centre.select("key", F.col("class").alias("met")), "key").where("class <> met").drop("met")
+    left = left.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    lists = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_ = written(left.join(lists, "key", "left_semi"), "open-entries")
+    return components(links.unionByName(union_find(links_within(open_, sets, percent))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:

@@ -172,9 +172,9 @@ def plain_groups(rows, width, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("centres", [1, 2])
-def test_near_duplicates(spark, docs, rows, monkeypatch, centres):
-    monkeypatch.setattr(superminhash, "CENTRES", centres)
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_near_duplicates(spark, docs, rows, monkeypatch, block):
+    monkeypatch.setattr(superminhash, "BLOCK_SHINGLES", block)
     assert collected(near_duplicates(docs)) == plain_groups(rows, 4, 80)
 
 
