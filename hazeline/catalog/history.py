@@ -9,7 +9,7 @@ from hazeline.catalog.registry import query
 from hazeline.operators import history as H
 from hazeline.operators import relational as R
 from hazeline.schema import HISTORY_COLUMNS, KEYS, POLLUTANTS, WEATHER
-from hazeline.session import work_dir
+from hazeline.session import work_dir, written
 
 _DOUBLES = "latitude longitude pm2_5 pm10 carbon_monoxide"
 _COLS = ", ".join(c for c in HISTORY_COLUMNS if c != "source")
@@ -71,23 +71,51 @@ def _history_and_readings(spark, folder):
     return history, _with_source(sparse(spark, folder), H.LIVE_SOURCE)
 
 
+_RUN = f"""
+ahead AS (SELECT *, date_diff('hour', {_CUT} - INTERVAL 1 HOUR, timestamp) AS ahead FROM sparse WHERE timestamp >= {_CUT}),
+run AS (SELECT *, ahead - row_number() OVER (PARTITION BY city ORDER BY ahead) AS behind FROM ahead)"""
+
+
 @query("h4_upsert", f"""
-WITH merged AS (SELECT p.*, CASE WHEN s.c IS NULL THEN 'open_meteo_bootstrap' ELSE 'openweather_live' END AS source
-  FROM panel p LEFT JOIN (SELECT city AS c, timestamp AS t FROM sparse) s ON s.c = p.city AND s.t = p.timestamp
-  WHERE p.timestamp < {_CUT} OR (p.timestamp = {_CUT} AND s.c IS NOT NULL))
+WITH {_RUN},
+merged AS (SELECT p.*, CASE WHEN s.c IS NULL THEN 'open_meteo_bootstrap' ELSE 'openweather_live' END AS source
+  FROM panel p LEFT JOIN (SELECT city AS c, timestamp AS t FROM sparse WHERE timestamp < {_CUT}
+    UNION ALL SELECT city, timestamp FROM run WHERE behind = 0) s ON s.c = p.city AND s.t = p.timestamp
+  WHERE p.timestamp < {_CUT} OR s.c IS NOT NULL)
 SELECT {_COLS}, source FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM merged) WHERE rn <= 168""", _DOUBLES)
 def upsert(spark, folder):
     return H.upsert(*_history_and_readings(spark, folder))[0]
 
 
 @query("h4_refused", f"""
-SELECT city, timestamp, {_CUT} - INTERVAL 1 HOUR AS latest_history FROM sparse WHERE timestamp > {_CUT}""")
+WITH {_RUN} SELECT city, timestamp, {_CUT} - INTERVAL 1 HOUR AS latest_history, 'gap' AS reason FROM run WHERE behind > 0""")
 def refused(spark, folder):
-    return H.upsert(*_history_and_readings(spark, folder))[1].select(*KEYS, "latest_history")
+    return H.upsert(*_history_and_readings(spark, folder))[1].select(*KEYS, "latest_history", "reason")
+
+
+# Readings of two kinds for one hour: corrected ones carry a later observation time and other values.
+@query("h4_corrected", f"""
+WITH fixed AS (
+  SELECT timestamp, city, CASE WHEN date_part('hour', timestamp) % 3 = 0 THEN pm10 + 1 ELSE pm10 END AS pm10 FROM panel
+  WHERE timestamp >= {_CUT}),
+merged AS (SELECT city, timestamp, pm10, 'openweather_live' AS source FROM fixed
+  UNION ALL SELECT city, timestamp, pm10, 'open_meteo_bootstrap' FROM panel WHERE timestamp < {_CUT})
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM merged) WHERE rn <= 168""".replace(
+    "SELECT * FROM (SELECT *, row", "SELECT city, timestamp, pm10, source FROM (SELECT *, row"), "pm10")
+def corrected(spark, folder):
+    """A catch-up of several hours, each reading twice; the later observation of an hour is the one kept."""
+    p = panel(spark, folder)
+    history = _with_source(p.where(F.col("timestamp") < _ts("2024-01-29 00:00:00")), H.BOOTSTRAP_SOURCE)
+    first = _with_source(p.where(F.col("timestamp") >= _ts("2024-01-29 00:00:00")), H.LIVE_SOURCE).withColumn(
+        "observed_at", F.col("timestamp") + F.expr("INTERVAL 10 MINUTES"))
+    changed = F.when(F.hour("timestamp") % 3 == 0, F.col("pm10") + 1).otherwise(F.col("pm10")).cast(dict(first.dtypes)["pm10"])
+    second = first.withColumn("pm10", changed).withColumn("observed_at", F.col("timestamp") + F.expr("INTERVAL 50 MINUTES"))
+    return H.upsert(history, second.unionByName(first))[0].select(*KEYS, "pm10", "source")
 
 
 def _refresh_inputs(spark, folder):
-    p = panel(spark, folder)
+    """The panel as the stored table it is in use, cut into history, live readings and recovered rows."""
+    p = written(panel(spark, folder), "panel")
     upto = F.when(F.col("city") == "error", _ts("2024-01-30 20:00:00")).otherwise(_ts("2024-01-30 23:00:00"))
     history = _with_source(p.where((F.col("city") != "click") & (F.col("timestamp") < upto)), H.BOOTSTRAP_SOURCE)
     return history, _with_source(R.newest_hours(p, 1), H.LIVE_SOURCE), _with_source(R.newest_hours(p, 168), H.BOOTSTRAP_SOURCE)
@@ -110,6 +138,37 @@ def refresh(spark, folder):
     return H.refresh(*_refresh_inputs(spark, folder))[0]
 
 
+@query("h5_catch_up", f"""
+WITH cut AS (SELECT city, CASE city WHEN 'click' THEN NULL WHEN 'error' THEN TIMESTAMP '2024-01-28 05:00:00' ELSE TIMESTAMP '2024-01-30 19:00:00' END AS held,
+    TIMESTAMP '2024-01-30 15:00:00' AS given FROM (SELECT DISTINCT city FROM panel)),
+ready AS (SELECT p.*, held, CASE WHEN city IN ('click', 'error') THEN given ELSE held END AS upto FROM panel p JOIN cut USING (city)),
+merged AS (SELECT *, CASE WHEN timestamp >= TIMESTAMP '2024-01-30 12:00:00' THEN 'openweather_live' ELSE 'open_meteo_bootstrap' END AS source FROM ready)
+SELECT {_COLS}, source FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM merged) WHERE rn <= 168""", _DOUBLES)
+def catch_up(spark, folder):
+    """Twelve hours of readings at once: one city without a history, one far behind it, the others with a few hours to catch up."""
+    p = written(panel(spark, folder), "panel")
+    upto = (F.when(F.col("city") == "click", _ts("1970-01-01 00:00:00")).when(F.col("city") == "error", _ts("2024-01-28 05:00:00"))
+            .otherwise(_ts("2024-01-30 19:00:00")))
+    history = _with_source(p.where(F.col("timestamp") <= upto), H.BOOTSTRAP_SOURCE)
+    fresh = _with_source(p.where(F.col("timestamp") >= _ts("2024-01-30 12:00:00")), H.LIVE_SOURCE)
+    recovered = _with_source(R.newest_hours(p.where(F.col("timestamp") <= _ts("2024-01-30 15:00:00")), 168), H.BOOTSTRAP_SOURCE)
+    return H.refresh(history, fresh, recovered)[0]
+
+
+@query("h5_refused", """
+SELECT city, timestamp, NULL::TIMESTAMP AS latest_history, 'no_recovery' AS reason FROM panel
+WHERE city = 'click' AND timestamp >= TIMESTAMP '2024-01-30 12:00:00' UNION ALL
+SELECT city, timestamp, TIMESTAMP '2024-01-30 09:00:00', 'gap' FROM panel WHERE city = 'error' AND timestamp >= TIMESTAMP '2024-01-30 12:00:00'""")
+def refused_refresh(spark, folder):
+    """A city without history and recovered rows, and one whose recovered rows end before its readings."""
+    p = written(panel(spark, folder), "panel")
+    upto = F.when(F.col("city") == "error", _ts("2024-01-28 05:00:00")).otherwise(_ts("2024-01-30 19:00:00"))
+    history = _with_source(p.where((F.col("city") != "click") & (F.col("timestamp") <= upto)), H.BOOTSTRAP_SOURCE)
+    fresh = _with_source(p.where(F.col("timestamp") >= _ts("2024-01-30 12:00:00")), H.LIVE_SOURCE)
+    recovered = _with_source(p.where((F.col("city") == "error") & (F.col("timestamp") <= _ts("2024-01-30 09:00:00"))), H.BOOTSTRAP_SOURCE)
+    return H.refresh(history, fresh, recovered)[1].select(*KEYS, "latest_history", "reason")
+
+
 @query("h6_saved_history", f"""
 SELECT {_COLS}, 'open_meteo_bootstrap' AS source FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM panel)
 WHERE rn <= 168""", _DOUBLES)

@@ -51,35 +51,99 @@ def bootstrap(
     return good, health.where(~F.col("valid")).select("city", "reasons")
 
 
+def _best_hours(rows: DataFrame, keep: int) -> DataFrame:
+    """One row per (city, hour): a reading before stored rows, the newest reading first, then the source that wins; newest hours only."""
+    best = dedupe(rows, KEYS, [F.col("_reading"), F.col("_observed"), source_priority(F.col("source")), F.col("source")])
+    return newest_hours(best.select(*HISTORY_COLUMNS), keep)
+
+
 def recover_gap(existing: DataFrame, recovered: DataFrame, keep: int = KEPT_HOURS) -> DataFrame:
     """H3: recovered rows replace the history; live rows inside the recovered span win their hour.
 
     A city without recovered rows keeps what it has; its readings are then refused by H4, which names it.
     """
-    spans = recovered.groupBy("city").agg(F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"))
-    live = existing.where(F.col("source") == LIVE_SOURCE).join(spans, "city")
-    live = live.where(F.col("timestamp").between(F.col("_a"), F.col("_b"))).select(*HISTORY_COLUMNS)
-    kept = existing.join(spans.select("city"), "city", "left_anti").select(*HISTORY_COLUMNS)
-    both = recovered.select(*HISTORY_COLUMNS).unionByName(live).unionByName(kept)
-    best = dedupe(both, KEYS, [source_priority(F.col("source")), F.col("source")])
-    return newest_hours(best, keep)
+    rows = _tagged(existing, recovered, None)
+    spans = rows.groupBy("city").agg(
+        F.min(F.when(F.col("_kind") == _RECOVERED, F.col("timestamp"))).alias("_first"),
+        F.max(F.when(F.col("_kind") == _RECOVERED, F.col("timestamp"))).alias("_last"))
+    held = F.col("_first").isNull() | (F.col("_kind") == _RECOVERED) | _live_inside()
+    return _best_hours(rows.join(spans, "city").where(held), keep)
+
+
+_STORED, _RECOVERED, _READING = 0, 1, 2
+
+
+def _observed(df: DataFrame) -> Column:
+    """When a reading was taken, if it says so; two readings of one hour are ordered by it."""
+    return F.col("observed_at").cast("timestamp") if "observed_at" in df.columns else F.col("timestamp").cast("timestamp")
+
+
+def _tagged(history: DataFrame, recovered: DataFrame | None, readings: DataFrame | None) -> DataFrame:
+    """All rows in one frame with where they come from; a reading's hour is that of its time."""
+    parts = [history.select(*HISTORY_COLUMNS, F.lit(_STORED).alias("_kind"), F.lit(None).cast("timestamp").alias("_observed"))]
+    if recovered is not None:
+        parts.append(recovered.select(*HISTORY_COLUMNS, F.lit(_RECOVERED).alias("_kind"), F.lit(None).cast("timestamp").alias("_observed")))
+    if readings is not None:
+        hour = F.date_trunc("hour", F.col("timestamp")).cast(readings.schema["timestamp"].dataType).alias("timestamp")
+        columns = [hour if c == "timestamp" else F.col(c) for c in HISTORY_COLUMNS]
+        parts.append(readings.select(*columns, F.lit(_READING).alias("_kind"), _observed(readings).alias("_observed")))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.withColumn("_reading", (F.col("_kind") == _READING).cast("int"))
+
+
+def _live_inside() -> Column:
+    return ((F.col("_kind") == _STORED) & (F.col("source") == LIVE_SOURCE)
+            & F.col("timestamp").between(F.col("_first"), F.col("_last")))
+
+
+def _route(latest: Column, reading: Column) -> Column:
+    gap = epoch_hours(reading) - epoch_hours(latest)
+    return F.when(latest.isNull(), "bootstrap").when(gap > 1, "recover").otherwise("upsert")
+
+
+def merge(history: DataFrame, recovered: DataFrame | None, readings: DataFrame, keep: int = KEPT_HOURS) -> tuple[DataFrame, DataFrame]:
+    """H3-H5 as one merge: (new history, refused readings with ``latest_history`` and ``reason``).
+
+    One aggregate gives each city's newest stored hour, newest reading and recovered span, and with them its route. Rows that the
+    route holds, and readings up to the end of the contiguous run behind the newest held hour, meet in one maximum per (city, hour).
+    A run is found as an island: behind the newest held hour, the n-th distinct hour is n hours later (a city's reading hours are one array,
+    which time bounds: 8,766 a year). So a catch-up of several hours is accepted, and only what lies behind a hole is refused, as ``gap``; a city that needed rows and got none is ``no_recovery``.
+    """
+    rows = _tagged(history, recovered, readings)
+
+    def at(kind, f):
+        return f(F.when(F.col("_kind") == kind, F.col("timestamp")))
+
+    spans = rows.groupBy("city").agg(at(_STORED, F.max).alias("_latest"), at(_READING, F.max).alias("_fresh"),
+                                     at(_RECOVERED, F.min).alias("_first"), at(_RECOVERED, F.max).alias("_last"),
+                                     F.collect_set(F.when(F.col("_kind") == _READING, epoch_hours(F.col("timestamp")))).alias("_hours"))
+    route = F.when(F.col("_fresh").isNull(), "upsert").otherwise(_route(F.col("_latest"), F.col("_fresh")))
+    if recovered is None:
+        route = F.lit("upsert")
+    spans = spans.withColumn("_route", route)
+    repaired = (F.col("_route") != "upsert") & F.col("_last").isNotNull()
+    spans = spans.withColumns({"_repaired": repaired, "_end": F.when(repaired, F.col("_last")).otherwise(F.col("_latest"))})
+    # Behind the newest held hour, the n-th reading hour lies n hours later as long as the run goes on; differences never fall again.
+    behind = F.filter(F.array_sort("_hours"), lambda h: h > epoch_hours(F.col("_end")))
+    holes = F.transform(behind, lambda h, i: h - epoch_hours(F.col("_end")) - i - 1)
+    spans = spans.withColumn("_run", F.size(F.filter(holes, lambda x: x == 0))).drop("_hours")
+    known = rows.join(spans, "city").withColumn("_ahead", epoch_hours(F.col("timestamp")) - epoch_hours(F.col("_end")))
+    accepted = F.coalesce(F.col("_ahead") <= F.col("_run"), F.lit(False))
+    held = (F.when(F.col("_kind") == _READING, accepted).when(F.col("_kind") == _RECOVERED, F.col("_repaired"))
+            .otherwise(~F.col("_repaired") | _live_inside()))
+    reason = F.when((F.col("_route") != "upsert") & ~F.col("_repaired") | F.col("_end").isNull(), "no_recovery").otherwise("gap")
+    refused = known.where((F.col("_kind") == _READING) & ~accepted).select(
+        *HISTORY_COLUMNS, F.col("_end").alias("latest_history"), reason.alias("reason"))
+    return _best_hours(known.where(held), keep), refused
 
 
 def upsert(history: DataFrame, readings: DataFrame, keep: int = KEPT_HOURS) -> tuple[DataFrame, DataFrame]:
     """H4: (history with the readings, readings refused because hours in between are still missing).
 
-    A reading replaces the row of its hour. Both inputs meet in one aggregate instead of an anti-join and a union.
+    A reading replaces the row of its hour, the newest of several (by ``observed_at``, if readings have it). Hours that follow one another
+    behind the newest stored hour are all accepted.
     """
-    latest = history.groupBy("city").agg(F.max("timestamp").alias("_latest"))
-    routed = readings.join(latest, "city", "left")
-    ahead = epoch_hours(F.col("timestamp")) - epoch_hours(F.col("_latest"))
-    ok = F.coalesce(ahead <= 1, F.lit(False))
-    accepted = routed.where(ok).select(*HISTORY_COLUMNS)
-    refused = routed.where(~ok).select(*readings.columns, F.col("_latest").alias("latest_history"))
-    both = history.select(*HISTORY_COLUMNS).withColumn("_new", F.lit(0)).unionByName(
-        accepted.withColumn("_new", F.lit(1))
-    )
-    return newest_hours(dedupe(both, KEYS, [F.col("_new")]).drop("_new"), keep), refused
+    return merge(history, None, readings, keep)
 
 
 def routes(history: DataFrame, readings: DataFrame) -> DataFrame:
@@ -87,8 +151,8 @@ def routes(history: DataFrame, readings: DataFrame) -> DataFrame:
     stored = history.groupBy("city").agg(F.max("timestamp").alias("latest_history"))
     fresh = readings.groupBy("city").agg(F.max("timestamp").alias("reading"))
     gap = epoch_hours(F.col("reading")) - epoch_hours(F.col("latest_history"))
-    route = F.when(F.col("latest_history").isNull(), "bootstrap").when(gap > 1, "recover").otherwise("upsert")
-    return fresh.join(stored, "city", "left").withColumns({"gap_hours": gap.cast("long"), "route": route})
+    return fresh.join(stored, "city", "left").withColumns(
+        {"gap_hours": gap.cast("long"), "route": _route(F.col("latest_history"), F.col("reading"))})
 
 
 def refresh(
@@ -99,11 +163,14 @@ def refresh(
     Bootstrapped cities start from their recovered rows; cities with a gap merge them (H3); then every reading is
     upserted (H4). The route is a column decided per city, not a loop over cities.
     """
-    plan = routes(history, readings).select("city", "route")
-    behind = plan.where(F.col("route") != "upsert").select("city")
-    untouched = history.join(behind, "city", "left_anti").select(*HISTORY_COLUMNS)
-    repaired = recover_gap(history.join(behind, "city", "left_semi"), recovered.join(behind, "city", "left_semi"), keep)
-    return upsert(untouched.unionByName(repaired), readings, keep)
+    return merge(history, recovered, readings, keep)
+
+
+def checked(history: DataFrame, minimum: int = MINIMUM_HOURS) -> tuple[DataFrame, DataFrame]:
+    """The check after an upsert: (cities whose history is acceptable, the others with the reasons)."""
+    health = history_health(history, minimum).select("city", "valid", "reasons")
+    good = history.join(health.where("valid").select("city"), "city", "left_semi").select(*HISTORY_COLUMNS)
+    return good, health.where(~F.col("valid")).select("city", "reasons")
 
 
 def newest_source(history: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from fixtures import hourly
 from pyspark.sql import functions as F
 
-from hazeline.operators.history import HISTORY_COLUMNS, recover_gap
+from hazeline.operators.history import HISTORY_COLUMNS, checked, recover_gap, upsert
 from hazeline.sources.landed import hourly_rows
 
 
@@ -25,3 +25,38 @@ def test_bad_time_is_a_null(spark):
     df = spark.createDataFrame([("x", '{"hourly": {"time": ["2026-01-01T00:00", "soon"], "a": [1.0, 2.0]}}')], "city string, payload string")
     rows = hourly_rows(df, {"a": "b"}).collect()
     assert [(r.timestamp is None, r.b) for r in rows] == [(False, 1.0), (True, 2.0)]
+
+
+def _readings(spark, rows):
+    """(city, hours after the first, minute, value) as readings with the time they were taken."""
+    df = spark.createDataFrame(rows, "city string, h int, m int, v double")
+    start = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    hour = start + F.make_interval(hours=F.col("h"))
+    have = {"city": F.col("city"), "timestamp": hour, "source": F.lit("openweather_live"), "pm10": F.col("v")}
+    return df.select(*[have.get(c, F.lit(1.0)).alias(c) for c in HISTORY_COLUMNS],
+                     (hour + F.make_interval(mins=F.col("m"))).alias("observed_at"))
+
+
+def test_hours_behind_one_another_are_caught_up(spark):
+    stored = _history(hourly(spark, 10), "archive")
+    rows = _readings(spark, [("Lahore", h, 5, float(h)) for h in (10, 11, 12, 13, 15)] + [("Islamabad", 11, 5, 0.0), ("Multan", 9, 0, 0.0)])
+    kept, refused = upsert(stored, rows)
+    assert {r.city: r.n for r in kept.groupBy("city").agg(F.count("*").alias("n")).collect()} == {"Islamabad": 10, "Lahore": 14}
+    assert sorted((r.city, r.timestamp.hour, r.reason) for r in refused.collect()) == [
+        ("Islamabad", 11, "gap"), ("Lahore", 15, "gap"), ("Multan", 9, "no_recovery")]
+
+
+def test_later_reading_of_an_hour_wins_in_any_order(spark):
+    stored = _history(hourly(spark, 10), "archive")
+    rows = [("Lahore", 9, 50, 7.0), ("Lahore", 9, 10, 99.0), ("Lahore", 10, 20, 5.0), ("Lahore", 10, 40, 3.0)]
+    for given in (rows, rows[::-1]):
+        kept = upsert(stored, _readings(spark, given))[0].where("city = 'Lahore' AND source = 'openweather_live'")
+        assert sorted((r.timestamp.hour, r.pm10) for r in kept.collect()) == [(9, 7.0), (10, 3.0)]
+
+
+def test_check_after_upsert_names_the_city(spark):
+    stored = _history(hourly(spark, 120), "archive")
+    kept, _ = upsert(stored, _readings(spark, [("Lahore", 120, 5, -4.0)]))
+    good, bad = checked(kept)
+    assert [r.city for r in good.select("city").distinct().collect()] == ["Islamabad"]
+    assert [(r.city, r.reasons) for r in bad.collect()] == [("Lahore", ["negative_values"])]
