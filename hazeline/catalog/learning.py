@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from hazeline.catalog import twin as S
 from hazeline.catalog.inputs import aqi_panel, feature_table, panel, sparse
+from hazeline.catalog.ledger import _FORECASTS, NOW, _forecasts as forecast_batch
 from hazeline.catalog.registry import query
 from hazeline.catalog.tables import FOLDS
 from hazeline.operators import models as M
 from hazeline.operators.features import latest_per_city
+from hazeline.operators.history import BOOTSTRAP_SOURCE
+from hazeline.operators.ledger import SCORED, new_records
 from hazeline.operators.splits import walk_forward
 from hazeline.plans.reports import forecast_report
 from hazeline.operators.explain import linear_contributions
-from hazeline.schema import FEATURES, KEYS
-from hazeline.session import work_dir
+from hazeline.schema import FEATURES, HISTORY_COLUMNS, KEYS, POLLUTANTS, WEATHER
+from hazeline.session import work_dir, written
 from hazeline.sources.landed import write_report
 from hazeline.streaming import jobs as T
 
@@ -164,25 +167,70 @@ def trailing_stream(spark, folder):
     return T.latest_trailing_aqi(spark, path).select("city", "timestamp", "pm2_5_24h_mean", "pm10_24h_mean", "aqi_current")
 
 
-@query("t3_matured_forecasts_stream", """
-SELECT f.city, f.timestamp + to_hours(h) AS target_timestamp, h::INT AS horizon_hours, f.aqi_current::DOUBLE AS predicted_aqi,
-  a.aqi_current::DOUBLE AS actual_aqi, abs(a.aqi_current - f.aqi_current)::DOUBLE AS absolute_error
-FROM named f CROSS JOIN (VALUES (24), (48), (72)) t(h) JOIN named a ON a.city = f.city AND a.timestamp = f.timestamp + to_hours(h)
-WHERE f.aqi_current IS NOT NULL AND a.aqi_current IS NOT NULL""", "predicted_aqi actual_aqi absolute_error")
+_T3 = f"""
+WITH {_FORECASTS}
+SELECT m.*, a.aqi_current::DOUBLE AS actual_aqi, {S.category('a.aqi_current')} AS actual_category, abs(a.aqi_current - predicted_aqi) AS absolute_error,
+  {S.category('a.aqi_current')} = predicted_category AS category_correct,
+  abs({S.rank_of(S.category('a.aqi_current'))} - {S.rank_of('predicted_category')}) AS category_distance,
+  abs({S.rank_of(S.category('a.aqi_current'))} - {S.rank_of('predicted_category')}) <= 1 AS adjacent_category_correct,
+  TIMESTAMP '{NOW}' AS evaluated_at
+FROM made m JOIN named a ON a.city = m.city AND a.timestamp = m.target_timestamp WHERE a.aqi_current IS NOT NULL"""
+
+
+def _maturity(spark, folder):
+    """Three horizons of forecasts and all hours, in files of mixed order; every fifth hour is first observed wrongly."""
+    made = new_records(forecast_batch(spark, folder)).drop(*SCORED)
+    hours = aqi_panel(spark, folder).where(F.col("aqi_current").isNotNull()).select(
+        F.upper("city").alias("city"), F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("aqi_current").cast("double").alias("aqi_current"))
+    final = hours.withColumn("observed_at", F.col("timestamp") + F.expr("INTERVAL 40 MINUTES"))
+    wrong = hours.where(F.hour("timestamp") % 5 == 0).withColumn("aqi_current", F.col("aqi_current") + 60.0)
+    wrong = wrong.withColumn("observed_at", F.col("timestamp") + F.expr("INTERVAL 5 MINUTES"))
+    path, files = work_dir(spark, "t3"), 3
+    sides = [T.file_stream(spark, T.land(df.repartition(files, F.xxhash64(*df.columns)), "t3-source"), df.schema, files_per_batch=1)
+             for df in (made, final.unionByName(wrong))]
+    T.matured_forecasts(*sides, path, work_dir(spark, "t3-progress"), F.lit(NOW))
+    return path
+
+
+@query("t3_matured_forecasts_stream", _T3, "predicted_aqi actual_aqi absolute_error")
 def maturity_stream(spark, folder):
-    rows = aqi_panel(spark, folder).where(F.col("aqi_current").isNotNull()).select(
-        "city", F.col("timestamp").cast("timestamp").alias("timestamp"), "aqi_current")
-    made = rows.select(
-        "city", "timestamp", F.col("aqi_current").cast("double").alias("predicted_aqi"),
-        F.explode(F.array(F.lit(24), F.lit(48), F.lit(72))).alias("horizon_hours"))
-    made = made.select("city", (F.col("timestamp") + F.make_interval(hours=F.col("horizon_hours"))).alias("target_timestamp"),
-                       "horizon_hours", "predicted_aqi")
-    forecasts = T.file_stream(spark, T.land(made, "t3-forecasts"), made.schema)
-    actuals = T.file_stream(spark, T.land(rows, "t3-actuals"), rows.schema)
-    stream = T.matured_forecasts(forecasts, actuals)
-    path = work_dir(spark, "t3")
-    T.append_to_files(stream, path, work_dir(spark, "t3-progress"))
-    return spark.read.schema(stream.schema).parquet(path)
+    return T.latest_scores(spark, _maturity(spark, folder))
+
+
+@query("t3_pending_forecasts", f"""
+WITH {_FORECASTS} SELECT m.* FROM made m LEFT JOIN named a ON a.city = m.city AND a.timestamp = m.target_timestamp
+WHERE a.aqi_current IS NULL""", "predicted_aqi")
+def pending_stream(spark, folder):
+    return T.pending_forecasts(spark, _maturity(spark, folder))
+
+
+_LIVE = "TIMESTAMP '2024-01-29 00:00:00'"
+_COLS = ", ".join(c for c in HISTORY_COLUMNS if c != "source")
+
+
+@query("t1_live_history_stream", f"""
+WITH merged AS (SELECT *, CASE WHEN timestamp >= {_LIVE} THEN 'openweather_live' ELSE 'open_meteo_bootstrap' END AS source FROM panel
+  WHERE city <> 'view' OR timestamp < {_LIVE} + INTERVAL 10 HOUR)
+SELECT {_COLS}, source FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM merged) WHERE rn <= 168""",
+       "latitude longitude pm2_5 pm10 carbon_monoxide")
+def live_history_stream(spark, folder):
+    """Two days of weather and pollution readings in files of mixed order; of one city a pollution hour never comes."""
+    p = written(panel(spark, folder), "panel")
+    cut = F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
+    history = p.where(F.col("timestamp") < cut).withColumn("source", F.lit(BOOTSTRAP_SOURCE)).select(*HISTORY_COLUMNS)
+    live = p.where(F.col("timestamp") >= cut)
+
+    def stream(columns, minutes, rows):
+        taken = (F.col("timestamp").cast("timestamp") + F.make_interval(mins=F.lit(minutes))).alias("observed_at")
+        rows = rows.select("city", taken, *columns)
+        source = T.land(rows.repartition(4, F.xxhash64("city", "observed_at")), "t1-source")
+        return T.file_stream(spark, source, rows.schema, files_per_batch=2)
+
+    hole = (F.col("city") == "view") & (F.col("timestamp") == F.lit("2024-01-29 10:00:00").cast("timestamp_ntz"))
+    cities = p.groupBy("city").agg(F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"))
+    path = work_dir(spark, "t1-history")
+    T.live_history(stream(WEATHER, 7, live), stream(POLLUTANTS, 20, live.where(~hole)), cities, history, path, work_dir(spark, "t1-progress"))
+    return T.live_state(spark, path, history)
 
 
 @query("t4_gap_alarm_stream", """

@@ -102,10 +102,9 @@ def dominant_pollutant(pm25: Column, pm10: Column) -> Column:
 
 
 def _banded(value: Column, labels) -> Column:
-    chain = F.when(value <= CATEGORY_UPPER[0], F.lit(labels[0]))
-    for upper, label in zip(CATEGORY_UPPER[1:], labels[1:]):
-        chain = chain.when(value <= upper, F.lit(label))
-    return F.when(value.isNotNull(), chain.otherwise(F.lit(labels[-1])))
+    """The label of the band that holds the value: one look-up in an array, at one more than the number of bounds below the value."""
+    below = sum(((value > upper).cast("int") for upper in CATEGORY_UPPER), F.lit(1))
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), below)
 
 
 def category(index: Column, strict: bool = False) -> Column:

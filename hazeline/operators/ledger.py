@@ -15,6 +15,8 @@ from hazeline.schema import HORIZONS, LEDGER_COLUMNS, LEDGER_KEYS, LEDGER_SCHEMA
 
 AWAITING = "awaiting_matured_forecasts"
 AVAILABLE = "live_metrics_available"
+#: What a score fills in.
+SCORED = ("actual_aqi", "actual_category", "absolute_error", "category_correct", "category_distance", "adjacent_category_correct", "evaluated_at")
 
 
 def _coerce(df: DataFrame, field: T.StructField) -> Column:
@@ -60,30 +62,41 @@ def record(ledger: DataFrame, forecasts: DataFrame) -> DataFrame:
     return ledger.unionByName(fresh.select(*LEDGER_COLUMNS))
 
 
+def scores(due: DataFrame, actual: Column, now: Column) -> DataFrame:
+    """``due`` with the columns a score fills, from the AQI that came; the category is worked out once, before what depends on it."""
+    rows = due.withColumn("_actual", actual.cast("double")).withColumn("actual_category", aqi.category_of_prediction(F.col("_actual")))
+    rows = rows.withColumn("category_distance", aqi.category_distance(F.col("actual_category"), F.col("predicted_category")))
+    return rows.withColumns({
+        "actual_aqi": F.col("_actual"),
+        "absolute_error": F.abs(F.col("_actual") - F.col("predicted_aqi")),
+        "category_correct": F.col("actual_category") == F.col("predicted_category"),
+        "adjacent_category_correct": F.col("category_distance") <= 1,
+        "evaluated_at": now.cast("timestamp"),
+    }).drop("_actual")
+
+
 def evaluate(ledger: DataFrame, history: DataFrame, now: Column) -> DataFrame:
-    """L3 + J8: score pending forecasts whose hour has come and whose AQI is known."""
+    """L3 + J8: score pending forecasts whose hour has come and whose AQI is known.
+
+    Of several rows of an hour the one observed last counts (``observed_at``, where the history has it), then the larger AQI.
+    """
     require_columns(history, ["city", "timestamp", "aqi_current"], "history")
+    seen = F.col("observed_at") if "observed_at" in history.columns else F.lit(None)
     actual = history.select(
         F.lower("city").alias("_city"),
         F.col("timestamp").cast("timestamp").alias("target_timestamp"),
-        aqi.nan_to_null(F.col("aqi_current")).alias("_actual"),
-    ).where(F.col("_actual").isNotNull() & (F.abs("_actual") != float("inf")))
-    actual = dedupe(actual, ["_city", "target_timestamp"], [F.col("_actual")])
+        aqi.nan_to_null(F.col("aqi_current")).alias("_found"),
+        seen.cast("timestamp").alias("_seen"),
+    )
+    # The last row of an hour decides, also if it holds no value.
+    actual = dedupe(actual, ["_city", "target_timestamp"], [F.col("_seen"), F.col("_found")]).drop("_seen")
+    actual = actual.where(F.col("_found").isNotNull() & (F.abs("_found") != float("inf")))
     rows = ledger.withColumn("_city", F.lower("city")).join(actual, ["_city", "target_timestamp"], "left")
-    due = F.col("actual_aqi").isNull() & (F.col("target_timestamp") <= now) & F.col("_actual").isNotNull()
-    category = aqi.category_of_prediction(F.col("_actual"))
-    distance = aqi.category_distance(category, F.col("predicted_category"))
-    scored = {
-        "actual_aqi": F.col("_actual"),
-        "actual_category": category,
-        "absolute_error": F.abs(F.col("_actual") - F.col("predicted_aqi")),
-        "category_correct": category == F.col("predicted_category"),
-        "category_distance": distance,
-        "adjacent_category_correct": distance <= 1,
-        "evaluated_at": now.cast("timestamp"),
-    }
-    return rows.select(*[F.when(due, scored[c]).otherwise(F.col(c)).alias(c) if c in scored else F.col(c)
-                         for c in LEDGER_COLUMNS])
+    due = F.col("actual_aqi").isNull() & (F.col("target_timestamp") <= now)
+    rows = rows.withColumn("_due", F.when(due, F.col("_found")))
+    new = scores(rows.select(*[c for c in LEDGER_COLUMNS if c not in SCORED], "_due", F.struct(*SCORED).alias("_old")), F.col("_due"), now)
+    return new.select(*[F.when(F.col("_due").isNotNull(), F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) if c in SCORED else F.col(c)
+                        for c in LEDGER_COLUMNS])
 
 
 def current_state(versions: DataFrame) -> DataFrame:
