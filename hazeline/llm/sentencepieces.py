@@ -22,16 +22,18 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from hazeline.llm.common import text_of, worker_store
+from hazeline.llm.common import rows_of, text_of, worker_store
 
 SPACE = "▁"
 SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: Segments longer than this are encoded anew each time; the stores of segments and pairs are emptied at these sizes.
-LONGEST_KEPT, MOST_SEGMENTS, MOST_PAIRS = 64, 700_000, 400_000
+#: Segments longer than this are encoded anew each time; the stores of segments and pairs are emptied at these sizes. A segment costs
+#: about ``SEGMENT_COST`` bytes besides its text and ids.
+LONGEST_KEPT, MOST_SEGMENT_BYTES, SEGMENT_COST, MOST_PAIRS = 64, 64 << 20, 200, 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
 
@@ -62,6 +64,7 @@ class PieceEncoder:
         self.trie.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.segments: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by doing the merges: best score first, leftmost among equals."""
@@ -147,9 +150,11 @@ class PieceEncoder:
             ids += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(segment) <= LONGEST_KEPT:
-            if len(self.segments) >= MOST_SEGMENTS:
+            if self.held >= MOST_SEGMENT_BYTES:
                 self.segments.clear()
+                self.held = 0
             self.segments[segment] = packed
+            self.held += SEGMENT_COST + 2 * len(segment) + len(packed)
         return packed
 
     def encode_packed(self, text: str) -> bytes:
@@ -175,8 +180,8 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, with
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
         begin, end = struct.pack("<I", own.begin), struct.pack("<I", own.end)
-        for batch in batches:
-            counts, digests, decoded_digests, all_ids, decoded_texts = [], [], [], [], []
+        for batch in rows_of(batches):
+            counts, digests, decoded_digests, kept, decoded_texts = [], [], [], [], []
             for text in batch.column("text"):
                 packed = begin + own.encode_packed((text.as_py() or b"").decode("utf-8", "replace")) + end
                 ids = memoryview(packed).cast("I")
@@ -184,11 +189,17 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, with
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(packed).hexdigest())
                 decoded_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-                all_ids.append(list(ids) if with_ids else None)
+                if with_ids:
+                    kept.append(packed)
                 decoded_texts.append(decoded if with_text else None)
+            if with_ids:  # the packed ids are the column's values, no Python number is made of them
+                ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+                all_ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(kept), "<i4")))
+            else:
+                all_ids = pa.nulls(len(counts), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
-                 pa.array(decoded_digests, pa.string()), pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded_texts, pa.string())],
+                 pa.array(decoded_digests, pa.string()), all_ids, pa.array(decoded_texts, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
     return text_of(docs).mapInArrow(encode, SCHEMA)

@@ -36,6 +36,14 @@ def test_rows_that_repeat_are_one_document(spark):
     assert sorted((r.doc_id for r in got), key=repr) == [5, 6, 7, None]
 
 
+def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
+    """Unrelated texts that share a doc_id both stay; a near copy of a smaller doc_id goes, whatever else bears its doc_id."""
+    base = "ba do ki lu me no pa ri su ti vo ba ri do su ki ti lu vo me ba ba do do ki ki lu lu me me no no pa pa ri ri su su ti ti"
+    rows = [(5, base), (5, "kein wort davon steht dort in dem text"), (9, base + " vo"), (9, "ein ganz anderer text unter neun hier"), (3, base + " ba")]
+    got = corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text[:4]) for r in got) == [(3, "ba d"), (5, "kein"), (9, "ein ")]
+
+
 def test_nothing_in_nothing_out(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = empty(spark)

@@ -31,6 +31,47 @@ def test_twins(spark, name):
     assert compare(catalog.QUERIES[name](spark, SMALL), connect(SMALL), catalog.ORACLES[name]) == []
 
 
+def test_ids_cost_no_python_numbers(spark, rows):
+    """Encoding with ids holds little more than encoding without them: the packed ids are the column's values."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from public_tokenizers import path
+
+    from hazeline.llm import sentencepieces
+
+    encode = []
+    frame = type("F", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, f, schema: encode.append(f)})()
+    texts = [(t or "").encode() for _, t in rows if t and len(t) < 5000] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    peaks = []
+    for with_ids in (False, True):
+        sentencepieces.encode_pieces(frame, path("piece_bpe_32k.model"), with_ids=with_ids)
+        for _ in encode[-1](iter([batch])):  # fills the stores
+            pass
+        tracemalloc.start()
+        for out in encode[-1](iter([batch])):
+            if with_ids:
+                assert [len(x) for x in out.column("ids").to_pylist()] == out.column("n_tokens").to_pylist()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 100 << 20
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 20_000 + "org", "a" * 80_000 + "1", "Mr. " + "X" + "y" * 80_000, "1@" * 40_000, "mail z@" + "b" * 80_000])
+def test_long_runs_are_searched_in_bounded_steps(spark, text):
+    import time
+
+    from hazeline.llm.surrogates import replace_personal_data
+
+    table = spark.createDataFrame([(1, text), (2, "mail an ute.x@post.example.org, danke"), (None, None)], "doc_id long, text string")
+    replace_personal_data(table.limit(0), "key").collect()
+    started = time.time()
+    got = {r.doc_id: r for r in replace_personal_data(table, "key").collect()}
+    assert time.time() - started < 30
+    assert got[2].n_entities == 1 and "ute.x@post" not in got[2].text and got[None].text is None
+
+
 # Hard negatives ----------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, shard long, cell int"
