@@ -68,26 +68,43 @@ class ChunkEncoder:
             for w, start, end in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
                 self.behind_space[w] = packed[4 * start:4 * end]
 
-    def chunk(self, text: str) -> bytes:
-        """Ids of a space and a chunk. Single line breaks and what closes a word are pieces of their own."""
+    def cut(self, text: str) -> tuple[str, list[str]] | None:
+        """Letters behind the space and the pieces that follow: single line breaks and what closes a word are pieces of their own."""
         first, *lines = text.split("\n")
         if lines and not (first and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *lines))):
-            return self.library(" " + text)
+            return None
         stem = first.rstrip(MARKS)
-        known = self.behind_space.get(stem)
-        ids = self.piece(" " + first) if known is None else known if stem == first else known + self.piece(first[len(stem):])
+        if stem not in self.behind_space:
+            stem, pieces = "", [" " + first]
+        else:
+            pieces = [first[len(stem):]] if stem != first else []
         for line in lines:
-            stem = line.rstrip(MARKS)
-            ids += self.piece("\n") + (self.piece(stem) + self.piece(line[len(stem):]) if stem.isalpha() else self.piece(line))
-        return ids
+            word = line.rstrip(MARKS)
+            pieces += ["\n", word, line[len(word):]] if word.isalpha() else ["\n", line]
+        return stem, pieces
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """Ids of pieces that stand alone, all in one call."""
+        new = [p for p in pieces if p and p not in self.alone]
+        if len(self.alone) + len(new) > MOST_PIECES:
+            self.alone.clear()
+            new = [p for p in pieces if p]
+        for p, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.alone[p] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+
+    def chunks(self, texts: set[str]) -> dict[str, bytes]:
+        """Ids of a space and each chunk."""
+        cuts = {t: self.cut(t) for t in texts}
+        self.learn_pieces({p for c in cuts.values() if c for p in c[1] if len(p) <= LONGEST_PIECE})
+        own, alone = self.behind_space, self.alone
+        return {t: self.library(" " + t) if c is None else (own[c[0]] if c[0] else b"") + b"".join(
+            [(alone[p] if len(p) <= LONGEST_PIECE else self.library(p)) for p in c[1] if p]) for t, c in cuts.items()}
 
     def piece(self, text: str) -> bytes:
         if len(text) > LONGEST_PIECE:
             return self.library(text)
         if text not in self.alone:
-            if len(self.alone) >= MOST_PIECES:
-                self.alone.clear()
-            self.alone[text] = self.library(text)
+            self.learn_pieces({text})
         return self.alone[text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -103,13 +120,14 @@ class ChunkEncoder:
             words = list({w for parts in split if parts for c in parts[1:]
                           if (w := c.partition("\n")[0].rstrip(MARKS)).isalpha()})
         self.learn(words)
+        made = self.chunks({c for parts, ids in zip(split, found) if parts for c, i in zip(parts[1:], ids[1:]) if i is None})
         out = []
         for text, parts, ids in zip(texts, split, found):
             if parts is None:
                 out.append(self.library(text))
             else:
                 ids[0] = self.piece(parts[0]) if parts[0] else b""
-                out.append(b"".join([self.chunk(c) if i is None else i for c, i in zip(parts, ids)]))
+                out.append(b"".join([made[c] if i is None else i for c, i in zip(parts, ids)]))
         return out
 
 
@@ -135,7 +153,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     (dealt.mapInArrow(encode, FILE_SQL).write.format("orc")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_RATE))
      .option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_STRIDE))
-     .option("orc.stripe.size", str(STRIPE_BYTES)).option("compression", "zlib").save(path))
+     .option("orc.stripe.size", str(STRIPE_BYTES)).option("compression", "zstd").save(path))
 
 
 def read_token_ids(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
