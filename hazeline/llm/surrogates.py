@@ -18,7 +18,9 @@ without one, as a mistyped card is personal, too. National phone numbers are tho
 separators; ten digits in a row without a zero are no phone number.
 
 Edge cases: null text stays null with no entities; text without entities is unchanged; a repeated row gets the same result; an
-entity inside a longer run of digits or letters is not one; other columns are ignored.
+entity inside a longer run of digits or letters is not one; a mail address has at most 64 characters before the @ and ten labels of at most
+63 behind it, a name's part at most 41 letters: so each place of a text costs a bounded number of steps, however long its runs are; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 from hazeline.llm.common import written
 
 MOST_ATTEMPTS = 25
+COPY_SALTS = 8
 #: From this attempt on a phone number gets a digit more with each.
 WIDER_FROM = 4
 #: Types in the order in which the pattern tries them.
 # Shapes of personal data, titles and names.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,10}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\w.])(?:\d{4}[ -]?){3}\d{4}(?:[ -]\d{1,3})?(?![\w])",
     "number": r"(?<![\w.+])[1-9](?:\d{12,18}|\d{3}[ -]\d{6}[ -]\d{4,5}|\d{3}[ -]\d{3}[ -]\d{3}[ -]\d{3})(?![\w]|[ -]\d)",
@@ -44,7 +47,8 @@ PATTERNS = {
              r"|(?<![\w.+/-])(?:1[ .-])?[2-9]\d{2}(?:-[2-9]\d{2}-|\.[2-9]\d{2}\.| [2-9]\d{2} )\d{4}(?![\w]|[.-]\d)"
              r"|(?<![\w.+/-])0[1-9](?:\d{8,9}|(?:[ .-]\d{2}){4}|\d{1,3}[ -]\d{3,4}[ -]\d{3,4}|\d{0,3}[ /-]\d{6,8})(?![\w]|[./-]\d)"
              r"|(?<![\w.+/-])00[1-9]\d{0,2}(?:[ .-]\d{2,8}){2,5}(?!\w)",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? "
+            r"\p{Lu}\p{Ll}{1,40}+(?!\p{Ll})(?: \p{Lu}\p{Ll}{1,40}+(?!\p{Ll}))?",
 }
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Señora"
 FEMALE_NAMES = "Alma Clara Dora Elsa Flora Greta Helen Irma Julia Karla Laura Marta Nora Olga Paula Rita Sonia Tessa Vera Wanda".split()
@@ -203,17 +207,23 @@ def numbered(entities: DataFrame, secret: str) -> DataFrame:
 
 def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     """``doc_id``, number of entities, number of distinct ones, and the text with surrogates in place of them."""
-    found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"),
+    found = docs.select("doc_id", "text",
                         F.coalesce(F.when(F.col("text").rlike(NEEDED), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))),
                                    F.array().cast("array<string>")).alias("candidates"))
     # All candidates keep their place between the gaps; those that are no entities stand for themselves.
     found = found.withColumn("entities", F.filter("candidates", is_entity))
+    # Texts without entities need no look-up and are dealt by their doc_id; copies of a text with some go to ``COPY_SALTS`` places.
+    some = F.size("entities") > 0
+    found = found.withColumns({"text_key": F.when(some, F.xxhash64("text")).otherwise(F.xxhash64("doc_id")),
+                               "salt": F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS))})
     # The clashing ones by text: entities are few beside their texts.
-    held = found.where(F.size("entities") > 0).select("text_key", F.explode(F.array_distinct("entities")).alias("entity"))
+    held = found.where(some).select("text_key", F.explode(F.array_distinct("entities")).alias("entity"))
     held = written(held, "held-entities")
     again = held.join(numbered(held, secret), "entity").distinct()
     by_text = again.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("attempts"))
-    joined = found.join(by_text, "text_key", "left")
+    # Written, so that its size is known before texts are shuffled for it: they are not where it is small.
+    by_text = written(by_text, "attempts").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))))
+    joined = found.join(by_text, ["text_key", "salt"], "left")
     gaps = F.split("text", ANY, -1)
     made = F.transform("candidates", lambda e: surrogate(e, F.coalesce(F.try_element_at("attempts", e), F.lit(0)), secret))
     rebuilt = _let(made, lambda m: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(m, i), F.lit("")))), ""))
