@@ -8,7 +8,7 @@ None and the tests hold the stages against brute-force versions.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.llm.code_switch import identify_languages
@@ -53,15 +53,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id from each component of near duplicates; documents without words stay.
 
-    Rows without a doc_id count as behind all others, by their content; rows that repeat a doc_id are one document, the first in order.
+    Rows are told apart by doc_id and content: rows that share a doc_id but not their text are documents of their own. Within a
+    component a missing doc_id counts as behind all others, then the content decides; rows equal in every column are one.
     """
-    content = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(1 << 61))
-    rows = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + content))
+    rows = with_row(docs)
     groups = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
-    order = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    first = rows.join(stay, "__row", "left_semi").withColumn("__first", F.row_number().over(order))
-    return first.where("__first = 1").drop("__row", "__first")
+    groups = groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct()
+    # The smallest of each group first by doc_id, then by row key; maxima combine before the shuffle, so a hot group is no hot task.
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("__place"))
+    stay = written(groups.join(order.distinct(), "__row").groupBy("__group").agg(F.min("__place").alias("__place")).select(
+        F.col("__place.row").alias("__row")), "group-representatives")
+    return rows.join(stay, "__row", "left_semi").distinct().drop("__row")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
