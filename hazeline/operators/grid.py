@@ -90,9 +90,18 @@ def first_gaps(df: DataFrame, limit: int = 5) -> DataFrame:
     return gaps(df).withColumn("gap_number", rank).where(F.col("gap_number") <= limit)
 
 
-def gap_counts(df: DataFrame) -> DataFrame:
-    """Cities with at least one non-hourly step."""
-    return gaps(df).groupBy("city").agg(F.count("*").alias("non_hourly_gaps"))
+def gap_counts(df: DataFrame, ts: str = "timestamp", block_hours: int = 24) -> DataFrame:
+    """Cities with at least one non-hourly step.
+
+    Rows of one time are counted before the shuffle, each repetition being a step of its own; what is ordered are the distinct
+    times of a block, and one row per block where blocks meet.
+    """
+    times = df.where(F.col(ts).isNotNull()).groupBy("city", ts).agg(F.count("*").alias("_n"))
+    step = epoch_seconds(F.col(ts)) - epoch_seconds(F.col("previous"))
+    found = previous_row(times, ["city"], ts, block_hours).groupBy("city").agg(
+        (F.sum(F.col("_n") - 1) + F.count_if(F.col("previous").isNotNull() & (step != 3600))).alias("non_hourly_gaps")
+    )
+    return found.where("non_hourly_gaps > 0")
 
 
 def continuity(df: DataFrame, ts: str = "timestamp") -> DataFrame:

@@ -169,9 +169,11 @@ def combined_performance(ledger: DataFrame, holdout: DataFrame) -> DataFrame:
 
 
 def monitoring_history(aqi_panel: DataFrame) -> DataFrame:
-    """One AQI row per (city, hour)."""
-    rows = aqi_panel.select("city", "timestamp", "aqi_current", "aqi_category", "dominant_pollutant")
-    return dedupe(rows, ["city", "timestamp"], [F.coalesce(F.col("aqi_current"), F.lit(-1))])
+    """One AQI row per (city, hour): the one observed last (``observed_at``, where there is one), then the larger AQI."""
+    names = ["city", "timestamp", "aqi_current", "aqi_category", "dominant_pollutant"]
+    seen = ["observed_at"] if "observed_at" in aqi_panel.columns else []
+    order = [*map(F.col, seen), F.coalesce(F.col("aqi_current"), F.lit(-1))]
+    return dedupe(aqi_panel.select(*names, *seen), ["city", "timestamp"], order).select(*names)
 
 
 def newest_agreement(monitoring: DataFrame, latest: DataFrame, tolerance: float = 1e-6) -> DataFrame:

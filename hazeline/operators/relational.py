@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.operators.grid import BLOCK_HOURS, block_window, drop_halo, with_halo
 from hazeline.operators.quality import require_unique
 from hazeline.schema import KEYS, epoch_hours
 
@@ -126,20 +125,17 @@ def agreement(common: DataFrame, target: str, expected_rows: int | None = None,
 # Point-in-time join -----------------------------------------------------------------------------------------------
 
 
-def _validity(features: DataFrame, key: str, ts: str, created: str | None, ttl_hours: int) -> DataFrame:
-    """Feature rows with the span in which each is the newest one still alive.
+def _last_before(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per (key, bucket) that is asked about, the newest feature row of any earlier bucket, as a row of the asked bucket.
 
-    A successor later than the TTL cannot shorten the span, so looking ahead one TTL inside time blocks is exact.
+    ``rows`` combine to one row per (key, bucket) before the shuffle; the pass over buckets sees no other rows.
     """
-    order = [F.col(created)] if created else [F.col(ts)]
-    newest = dedupe(features, [key, ts], order)
-    blocked = with_halo(newest, 0, ttl_hours + 1, max(BLOCK_HOURS, 4 * ttl_hours), ts)
-    nxt = F.lead(ts).over(block_window(key, ts))
-    alive_to = F.unix_micros(F.col(ts).cast("timestamp")) + ttl_hours * 3_600_000_000
-    upto = F.coalesce(F.unix_micros(nxt.cast("timestamp")) - 1, alive_to)
-    return drop_halo(
-        blocked.withColumns({"_from": F.unix_micros(F.col(ts).cast("timestamp")), "_upto": F.least(upto, alive_to)})
-    )
+    last = rows.groupBy("_key", "_bucket").agg(F.max_by(F.struct("_at", "_version", "_row"), F.struct("_at", "_version")).alias("_last"))
+    wanted = asked.select("_key", "_bucket").distinct().withColumn("_asked", F.lit(True))
+    slots = last.join(wanted, ["_key", "_bucket"], "full")
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier))
+    return carried.where(F.col("_asked") & F.col("_carried").isNotNull()).select("_key", "_bucket", "_carried.*")
 
 
 def asof_join(
@@ -153,25 +149,31 @@ def asof_join(
 ) -> DataFrame:
     """For each look-up the newest feature row not later than it and not older than the TTL, else NULLs.
 
-    Feature rows become disjoint validity spans, spread over time buckets; look-ups join by (key, bucket) and pick the
-    span that holds them. The look-ups are never sorted or grouped, and a hot (key, bucket) is an ordinary join skew
-    that adaptive execution splits.
+    Feature rows and the distinct (key, time) that are asked about form one union; inside a (key, bucket of hours) the last
+    feature row is carried forward, and each bucket starts with the row carried over from the buckets before it. The work
+    grows with the rows, however many of them share a bucket. Look-ups of one (key, time) are asked once and take their answer
+    in an ordinary join, whose skew adaptive execution splits. Look-ups or feature rows without a key or time match nothing.
     """
-    bucket = bucket_hours * 3_600_000_000
-    spans = _validity(features, key, ts, created, ttl_hours)
-    spans = spans.withColumnRenamed(ts, "feature_timestamp").withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor(F.col("_upto") / bucket)))
-    )
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    left = lookups.withColumns({"_at": at, "_bucket": F.floor(at / bucket)})
-    inside = (
-        (F.col("l._bucket") == F.col("s._bucket"))
-        & (F.col(f"l.{key}") == F.col(f"s.{key}"))
-        & F.col("l._at").between(F.col("s._from"), F.col("s._upto"))
-    )
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    place = {"_key": F.col(key), "_at": micros, "_bucket": F.floor(micros / (bucket_hours * 3_600_000_000))}
     names = [c for c in features.columns if c not in (key, ts)]
-    return left.alias("l").join(spans.alias("s"), inside, "left").select(
-        *[F.col(f"l.{c}") for c in lookups.columns], F.col("s.feature_timestamp"), *[F.col(f"s.{c}") for c in names]
+    version = F.col(created) if created else F.lit(None).cast("timestamp")
+    known = features.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        *[c.alias(n) for n, c in place.items()], version.alias("_version"),
+        F.struct(F.col(ts).alias("feature_timestamp"), *names).alias("_row"),
+    )
+    asked = lookups.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(*[c.alias(n) for n, c in place.items()]).distinct()
+    union = known.withColumn("_asks", F.lit(0)).unionByName(
+        _last_before(known, asked).withColumn("_asks", F.lit(0))
+    ).unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy("_key", "_bucket").orderBy("_at", "_asks", "_version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = union.withColumn("_found", F.last("_row", ignorenulls=True).over(upto)).where("_asks = 1")
+    age = F.col("_at") - F.unix_micros(F.col("_found.feature_timestamp").cast("timestamp"))
+    answers = answers.where(age <= ttl_hours * 3_600_000_000).select("_key", F.col("_at").alias("_found_at"), "_found")
+    left = lookups.withColumn("_at", micros)
+    same = (F.col(f"l.{key}") == F.col("a._key")) & (F.col("l._at") == F.col("a._found_at"))
+    return left.alias("l").join(answers.alias("a"), same, "left").select(
+        *[F.col(f"l.{c}") for c in lookups.columns], *[F.col(f"a._found.{c}") for c in ("feature_timestamp", *names)]
     )
 
 

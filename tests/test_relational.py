@@ -51,6 +51,31 @@ def test_asof_join_against_brute_force(spark, ttl, bucket):
     assert {r["id"]: r["v"] for r in got} == want and len(got) == len(looks)
 
 
+def test_asof_join_many_features_in_a_bucket(spark):
+    """Sixty feature rows an hour, repeated look-ups of one time, and keys or times that are missing."""
+    start = datetime(2024, 1, 1)
+    feats = [(k, start + timedelta(seconds=60 * i), i) for k in ("a", "b") for i in range(600)] + [(None, start, -1), ("a", None, -2)]
+    looks = [(i, "ab"[i % 2], start + timedelta(seconds=30 * (i % 1300) + 15)) for i in range(4000)] + [(-1, None, start), (-2, "a", None)]
+    f = spark.createDataFrame(feats, "city_id string, event_timestamp timestamp, v int")
+    rows = R.asof_join(spark.createDataFrame(looks, "id int, city_id string, event_timestamp timestamp"), f, ttl_hours=1, bucket_hours=1).collect()
+    assert len(rows) == len(looks)
+    for r in rows:
+        seconds = 30 * (r["id"] % 1300) + 15
+        newest = min(seconds // 60, 599)
+        assert r["v"] == (newest if r["id"] >= 0 and seconds - 60 * newest <= 3600 else None)
+
+
+def test_exact_quantiles_order_small_parts_only(spark):
+    """No window partition of the ranking holds more than a cell of its interval."""
+    df = spark.range(400_000).select(F.lit("x").alias("k"), (F.col("id") * 7919 % 400_009).cast("double").alias("v"))
+    got = Qt.exact_quantiles(df, ["k"], "v", [0.5, 0.9])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_cell" in line for line in windows)
+    values = np.sort(np.arange(400_000) * 7919 % 400_009)
+    assert got.first()["quantiles"] == pytest.approx(np.quantile(values, [0.5, 0.9]).tolist(), abs=1e-9)
+
+
 @pytest.mark.parametrize("sizes", [(1, 2), (3, 10), (900, 1201), (60_000, 100)])
 def test_exact_quantiles(spark, sizes):
     """One way of locating the ranks at every size, with many ties in one group."""

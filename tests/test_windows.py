@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import statistics
+from datetime import datetime, timedelta
 
 import pytest
 from fixtures import feature_panel, hourly, target_panel
@@ -96,3 +97,13 @@ def test_spine_and_missing_hours(spark):
     assert G.spine(p).count() == 96
     assert G.missing_hours(p).count() == 2
     assert [r["non_hourly_gaps"] for r in G.gap_counts(p).collect()] == [1, 1]
+
+
+def test_gap_counts_of_repeated_times(spark):
+    """Every repetition is a step of its own, wherever blocks meet; times that are missing are none."""
+    t = datetime(2024, 1, 1)
+    rows = [("a", t)] * 500 + [("a", t + timedelta(hours=h)) for h in (1, 2, 30, 31, 100)] + [("b", t), ("b", t + timedelta(hours=1)), ("b", None), ("b", None)]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp")
+    got = {r["city"]: r["non_hourly_gaps"] for r in G.gap_counts(df).collect()}
+    assert got == {"a": 499 + 2}
+    assert got == {r["city"]: r["n"] for r in G.gaps(df).groupBy("city").agg(F.count("*").alias("n")).collect()}
