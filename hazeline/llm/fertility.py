@@ -1,19 +1,26 @@
 """Quality rules from tokeniser fertility, with base rules on words, lines and repetition.
 
-A public vocabulary measures each text: characters per token, the share of byte-fallback tokens and the entropy of its tokens
-(divided by the logarithm of their number). Words are encoded one by one, as after a space. Bands are set per language: quartiles of
-each measure over all documents of the group, widened on both sides; a document outside a band of its group is rejected. Documents
-without a language are grouped by the script of most of their letters.
-
-Scale: one scan measures; the measures (a short line per document) are written once and read twice, for the bands and for the
-verdict. Quartiles are exact over values rounded to ``STEPS`` per unit: counts per (group, measure, value), whose number is bounded.
-
-Edge cases: null text has no words; a document without words or tokens fails the base rules and stays out of the bands; a group with
-fewer than ``LEAST_GROUP`` documents uses the bands of all documents; with no documents there are no rows; other columns are ignored.
+Two public vocabularies measure each text, word by word, as after a space: a piece vocabulary gives characters per token, the share of
+byte-fallback tokens and the entropy of the tokens (divided by the logarithm of their number), a byte-level vocabulary characters per
+token and the share of tokens of a single byte. Bands are set per language; a document outside a band of its group is rejected.
+Documents without a language are grouped by the script of most of their letters.
+
+A measure that is a mean over tokens scatters less the longer a text is. So its band reaches ``REACH`` typical scatters from the group's
+median, where a scatter is the median of deviation times root of words, divided by the root of the document's own words; it is never
+narrower than the group's interquartile range or ``LEAST_REACH``. Entropy falls with length by itself: its band is as wide for all.
+A group's figures are drawn towards those of all documents as if by ``PRIOR`` documents, so a small group has no rule of its own kind.
+
+Scale: one scan measures; the measures (a short line per document) are written once and read three times, for medians, scatter and
+verdict. Medians are exact over values rounded to ``STEPS`` per unit (scatter: to 1 %): counts per (group, measure, value), whose number
+is bounded.
+
+Edge cases: null text has no words; a document without words or tokens fails the base rules and stays out of the bands; with no
+documents there are no rows; rows that repeat count and are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -29,35 +36,56 @@ from hazeline.llm.common import rows_of, text_of, worker_store, written
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, REPEAT_WIDTH = 50, 50, 3
 SYMBOLS = b"#*$%&|<>"
-MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+MEASURES = ("chars_per_token", "byte_share", "token_entropy", "chars_per_byte_token", "single_byte_share")
 #: Values are rounded to this many steps per unit before counting.
-STEPS = 200
-#: Bands reach this many interquartile ranges beyond the quartiles, and at least this far in each measure's own unit.
-REACH, LEAST_REACH = 3.0, {"chars_per_token": 0.4, "byte_share": 0.1, "token_entropy": 0.1}
-LEAST_GROUP = 100
-MOST_WORDS, LONGEST_KEPT = 500_000, 64
+STEPS = 2000
+#: Bands reach this many typical scatters from the median; entropy's band as many interquartile ranges as ``ENTROPY_REACH``.
+REACH, ENTROPY_REACH = 9.0, 3.5
+#: The least half width of a band, in each measure's own unit.
+LEAST_REACH = {"chars_per_token": 0.06, "byte_share": 0.1, "token_entropy": 0.1, "chars_per_byte_token": 0.06, "single_byte_share": 0.03}
+#: Documents' worth of weight that the figures of all documents have in those of a group.
+PRIOR = 20
+MOST_WORDS = 400_000
 WHITE = bytes(range(9, 14)) + b" "
 LETTER = re.compile(r"[^\W\d_]")
 MEASURED_SQL = ("doc_id long, band_group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-                "n_tokens long, chars_per_token double, byte_share double, token_entropy double")
+                "n_tokens long, chars_per_token double, byte_share double, token_entropy double, chars_per_byte_token double, "
+                "single_byte_share double")
 
 
 class WordPieces(dict):
-    """Ids of a word as 16-bit numbers; emptied when full."""
+    """Ids of a word as 16-bit numbers, and beside them its byte-level tokens and those of one byte; emptied when full."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, byte_path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         model = self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         self.kind = np.uint16 if len(self.is_byte) <= 1 << 16 else np.uint32
+        self.byte_level = Tokenizer.from_file(byte_path)
+        self.byte_level.encode_special_tokens = True
+        #: A character of this vocabulary stands for one byte.
+        vocabulary = self.byte_level.get_vocab(with_added_tokens=True)
+        self.single = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.single[[i for token, i in vocabulary.items() if len(token) == 1]] = 1
+        #: Byte-level tokens of a word, and in the low 32 bits how many of them are of one byte.
+        self.byte_tokens: dict[bytes, int] = {}
 
     def learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self]
         if len(self) + len(missing) > MOST_WORDS:
             self.clear()
+            self.byte_tokens.clear()
             missing = list(words)
-        for w, ids in zip(missing, self.model.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1)):
+        texts = [w.decode("utf-8", "replace") for w in missing]
+        for w, ids in zip(missing, self.model.encode(texts, num_threads=1)):
             self[w] = np.array(ids, self.kind).tobytes()
+        for start in range(0, len(texts), 4096):
+            found = self.byte_level.encode_batch_fast([" " + t for t in texts[start:start + 4096]], add_special_tokens=False)
+            for w, x in zip(missing[start:start + 4096], found):
+                self.byte_tokens[w] = (len(x.ids) << 32) + int(self.single[x.ids].sum())
 
 
 def repeated_words(words: list[bytes], width: int = REPEAT_WIDTH) -> int:
@@ -94,11 +122,11 @@ def script_of(text: str) -> str:
     return min(scripts, key=lambda s: (-scripts[s], s)) if scripts else "none"
 
 
-def measure(docs: DataFrame, model_path: str) -> DataFrame:
+def measure(docs: DataFrame, model_path: str, byte_path: str) -> DataFrame:
     """Base counts and fertility measures of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_store(("word pieces", model_path), lambda: WordPieces(model_path))
+        pieces = worker_store(("word pieces", model_path, byte_path), lambda: WordPieces(model_path, byte_path))
         for batch in rows_of(batches):
             texts = [t.as_py() or b"" for t in batch.column("text")]
             split = [t.split() for t in texts]
@@ -111,12 +139,14 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
                 chars = len(text.translate(None, WHITE).decode("utf-8", "replace"))
                 # An even spread over n tokens has the entropy log n.
                 entropy = float(-(share * np.log(share)).sum() / np.log(len(ids))) if len(ids) > 1 else 0.0
+                n_bytes, n_single = divmod(sum(map(pieces.byte_tokens.__getitem__, words)), 1 << 32)
                 group = lang if lang is not None else "script " + script_of(text.decode("utf-8", "replace"))
                 rows.append((group, len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text),
                              repeated_words(words), len(ids), chars / max(1, len(ids)),
-                             float(pieces.is_byte[ids].mean()) if len(ids) else 0.0, entropy))
+                             float(pieces.is_byte[ids].mean()) if len(ids) else 0.0, entropy,
+                             chars / max(1, n_bytes), n_single / max(1, n_bytes)))
             group, *numbers = zip(*rows)
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(group, pa.string()),
                  *(pa.array(x, t) for x, t in zip(numbers, kinds))],
@@ -126,35 +156,64 @@ def measure(docs: DataFrame, model_path: str) -> DataFrame:
     return text_of(docs, lang.alias("lang")).mapInArrow(run, MEASURED_SQL)
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """Lowest and highest accepted value per group and measure, and under the group null those of all documents."""
-    long = measured.where("n_tokens > 0").select("band_group", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * STEPS).cast("long").alias("step")) for m in MEASURES])).alias("x"))
-    counts = long.groupBy("band_group", "x.measure", "x.step").agg(F.count("*").alias("n"))
+def _long(measured: DataFrame) -> DataFrame:
+    return measured.where("n_tokens > 0").select("band_group", "n_words", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("x")).select(
+            "band_group", "n_words", "x.*")
+
+
+def _quarters(rows: DataFrame, step: F.Column, names: dict[str, int]) -> DataFrame:
+    """Per group and measure the named quarters of ``step`` (the smallest value that so many quarters do not exceed) and ``n_group``,
+    under the group null those of all documents."""
+    counts = rows.groupBy("band_group", "measure", step.cast("long").alias("step")).agg(F.count("*").alias("n"))
     both = counts.unionByName(counts.groupBy("measure", "step").agg(F.sum("n").alias("n"))
                               .withColumn("band_group", F.lit(None).cast("string")))
     group = Window.partitionBy("band_group", "measure")
     both = both.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("total", F.sum("n").over(group))
-    quartile = [F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("step"))) / F.lit(STEPS) for k in (1, 3)]
-    reach = F.create_map(*[F.lit(x) for m in MEASURES for x in (m, LEAST_REACH[m])])
-    found = both.groupBy("band_group", "measure").agg(quartile[0].alias("q1"), quartile[1].alias("q3"), F.max("total").alias("n_group"))
-    width = F.greatest(REACH * (F.col("q3") - F.col("q1")), reach[F.col("measure")])
-    return found.select("band_group", "measure", "n_group", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    return both.groupBy("band_group", "measure").agg(F.max("total").alias("n_group"), *[
+        F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("step"))).cast("double").alias(name) for name, k in names.items()])
+
+
+def _drawn_in(found: DataFrame, names: list[str]) -> DataFrame:
+    """Figures of each group, drawn towards those of all documents."""
+    every = found.where("band_group IS NULL").select("measure", *[F.col(c).alias(f"all_{c}") for c in names])
+    own = F.col("n_group") / (F.col("n_group") + F.lit(float(PRIOR)))
+    return found.where("band_group IS NOT NULL").join(every, "measure").select(
+        "band_group", "measure", *[(own * F.col(c) + (1 - own) * F.col(f"all_{c}")).alias(c) for c in names])
+
+
+def bands(measured: DataFrame) -> DataFrame:
+    """Per group and measure: the centre of the band, its least half width, and the scatter to divide by the root of the words."""
+    long = _long(measured)
+    centres = _quarters(long, F.round(F.col("value") * STEPS), {"q1": 1, "centre": 2, "q3": 3})
+    centres = _drawn_in(centres.select("band_group", "measure", "n_group", *[(F.col(c) / STEPS).alias(c) for c in ("q1", "centre", "q3")]),
+                        ["q1", "centre", "q3"])
+    away = F.abs(F.col("value") - F.col("centre")) * F.sqrt("n_words")
+    scatter = _quarters(long.join(centres.select("band_group", "measure", "centre"), ["band_group", "measure"]),
+                        F.round(F.log(F.greatest(away, F.lit(1e-9))) * 100), {"scatter": 2})
+    scatter = _drawn_in(scatter.withColumn("scatter", F.exp(F.col("scatter") / 100)), ["scatter"])
+    range_, least = F.col("q3") - F.col("q1"), F.create_map(*[F.lit(x) for m in MEASURES for x in (m, LEAST_REACH[m])])
+    entropy = F.col("measure") == "token_entropy"
+    return centres.join(scatter, ["band_group", "measure"]).select(
+        "band_group", "measure", "centre", F.greatest(F.when(entropy, ENTROPY_REACH * range_).otherwise(range_), least[F.col("measure")]).alias("least"),
+        F.when(entropy, 0.0).otherwise(REACH * F.col("scatter")).alias("scatter"))
 
 
 def judged(measured: DataFrame) -> DataFrame:
     """Verdicts: ``base_failed`` by the base rules, ``kept`` if neither they nor a band speak against the document."""
-    one_row = bands(measured).groupBy("band_group").agg(F.max("n_group").alias("n_group"), F.map_from_entries(F.collect_list(
-        F.struct("measure", F.struct("low", "high")))).alias("own"))
-    overall = one_row.where("band_group IS NULL").select(F.col("own").alias("overall"))
-    groups = one_row.where("band_group IS NOT NULL").join(overall, F.lit(True), "left").select(
-        "band_group", F.when(F.col("n_group") >= LEAST_GROUP, F.col("own")).otherwise(F.col("overall")).alias("limits"))
+    groups = bands(measured).groupBy("band_group").agg(F.map_from_entries(F.collect_list(
+        F.struct("measure", F.struct("centre", "least", "scatter")))).alias("limits"))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    outside = [F.when(~F.col(m).between(F.col("limits")[m]["low"], F.col("limits")[m]["high"]), F.lit(m)) for m in MEASURES]
+
+    def beyond(m):
+        own = F.col("limits")[m]
+        return F.abs(F.col(m) - own["centre"]) > F.greatest(own["least"], own["scatter"] / F.sqrt("n_words"))
+
+    outside = [F.when(beyond(m), F.lit(m)) for m in MEASURES]
     return (measured.join(groups, "band_group", "left").withColumn("base_failed", base)
             .withColumn("outside", F.array_compact(F.array(*outside)))
             .withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0)).drop("limits", "band_group"))
 
 
-def quality_rules(docs: DataFrame, model_path: str) -> DataFrame:
-    return judged(written(measure(docs, model_path), "fertility"))
+def quality_rules(docs: DataFrame, model_path: str, byte_path: str) -> DataFrame:
+    return judged(written(measure(docs, model_path, byte_path), "fertility"))

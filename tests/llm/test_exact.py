@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import sentencepiece
 from public_tokenizers import path
 from samples import LOWER, empty, frame, prose, words
+from tokenizers import Tokenizer
 
+from hazeline.llm import fertility
 from hazeline.llm.blobs import pack40, unpack40
 from hazeline.llm.decontaminate import ItemAutomaton, contamination, cut, merged
-from hazeline.llm.fertility import measure, quality_rules
+from hazeline.llm.fertility import MEASURES, measure, quality_rules
 from hazeline.llm.jaccard_join import jaccard_components
 from hazeline.llm.sentencepieces import encode_pieces, encoder
 from hazeline.llm.substrings import drop_repeated_passages
@@ -220,10 +224,79 @@ def test_fertility_base_counts(spark, docs, rows):
         inside = {k + j for k, t in enumerate(zip(w, w[1:], w[2:])) if triples[t] > 1 for j in range(3)}
         lines = [x for x in (text or "").split("\n") if words(x)]
         want.append((i, len(w), sum(map(len, w)), sum(map((text or "").count, "#*$%&|<>")), len(lines) - len(set(lines)), len(inside)))
-    got = measure(docs, PIECES).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = measure(docs, PIECES, BYTES).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert collected(got) == sorted(want, key=repr)
-    judged = quality_rules(docs, PIECES)
+    judged = quality_rules(docs, PIECES, BYTES)
     assert judged.where("base_failed AND kept").count() == 0
     assert judged.where(~(judged.n_words >= 50)).where("kept").count() == 0
     assert judged.where("kept").count() > 40
-    assert quality_rules(empty(spark), PIECES).count() == 0
+    assert quality_rules(empty(spark), PIECES, BYTES).count() == 0
+
+
+def test_fertility_measures(spark, docs, rows):
+    """All five measures of every document, from the libraries word by word."""
+    pieces, byte_level = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(BYTES)
+    byte_level.encode_special_tokens = True
+    single = {i for token, i in byte_level.get_vocab(with_added_tokens=True).items() if len(token) == 1}
+    want = []
+    for i, text in rows:
+        ids = [t for w in words(text) for t in pieces.encode(w)]
+        byte_ids = [t for w in words(text) for t in byte_level.encode(" " + w, add_special_tokens=False).ids]
+        chars, n = sum(map(len, words(text))), max(1, len(ids))
+        spread = -sum(k / n * math.log(k / n) for k in Counter(ids).values()) / math.log(n) if n > 1 else 0.0
+        want.append((i, len(ids), chars / n, sum(map(pieces.is_byte, ids)) / n, spread, chars / max(1, len(byte_ids)),
+                     sum(t in single for t in byte_ids) / max(1, len(byte_ids))))
+    got = collected(measure(docs, PIECES, BYTES).select("doc_id", "n_tokens", *MEASURES))
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=repr)):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def _band_rows():
+    """Two languages of invented words and, labelled as the first one, shouted, garbled and other-script texts."""
+    rng = random.Random(11)
+    def text(parts, n):
+        return " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(n))
+    one, other = ["the", "ing", "er", "tion", "an", "re", "st"], ["ung", "sch", "ein", "keit", "der", "ver", "ß"]
+    rows = [(i, text(one, rng.choice((60, 200, 900))), "aa") for i in range(400)] + [(1000 + i, text(other, 150), "bb") for i in range(300)]
+    bad = [(2000 + i, " ".join(w.upper() + "!!" for w in text(one, 120).split()), "aa") for i in range(5)]
+    bad += [(2100 + i, text(["ж", "щу", "ла", "мы", "ро"], 120), "aa") for i in range(5)]
+    bad += [(2200 + i, " ".join("".join(rng.choices("bcdfgkpqvxz#$%", k=7)) for _ in range(120)), "aa") for i in range(5)]
+    return rows, bad
+
+
+def test_fertility_bands_reject_planted_texts(spark):
+    rows, bad = _band_rows()
+    got = quality_rules(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string"), PIECES, BYTES).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert not any(kept[i] for i, _, _ in bad)
+    assert all(kept[i] for i, _, _ in rows)
+    assert all(r.outside for r in got if r.doc_id >= 2000)
+
+
+def test_fertility_bands_against_brute_force(spark):
+    rows, bad = _band_rows()
+    measured = measure(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string"), PIECES, BYTES).cache()
+    lines = measured.collect()
+
+    def quarter(values, k):
+        return sorted(values)[-(-len(values) * k // 4) - 1]
+
+    def drawn(own, every, n):
+        return (n * own + fertility.PRIOR * every) / (n + fertility.PRIOR)
+
+    got = {(r.band_group, r.measure): r for r in fertility.bands(measured).collect()}
+    for m in MEASURES:
+        values = {g: [round(r[m] * fertility.STEPS) / fertility.STEPS for r in lines if g in (None, r.band_group)] for g in (None, "aa", "bb")}
+        centre, away = {}, {}
+        for g in ("aa", "bb"):
+            low, centre[g], high = [drawn(quarter(values[g], k), quarter(values[None], k), len(values[g])) for k in (1, 2, 3)]
+            away[g] = [max(abs(r[m] - centre[g]) * math.sqrt(r.n_words), 1e-9) for r in lines if r.band_group == g]
+            assert got[g, m].centre == pytest.approx(centre[g], abs=1 / fertility.STEPS)
+            wide = (fertility.ENTROPY_REACH if m == "token_entropy" else 1) * (high - low)
+            assert got[g, m].least == pytest.approx(max(wide, fertility.LEAST_REACH[m]), abs=4 / fertility.STEPS)
+        for g in ("aa", "bb"):
+            scatter = 0 if m == "token_entropy" else fertility.REACH * drawn(
+                quarter(away[g], 2), quarter(away["aa"] + away["bb"], 2), len(away[g]))
+            assert got[g, m].scatter == pytest.approx(scatter, rel=0.03, abs=1e-6)
+    measured.unpersist()
