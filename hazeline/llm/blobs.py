@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: A block of documents has about this many bytes of text; the larger bound is reached at 100 TB.
 LEAST_BLOCK, MOST_BLOCK = 4 << 20, 64 << 20
+#: Bytes of text behind a shuffle partition.
+TASK_BYTES = 8 << 20
 MASK40 = np.uint64((1 << 40) - 1)
 
 
@@ -26,6 +28,11 @@ def layout(total_bytes: int) -> tuple[int, int]:
     return blocks, max(1, min(math.ceil(total_bytes / LEAST_BLOCK), block // 1000))
 
 
+def tasks(total_bytes: int, keys: int) -> int:
+    """Number of shuffle partitions for so much text in so many blocks or buckets: it grows with the input, whatever the session says."""
+    return max(1, min(keys, math.ceil(total_bytes / TASK_BYTES)))
+
+
 def pack40(h: np.ndarray) -> bytes:
     """40-bit numbers: the low 32 bits of all, then the high 8 bits of all."""
     return h.astype("<u4").tobytes() + (h >> np.uint64(32)).astype("u1").tobytes()

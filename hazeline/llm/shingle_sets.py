@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.blobs import by_bucket, layout, pack40, runs, split_hash, table, unpack40
+from hazeline.llm.blobs import by_bucket, layout, pack40, runs, split_hash, table, tasks, unpack40
 from hazeline.llm.common import ASCII_LOWER, WordHashes, mix, rows_of, text_of, windows, worker_store
 
 SETS_SQL = "doc_id long, class long, n_shingles long"
@@ -147,6 +147,7 @@ def live_classes(docs: DataFrame, classes: DataFrame, width: int = 5, percent: i
                         out[name].append(x)
         return table(LIVE, **out)
 
-    shared = text_of(docs).mapInArrow(send, SENT_SQL).groupBy("bucket").applyInArrow(share, SHARED_SQL)
-    dealt = classes.select(F.pmod("class", F.lit(blocks)).alias("block"), "class", "n").groupBy("block")
-    return dealt.cogroup(shared.groupBy("block")).applyInArrow(gather, LIVE_SQL)
+    sent = text_of(docs).mapInArrow(send, SENT_SQL).repartition(tasks(total, buckets), "bucket")
+    shared = sent.groupBy("bucket").applyInArrow(share, SHARED_SQL).repartition(tasks(total, blocks), "block")
+    dealt = classes.select(F.pmod("class", F.lit(blocks)).alias("block"), "class", "n").repartition(tasks(total, blocks), "block")
+    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(gather, LIVE_SQL)

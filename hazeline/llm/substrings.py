@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.blobs import by_bucket, contains, layout, pack40, pack128, place_of, runs, split_hash, table, unpack40, unpack128
+from hazeline.llm.blobs import by_bucket, contains, layout, pack40, pack128, place_of, runs, split_hash, table, tasks, unpack40, unpack128
 from hazeline.llm.common import WordHashes, windows, worker_store
 
 #: Every residue is a difference of two members of the cover.
@@ -227,8 +227,12 @@ def drop_repeated_passages(docs: DataFrame, width: int = 13, with_text: bool = F
                      kept_sha256=[hashlib.sha256(k).hexdigest() for k in kept],
                      kept_text=[k.decode("utf-8", "replace") if with_text else None for k in kept])
 
-    by_block = dealt.groupBy("block")
-    told = by_block.applyInArrow(anchors, ASKS_SQL).groupBy("bucket").applyInArrow(shared_anchors, ANSWERS_SQL)
-    told = by_block.cogroup(told.groupBy("block")).applyInArrow(passages, ASKS_SQL)
-    told = told.groupBy("bucket").applyInArrow(earliest, ANSWERS_SQL)
+    def to(rows: DataFrame, key: str) -> DataFrame:
+        return rows.repartition(tasks(total, blocks if key == "block" else buckets), key)
+
+    by_block = to(dealt, "block").groupBy("block")
+    asked = to(by_block.applyInArrow(anchors, ASKS_SQL), "bucket")
+    told = to(asked.groupBy("bucket").applyInArrow(shared_anchors, ANSWERS_SQL), "block")
+    asked = to(by_block.cogroup(told.groupBy("block")).applyInArrow(passages, ASKS_SQL), "bucket")
+    told = to(asked.groupBy("bucket").applyInArrow(earliest, ANSWERS_SQL), "block")
     return by_block.cogroup(told.groupBy("block")).applyInArrow(removal, RESULT_SQL)
