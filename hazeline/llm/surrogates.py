@@ -3,9 +3,13 @@
 One pattern finds mail addresses, IBANs, card numbers, social security numbers, network addresses, phone numbers and titled names.
 An entity's surrogate follows from a keyed hash of its type and normal form, so equal entities get equal surrogates in all documents,
 and keeps its shape: digits for digits with the separators where they were, network octets in range, letters of the same script and
-case, mail domains under ``example.com``, card numbers with a valid check digit; given names come from a list of the same gender as the
-title, surnames are put together from syllables of the same script. With every attempt surnames get a syllable more, and from
-``WIDER_FROM`` on phone numbers a digit more, so no type runs out of surrogates however many entities there are.
+case, mail domains under ``example.com``, card numbers with a valid check digit; names are put together from syllables of the same
+script, given names with an ending of the title's gender. With every attempt names get a syllable more, and from ``WIDER_FROM`` on phone
+numbers a digit more.
+
+A titled name is two entities, the given name (with its gender) and the surname, each with one surrogate in all documents: so "Frau Eva
+Müller", "Frau Müller" and "Mrs. Müller" stay one person. In a document that names somebody with a title, the same given names and surnames
+are replaced where they stand alone, too, as whole words; other capitalised words stay.
 
 Distinct entities must keep distinct surrogates, and no surrogate may be another document's real entity: all distinct entities are
 compared by (type, surrogate), and those that clash are numbered and hashed anew until none do. Only clashing entities carry a number;
@@ -19,8 +23,7 @@ separators; ten digits in a row without a zero are no phone number.
 
 Edge cases: null text stays null with no entities; text without entities is unchanged; a repeated row gets the same result; an
 entity inside a longer run of digits or letters is not one; a mail address has at most 64 characters before the @ and ten labels of at most
-63 behind it, a name's part at most 41 letters: so each place of a text costs a bounded number of steps, however long its runs are; other
-columns are ignored.
+63 behind it, a name's part at most 41 letters: so each place of a text costs a bounded number of steps, however long its runs are; a word that is both a given name and a surname of one document is, alone, the given name; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,23 +54,29 @@ PATTERNS = {
             r"\p{Lu}\p{Ll}{1,40}+(?!\p{Ll})(?: \p{Lu}\p{Ll}{1,40}+(?!\p{Ll}))?",
 }
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Señora"
-FEMALE_NAMES = "Alma Clara Dora Elsa Flora Greta Helen Irma Julia Karla Laura Marta Nora Olga Paula Rita Sonia Tessa Vera Wanda".split()
-MALE_NAMES = "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Oscar Paul Ralf Simon Tom Victor".split()
+TITLE = r"^(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? "
+#: Endings of given names by script: female, male.
+ENDINGS = {"Latin": ("na", "n"), "Cyrillic": ("на", "н"), "Greek": ("να", "ς")}
 #: 64 syllables of each script, from 16 beginnings and 4 vowels; the first script's serve all others.
 SYLLABLES = {script: [b + v for b in beginnings.split() for v in vowels.split()] for script, beginnings, vowels in (
     ("Latin", "b br d f g h k l m n p r s st t v", "a e i o"), ("Cyrillic", "б бр д ф г х к л м н п р с ст т в", "а е и о"),
     ("Greek", "β βρ δ φ γ χ κ λ μ ν π ρ σ στ τ ζ", "α ε ι ο"))}
-#: Syllables of a surname at the first attempt; as many more as the hash has digits for.
-LEAST_SYLLABLES, MOST_SYLLABLES = 3, 30
+#: Syllables of a surname and of a given name (before its ending) at the first attempt; as many more as the hash has digits for.
+LEAST_SYLLABLES, LEAST_GIVEN, MOST_SYLLABLES = 3, 2, 30
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A capitalised word that isn't the beginning of a mail address; looked at only in texts that hold a titled name.
+WORD = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,40}+(?![\p{L}\p{N}_]|[A-Za-z0-9._%+-]{0,64}+@)"
+ANY_OR_WORD = f"{ANY}|(?:{WORD})"
+#: Parts of names as entities: ``f~`` or ``m~`` before a given name, ``~`` before a surname.
+MARK = r"^[fm]?~"
 #: Every pattern needs a digit, an @ or a title: most texts have none and are not searched further.
 NEEDED = r"[0-9@]|\b(?:Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor)"
 
 
 def kind_of(entity: Column) -> Column:
     """First type whose pattern the whole entity fits; a number is a card if its check digit is right, and else ``none``."""
-    kind = F.lit("name")
-    for name, pattern in reversed(list(PATTERNS.items())):
+    kind = F.when(F.substring(entity, 1, 1) == "~", F.lit("surname")).otherwise(F.lit("given"))
+    for name, pattern in reversed([x for x in PATTERNS.items() if x[0] != "name"]):
         found = F.when(_checked(entity), F.lit("card")).otherwise(F.lit("none")) if name == "number" else F.lit(name)
         kind = F.when(entity.rlike(f"^(?:{pattern})$"), found).otherwise(kind)
     return kind
@@ -83,10 +92,20 @@ def is_entity(candidate: Column) -> Column:
     return ~F.when(number, ~_checked(candidate)).otherwise(F.lit(False))
 
 
+def parts_of(candidate: Column) -> Column:
+    """The entities of what the patterns found: the parts of a titled name, or the whole of anything else; none of a false number."""
+    words = F.split(F.regexp_replace(candidate, TITLE, ""), " ")
+    gender = F.when(candidate.rlike(f"^(?:{FEMALE_TITLES})[. ]"), "f~").otherwise("m~")
+    surname = F.concat(F.lit("~"), F.element_at(words, -1))
+    name = F.when(F.size(words) == 2, F.array(F.concat(gender, words[0]), surname)).otherwise(F.array(surname))
+    return (F.when(candidate.rlike(f"^(?:{PATTERNS['name']})$"), name).when(is_entity(candidate), F.array(candidate))
+            .otherwise(F.array().cast("array<string>")))
+
+
 def normal_form(entity: Column, kind: Column) -> Column:
     """What makes two spellings the same entity: digits alone, small letters for mail."""
     digits = F.regexp_replace(entity, r"[^0-9A-Za-z]", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("ip", "name"), entity).otherwise(digits)
+    return F.when(kind == "email", F.lower(entity)).when(kind.isin("ip", "given", "surname"), entity).otherwise(digits)
 
 
 def _number(hexes: Column, at: int | Column, below: int) -> Column:
@@ -95,10 +114,6 @@ def _number(hexes: Column, at: int | Column, below: int) -> Column:
     return (F.conv(F.substring(hexes, F.pmod(at * 6, F.lit(56)) + 1, F.lit(6)), 16, 10).cast("long") % below).cast("int")
 
 
-def _pick(hexes: Column, at: int, values: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), _number(hexes, at, len(values)) + 1)
-
-
 def _stream(secret: str, text: Column) -> Column:
     """More hexadecimal digits than any entity has characters."""
     return F.concat(*[F.sha2(F.concat(F.lit(f"{secret}/{i}/"), text), 256) for i in range(2)])
@@ -136,19 +151,21 @@ def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     return _let(kind_of(entity), with_kind)
 
 
-def _surname(entity: Column, attempt: Column, hexes: Column) -> Column:
-    """Syllables in the script of the entity, one more with every attempt."""
-    n = F.least(F.lit(LEAST_SYLLABLES) + attempt, F.lit(MOST_SYLLABLES))
-    last = F.substring_index(entity, " ", -1)
+def _name(entity: Column, kind: Column, attempt: Column, hexes: Column) -> Column:
+    """A part of a name: syllables in the script of the entity, one more with every attempt, behind the entity's mark."""
+    given = kind == "given"
+    n = F.least(F.when(given, F.lit(LEAST_GIVEN)).otherwise(F.lit(LEAST_SYLLABLES)) + attempt, F.lit(MOST_SYLLABLES))
 
     def of(script: str) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(
-            syllables, (F.conv(F.substring(hexes, F.lit(17) + i * 3, F.lit(3)), 16, 10).cast("int") % len(SYLLABLES[script])) + 1)), ""))
+        female, male = ENDINGS[script]
+        ending = F.when(~given, "").when(F.substring(entity, 1, 1) == "f", female).otherwise(male)
+        return F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(
+            syllables, (F.conv(F.substring(hexes, F.lit(17) + i * 3, F.lit(3)), 16, 10).cast("int") % len(SYLLABLES[script])) + 1)), ""), ending))
     made = of("Latin")
     for script in list(SYLLABLES)[1:]:
-        made = F.when(last.rlike(rf"^\p{{Is{script}}}"), of(script)).otherwise(made)
-    return made
+        made = F.when(entity.rlike(rf"{MARK}\p{{Is{script}}}"), of(script)).otherwise(made)
+    return F.concat(F.regexp_extract(entity, MARK, 0), made)
 
 
 def _by_kind(entity: Column, kind: Column, attempt: Column, hexes: Column, reshaped: Column) -> Column:
@@ -166,14 +183,9 @@ def _by_kind(entity: Column, kind: Column, attempt: Column, hexes: Column, resha
     start = F.regexp_extract(entity, r"^\D*\d", 0)
     phone = F.concat(start, F.substring(reshaped, F.length(start) + 1, F.length(entity)),
                      F.rpad(F.lit(""), F.greatest(attempt - (WIDER_FROM - 1), F.lit(0)), F.conv(F.substring(hexes, 100, 12), 16, 10)))
-    title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
-    given = F.when(entity.rlike(f"^(?:{FEMALE_TITLES})[. ]"), _pick(hexes, 1, FEMALE_NAMES)).otherwise(_pick(hexes, 1, MALE_NAMES))
-    surname = _surname(entity, attempt, hexes)
-    name = _let(surname, lambda last: F.when(entity.rlike(r" \p{L}+ \p{L}+$"), F.concat(title, given, F.lit(" "), last)).otherwise(
-        F.concat(title, last)))
     iban = F.concat(F.substring(entity, 1, 2), F.substring(reshaped, F.lit(3), F.length(entity)))
     return (F.when(kind == "none", entity).when(kind == "email", mail).when(kind == "card", card).when(kind == "ip", ip)
-            .when(kind == "phone", phone).when(kind == "name", name).when(kind == "iban", iban).otherwise(reshaped))
+            .when(kind == "phone", phone).when(kind.isin("given", "surname"), _name(entity, kind, attempt, hexes)).when(kind == "iban", iban).otherwise(reshaped))
 
 
 def numbered(entities: DataFrame, secret: str) -> DataFrame:
@@ -206,12 +218,26 @@ def numbered(entities: DataFrame, secret: str) -> DataFrame:
 
 
 def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
-    """``doc_id``, number of entities, number of distinct ones, and the text with surrogates in place of them."""
-    found = docs.select("doc_id", "text",
-                        F.coalesce(F.when(F.col("text").rlike(NEEDED), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))),
-                                   F.array().cast("array<string>")).alias("candidates"))
-    # All candidates keep their place between the gaps; those that are no entities stand for themselves.
-    found = found.withColumn("entities", F.filter("candidates", is_entity))
+    """``doc_id``, number of entities, number of distinct ones, and the text with surrogates in place of them.
+
+    The two parts of a titled name count as two entities.
+    """
+    none = F.array().cast("array<string>")
+    found = docs.select("doc_id", "text", F.coalesce(
+        F.when(F.col("text").rlike(NEEDED), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), none).alias("candidates"))
+    # Parts of the text's titled names; where there are some, capitalised words are candidates as well.
+    found = found.withColumn("names", F.array_sort(F.array_distinct(F.filter(
+        F.flatten(F.transform("candidates", parts_of)), lambda p: p.rlike(MARK)))))
+    named = F.size("names") > 0
+    found = found.withColumn("candidates", F.when(named, F.regexp_extract_all("text", F.lit(ANY_OR_WORD), F.lit(0))).otherwise(F.col("candidates")))
+
+    def entities_of(candidate: Column) -> Column:
+        alone = F.slice(F.filter("names", lambda p: F.regexp_replace(p, MARK, "") == candidate), 1, 1)
+        return F.when(candidate.rlike(f"^(?:{WORD})$"), alone).otherwise(parts_of(candidate))
+
+    # All candidates keep their place between the gaps; those without entities stand for themselves.
+    found = found.withColumn("places", F.transform("candidates", lambda c: F.struct(c.alias("raw"), entities_of(c).alias("parts"))))
+    found = found.withColumns({"entities": F.flatten("places.parts"), "named": named}).drop("candidates", "names")
     # Texts without entities need no look-up and are dealt by their doc_id; copies of a text with some go to ``COPY_SALTS`` places.
     some = F.size("entities") > 0
     found = found.withColumns({"text_key": F.when(some, F.xxhash64("text")).otherwise(F.xxhash64("doc_id")),
@@ -224,9 +250,16 @@ def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     # Written, so that its size is known before texts are shuffled for it: they are not where it is small.
     by_text = written(by_text, "attempts").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))))
     joined = found.join(by_text, ["text_key", "salt"], "left")
-    gaps = F.split("text", ANY, -1)
-    made = F.transform("candidates", lambda e: surrogate(e, F.coalesce(F.try_element_at("attempts", e), F.lit(0)), secret))
-    rebuilt = _let(made, lambda m: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(m, i), F.lit("")))), ""))
+    gaps = F.when(F.col("named"), F.split("text", ANY_OR_WORD, -1)).otherwise(F.split("text", ANY, -1))
+
+    def replaced(place: Column) -> Column:
+        made = F.transform(place.parts, lambda p: F.regexp_replace(
+            surrogate(p, F.coalesce(F.try_element_at("attempts", p), F.lit(0)), secret), MARK, ""))
+        return F.when(F.size(place.parts) == 0, place.raw).otherwise(
+            F.concat(F.regexp_extract(place.raw, TITLE, 0), F.array_join(made, " ")))
+
+    rebuilt = _let(F.transform("places", replaced), lambda m: F.array_join(
+        F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(m, i), F.lit("")))), ""))
     return joined.select(
         "doc_id", F.size("entities").alias("n_entities"), F.size(F.array_distinct("entities")).alias("n_distinct"),
         F.when(F.size("entities") == 0, F.col("text")).otherwise(rebuilt).alias("text"))

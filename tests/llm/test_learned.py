@@ -136,6 +136,29 @@ def test_surrogates(spark):
     assert replace_personal_data(empty(spark), "k").count() == 0
 
 
+def test_surrogates_keep_people_together(spark):
+    """Parts of a name have one surrogate each, with the title, without it, and in other documents."""
+    rows = [(0, "Frau Eva Müller sah Frau Müller, Mrs. Müller und Eva; Müller-Braun, Müllers und Berlin. Müller@a.org, Eva.Müller@b.org"),
+            (1, "Mr. Müller and Mr. Karl Müller"), (2, "Müller and Eva without a title"), (3, "Mrs. Eva Braun")]
+    got = {r.doc_id: r for r in replace_personal_data(frame(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Frau (\w+) (\w+) sah Frau (\w+), Mrs. (\w+) und (\w+); (\w+)-Braun, Müllers und Berlin. (.*)", got[0].text)
+    eva, last = m[1], m[2]
+    assert {m[3], m[4], m[6]} == {last} and m[5] == eva and len({eva, last, "Eva", "Müller"}) == 4
+    assert "a.org" not in m[7] and "b.org" not in m[7]
+    assert got[1].text.split()[1] == got[1].text.split()[5] == last and got[1].n_entities == 3 and got[1].n_distinct == 2
+    assert got[2].text == rows[2][1] and got[2].n_entities == 0
+    assert got[3].text.split()[1] == eva
+
+
+def test_surrogates_match_script_and_gender(spark):
+    rows = [(0, "Mr. Иван Иванов"), (1, "Herr Μιχάλης Παπάς"), (2, "Frau Ольга Петрова"), (3, "Mrs. Ann Lee"), (4, "Mr. Ann Lee")]
+    got = {r.doc_id: r.text for r in replace_personal_data(frame(spark, rows), "k").collect()}
+    assert re.fullmatch(r"Mr\. [А-Я][а-я]+н [А-Я][а-я]+", got[0])
+    assert re.fullmatch(r"Herr [Α-Ω][α-ω]+ς [Α-Ω][α-ω]+", got[1])
+    assert re.fullmatch(r"Frau [А-Я][а-я]+на [А-Я][а-я]+", got[2])
+    assert re.fullmatch(r"Mrs\. [A-Z][a-z]+na [A-Z][a-z]+", got[3]) and re.fullmatch(r"Mr\. [A-Z][a-z]+n [A-Z][a-z]+", got[4])
+
+
 def test_surrogates_stay_distinct(spark):
     """Names have few surrogates, so many clash at first."""
     rows = [(i, f"Mrs. {chr(65 + i % 26)}{chr(97 + i // 26)}nor Quill") for i in range(150)]
