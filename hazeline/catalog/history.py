@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from hazeline.catalog.inputs import panel, readings, sparse
 from hazeline.catalog.registry import query
+from hazeline.catalog.tables import _hourly_payloads
 from hazeline.operators import history as H
 from hazeline.operators import relational as R
+from hazeline.sources import landed as L
 from hazeline.schema import HISTORY_COLUMNS, KEYS, POLLUTANTS, WEATHER
 from hazeline.session import work_dir, written
 
@@ -35,6 +37,22 @@ def bootstrap(spark, folder):
     return good
 
 
+@query("h1_landed_bootstrap", f"""
+SELECT {_COLS}, 'open_meteo_bootstrap' AS source FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn
+  FROM panel WHERE timestamp < TIMESTAMP '2024-01-30 12:00:00' AND city <> 'view') WHERE rn <= 120""", " ".join(["latitude longitude", *WEATHER, *POLLUTANTS]))
+def landed_bootstrap(spark, folder):
+    """H1 from the payloads as they were landed, weather and pollution each parsed and checked on its own."""
+    p = panel(spark, folder)
+    payloads = _hourly_payloads(spark, folder)
+    weather, _ = L.hourly_checked(payloads, L.WEATHER_NAMES)
+    pollution, _ = L.hourly_checked(payloads, {x: x for x in POLLUTANTS})
+    cities = p.groupBy("city").agg(F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"))
+    naive = F.col("timestamp").cast("timestamp_ntz")
+    good, _ = H.bootstrap(weather.withColumn("timestamp", naive), pollution.withColumn("timestamp", naive), cities,
+                          _ts("2024-01-30 12:34:00"), existing=p.where(F.col("city") == "view"), validate=False)
+    return good
+
+
 @query("h2_same_hour", """
 SELECT a.city, a.user_id, w AS weather_at, p AS pollution_at, date_trunc('hour', w) = date_trunc('hour', p) AS same_hour FROM
   (SELECT city || '|' || user_id AS city, user_id, max(ts) AS w FROM readings GROUP BY ALL) a
@@ -178,6 +196,24 @@ def saved(spark, folder):
     return H.load(spark, path)
 
 
+@query("h6_versions", f"""
+SELECT {_COLS.replace("pm10,", "CASE WHEN city = 'click' THEN pm10 + 1 ELSE pm10 END AS pm10,")}, 'open_meteo_bootstrap' AS source FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM panel)
+WHERE rn <= 168""", _DOUBLES)
+def versions(spark, folder):
+    """A second version replaces one city; the others come over from the first. A third one fails its validation and is never seen."""
+    path = work_dir(spark, "history")
+    first = _with_source(R.newest_hours(panel(spark, folder), 168), H.BOOTSTRAP_SOURCE)
+    H.save(first, path)
+    click = H.load(spark, path).where(F.col("city") == "click")
+    plus = (F.col("pm10") + 1).cast(dict(first.dtypes)["pm10"])
+    H.save(click.withColumn("pm10", plus), path)
+    try:
+        H.save(click.withColumn("pm10", -plus), path)
+    except ValueError:
+        return H.load(spark, path)
+    raise AssertionError("a history with negative values was published")
+
+
 @query("h7_newest_source", """
 SELECT city, CASE WHEN city = 'click' THEN 'unknown' ELSE 'openweather_live' END AS source, max(timestamp) AS timestamp FROM sparse GROUP BY city""")
 def newest_source(spark, folder):

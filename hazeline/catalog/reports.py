@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeline.catalog import twin as S
-from hazeline.catalog.inputs import aqi_panel, events, feature_panel, feature_table
+from hazeline.catalog.inputs import events, feature_table, panel
 from hazeline.catalog.ledger import COMBINED_DOUBLES, COMBINED_SQL, _evaluated, holdout
 from hazeline.catalog.registry import query
 from hazeline.operators import explain as X
 from hazeline.operators import sequences as Q
-from hazeline.operators.features import latest_per_city
+from hazeline.operators.features import newest_features
+from hazeline.operators.targets import build_aqi, recent_rows
 from hazeline.plans import reports as R
 from hazeline.schema import BASE_FEATURES, CITIES, FEATURES, HORIZONS, TARGETS, city_dimension
 
@@ -25,14 +26,14 @@ def _report_sql(h):
 
 @query("r1_history_report", _report_sql(168), "minimum maximum average standard_deviation")
 def history_report(spark, folder):
-    return R.history_report(aqi_panel(spark, folder), 168, observations=False)
+    return R.history_report(build_aqi(recent_rows(panel(spark, folder), 168)), 168, observations=False)
 
 
 @query("r1_history_observations", """
 SELECT city, timestamp, aqi_current, aqi_category, pm2_5, ozone FROM (
   SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM named WHERE aqi_current IS NOT NULL) WHERE rn <= 24""", "pm2_5")
 def observations(spark, folder):
-    report = R.history_report(aqi_panel(spark, folder), 24)
+    report = R.history_report(build_aqi(recent_rows(panel(spark, folder), 24)), 24)
     rows = report.select("city", F.explode("observations").alias("o"))
     return rows.select("city", "o.timestamp", "o.aqi_current", "o.aqi_category", "o.pm2_5", "o.ozone")
 
@@ -76,7 +77,7 @@ SELECT city, timestamp, aqi_current AS current_aqi, aqi_category AS current_cate
   (CASE WHEN aqi_current <= 50 THEN 0 WHEN aqi_current <= 100 THEN 1 WHEN aqi_current <= 150 THEN 2 WHEN aqi_current <= 200 THEN 3
     WHEN aqi_current <= 300 THEN 4 ELSE 5 END)::INT AS severity FROM newest, (VALUES (24), (48), (72)) t(h)""", "predicted_aqi")
 def forecast_report(spark, folder):
-    report = R.forecast_report(_persistence_scores(latest_per_city(feature_panel(spark, folder))))
+    report = R.forecast_report(_persistence_scores(newest_features(panel(spark, folder))))
     rows = report.select("city", "timestamp", "current_aqi", "current_category", F.explode("forecasts").alias("f"))
     return rows.select("city", "timestamp", "current_aqi", "current_category", "f.horizon_hours", "f.target_at", "f.predicted_aqi",
                        "f.predicted_category", F.col("f.alert.severity").alias("severity"))
@@ -87,7 +88,7 @@ SELECT city, true AS success, 0::DOUBLE AS runtime_seconds, timestamp, aqi_curre
   aqi_current::DOUBLE AS forecast_48h, aqi_current::DOUBLE AS forecast_72h, NULL::VARCHAR AS error FROM newest""",
        "runtime_seconds forecast_24h forecast_48h forecast_72h")
 def run_summary(spark, folder):
-    newest = latest_per_city(feature_panel(spark, folder))
+    newest = newest_features(panel(spark, folder))
     return R.run_summary(newest, R.forecast_report(_persistence_scores(newest)))
 
 

@@ -74,6 +74,24 @@ def hourly_payload(spark, folder):
     return L.hourly_rows(_hourly_payloads(spark, folder), names).select(*_S5)
 
 
+@query("s5_refused", """
+WITH d AS (SELECT city, date_part('day', CAST(timestamp AS DATE)) AS dom, CAST(timestamp AS DATE) AS day, count(*) AS n FROM panel GROUP BY ALL),
+e AS (SELECT city, CASE dom WHEN 3 THEN 'bad_time' WHEN 5 THEN 'no_time' WHEN 7 THEN 'bad_value' END AS reason,
+  CASE WHEN dom = 5 THEN 0 WHEN dom IN (3, 7) THEN n - 1 ELSE n END AS good FROM d)
+SELECT city, reason, count(*) AS n FROM e WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT city, 'accepted', sum(good)::BIGINT FROM e GROUP BY city""")
+def hourly_refused(spark, folder):
+    """Payloads of three days of the month are damaged: a time that is none, no time list, a value that is no number."""
+    landed = _hourly_payloads(spark, folder)
+    dom = F.substring(F.regexp_extract("payload", r'"time":\["([0-9-]{10})', 1), 9, 2)
+    damaged = (F.when(dom == "03", F.regexp_replace("payload", r'"time":\["[^"]*"', '"time":["soon"'))
+               .when(dom == "05", F.regexp_replace("payload", '"time":', '"tme":'))
+               .when(dom == "07", F.regexp_replace("payload", r'"pm10":\[[^,\]]*', '"pm10":["n/a"')).otherwise(F.col("payload")))
+    good, bad = L.hourly_checked(landed.withColumn("payload", damaged), {**L.WEATHER_NAMES, **{p: p for p in POLLUTANTS}})
+    states = good.select("city", F.lit("accepted").alias("reason")).unionByName(bad.select("city", "reason"))
+    return states.groupBy("city", "reason").agg(F.count("*").alias("n"))
+
+
 def _current_payloads(spark, folder):
     e = F.col("event_id")
     v, k = F.col("value"), F.col("k")

@@ -166,7 +166,7 @@ SELECT city, timestamp, aqi_current, {', '.join(FEATURES)} FROM (
   SELECT *, row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) AS rn FROM features WHERE aqi_current IS NOT NULL)
 WHERE rn = 1""", " ".join(FEATURES))
 def newest(spark, folder):
-    return Fe.model_projection(Fe.latest_per_city(feature_panel(spark, folder)), "aqi_current")
+    return Fe.model_projection(Fe.newest_features(panel(spark, folder)), "aqi_current")
 
 
 @query("w19_hour_bucket", "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour FROM events")

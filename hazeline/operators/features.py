@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazeline.functions.exact import exact, std_of
 from hazeline.operators.grid import BLOCK_HOURS, at_hour, block_window, drop_halo, full_window, with_halo
-from hazeline.operators.targets import MEAN_HOURS, current_aqi, future_targets, gate, trailing_means
+from hazeline.operators.targets import MEAN_HOURS, current_aqi, future_targets, gate, recent_rows, trailing_means
 from hazeline.schema import (
     AQI_CHANGES,
     AQI_LAGS,
@@ -164,6 +164,12 @@ def latest_per_city(df: DataFrame) -> DataFrame:
     return newest.select("city", "_r.*").select(*df.columns)
 
 
+def newest_features(df: DataFrame, on_gap: str = "trust") -> DataFrame:
+    """W18 from a raw panel: what ``latest_per_city`` finds among all features, built from each city's newest hours alone."""
+    recent = recent_rows(gate(df, on_gap), 1, MEAN_HOURS - 1 + FEATURE_LOOKBACK)
+    return latest_per_city(build_features(recent))
+
+
 def feature_summary(source: DataFrame, features: DataFrame) -> DataFrame:
     """W24 summary: rows in and out, cities, feature count."""
     counted = features.agg(F.count("*").alias("output_rows"), F.count_distinct("city").alias("cities"))

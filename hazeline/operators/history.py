@@ -6,9 +6,11 @@ stop the others.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.operators.quality import history_health
@@ -180,25 +182,65 @@ def newest_source(history: DataFrame) -> DataFrame:
     )
 
 
+def _named(bad: DataFrame) -> str:
+    """A few of the refused cities and how many there are."""
+    first = bad.orderBy("city").limit(20).collect()
+    return f"history of {bad.count()} cities refused: " + "; ".join(f"{r['city']}: {', '.join(r['reasons'])}" for r in first)
+
+
 def validated(history: DataFrame, minimum: int = MINIMUM_HOURS) -> DataFrame:
     """H6: fail unless every city's history is acceptable."""
-    bad = history_health(history, minimum).where(~F.col("valid")).limit(20).collect()
-    if bad:
-        raise ValueError("history refused: " + "; ".join(f"{r['city']}: {', '.join(r['reasons'])}" for r in bad))
+    bad = history_health(history, minimum).where(~F.col("valid"))
+    if not bad.isEmpty():
+        raise ValueError(_named(bad))
     return history
 
 
-def save(history: DataFrame, path: str, validate: bool = True) -> None:
-    """H6: overwrite only the partitions of the cities given. The history is one row per (city, hour) and short."""
-    rows = validated(history) if validate else history
-    rows.repartition("city").sortWithinPartitions("city", "timestamp").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("city").parquet(path)
+_COMMIT = "version long, folder string"
 
 
-def load(spark, path: str, validate: bool = True) -> DataFrame:
-    """H6."""
-    history = spark.read.parquet(path).select(*HISTORY_COLUMNS)
-    return validated(history) if validate else history
+def _newest_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of the newest published version; 0 where there is none."""
+    try:
+        commits = spark.read.schema(_COMMIT).option("recursiveFileLookup", "true").parquet(f"{path}/commits")
+        row = commits.agg(F.max(F.struct("version", "folder")).alias("newest")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    return (row.newest.version, f"{path}/{row.newest.folder}") if row.newest else (0, None)
 
 
+def save(history: DataFrame, path: str, validate: bool = True, minimum: int = MINIMUM_HOURS) -> int:
+    """H6: publish a new version, in which the cities given replace their stored rows and all others stay; returns its number.
+
+    Files are cut by ranges of (city, hour), so a long history of one city is many tasks' work. The version's files are written and
+    validated first; only then a commit names them, so readers see whole, accepted versions alone. All refused cities of a failed
+    version are written beside it (``refused/``). Versions are published one after the other: a number that is taken already is an error.
+    """
+    spark = history.sparkSession
+    number, folder = _newest_version(spark, path)
+    rows = history.select(*HISTORY_COLUMNS)
+    if folder:
+        stored = spark.read.parquet(folder).join(rows.select("city").distinct(), "city", "left_anti")
+        rows = rows.unionByName(stored.select(*HISTORY_COLUMNS))
+    number += 1
+    name = f"{number:012d}-{uuid.uuid4().hex[:12]}"
+    rows.repartitionByRange("city", "timestamp").sortWithinPartitions("city", "timestamp").write.parquet(f"{path}/data/{name}")
+    if validate:
+        health = history_health(spark.read.parquet(f"{path}/data/{name}"), minimum)
+        health.where(~F.col("valid")).select("city", "reasons").write.parquet(f"{path}/refused/{name}")
+        bad = spark.read.parquet(f"{path}/refused/{name}")
+        if not bad.isEmpty():
+            raise ValueError(_named(bad))
+    spark.createDataFrame([(number, f"data/{name}")], _COMMIT).write.mode("error").parquet(f"{path}/commits/{number:012d}")
+    return number
+
+
+def load(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
+    """H6: the newest published version."""
+    _, folder = _newest_version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no history has been published at {path}")
+    history = spark.read.parquet(folder).select(*HISTORY_COLUMNS)
+    return validated(history) if validate else history

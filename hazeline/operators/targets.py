@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions import aqi
@@ -17,7 +17,7 @@ from hazeline.operators.grid import (
     require_continuous,
     with_halo,
 )
-from hazeline.schema import HORIZONS, KEYS, TARGETS, all_present, hours, require_columns
+from hazeline.schema import HORIZONS, KEYS, TARGETS, all_present, epoch_hours, epoch_seconds, hours, require_columns
 
 MEAN_HOURS = 24
 AQI_COLUMNS = ["pm2_5_24h_mean", "pm10_24h_mean", "pm2_5_aqi", "pm10_aqi", "aqi_current", "aqi_category",
@@ -37,6 +37,38 @@ def trailing_means(df: DataFrame, window=None) -> DataFrame:
     return df.withColumns(cols)
 
 
+#: Readings up to here surely give an index; larger ones only make ``recent_rows`` keep more.
+SURE_READING = 10_000
+
+
+def recent_rows(df: DataFrame, keep: int = 1, lookback: int = MEAN_HOURS - 1) -> DataFrame:
+    """The rows of a panel from which each city's ``keep`` newest hours with an AQI follow, and all rows behind them.
+
+    Each (city, day) is one number with a bit per usable hour, so what is shuffled and ordered are days. An hour has an AQI where it ends 24
+    set bits; the days of the newest ``keep`` such hours give the city's start, and ``lookback`` hours before it are what the windows need.
+    At most 23 hours more than needed are kept. A city with fewer such hours, with a repeated hour or with times off the hour keeps all its rows.
+    """
+    t, one = epoch_hours(F.col("timestamp")), F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, F.pmod(t, F.lit(24)).cast("int"))
+    usable = F.coalesce(F.col("pm2_5").between(0, SURE_READING) & F.col("pm10").between(0, SURE_READING), F.lit(False))
+    days = df.groupBy("city", F.floor(t / 24).alias("_day")).agg(
+        F.bit_or(F.when(usable, bit).otherwise(F.lit(0).cast("long"))).alias("_bits"),
+        ((F.count("*") == F.bit_count(F.bit_or(bit))) & (F.count_if(F.pmod(epoch_seconds(F.col("timestamp")), F.lit(3600)) != 0) == 0)).alias("_regular"))
+    in_time = Window.partitionBy("city").orderBy("_day")
+    before = F.coalesce(F.when(F.lag("_day").over(in_time) == F.col("_day") - 1, F.lag("_bits").over(in_time)), F.lit(0).cast("long"))
+    run = before.bitwiseOR(F.shiftleft("_bits", 24))
+    days = days.withColumn("_run1", run)
+    for n in (1, 2, 4, 8):  # bit j of the 2n-th: hours j to j + 2n - 1 are all usable
+        days = days.withColumn(f"_run{2 * n}", F.col(f"_run{n}").bitwiseAND(F.shiftright(f"_run{n}", n)))
+    whole = F.col("_run16").bitwiseAND(F.shiftright("_run8", 16))
+    days = days.select("city", "_day", "_regular", F.bit_count(F.shiftright(whole, 1)).alias("_n"))
+    backwards = Window.partitionBy("city").orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    starts = days.withColumn("_behind", F.sum("_n").over(backwards)).groupBy("city").agg(
+        F.max(F.when(F.col("_behind") >= keep, F.col("_day") * 24)).alias("_day_start"), F.bool_and("_regular").alias("_regular"))
+    starts = starts.select("city", F.when(F.col("_regular"), F.col("_day_start") - lookback).alias("_from"))
+    return df.join(starts, "city", "left").where(F.coalesce(t >= F.col("_from"), F.lit(True))).select(*df.columns)
+
+
 def current_aqi(df: DataFrame, strict: bool = False) -> DataFrame:
     """Sub-indices, index, category and dominant pollutant from the trailing means."""
     df = df.withColumns(

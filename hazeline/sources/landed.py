@@ -92,10 +92,26 @@ def hourly_rows(df: DataFrame, names: dict[str, str], payload: str = "payload",
     )
 
 
-def hourly_refused(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Payloads without hourly data or without its time list."""
-    no_time = F.get_json_object(payload, "$.hourly.time").isNull()
-    return df.where(no_time)
+def hourly_checked(df: DataFrame, names: dict[str, str], payload: str = "payload", keep: list[str] = ("city",)) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``hourly_rows`` that can be read, all others with their ``position``, time text and ``reason``), from one parse.
+
+    ``no_time``: the payload can't be read or has no time list (one row per payload, no position); ``bad_time``: the time can't be read;
+    ``bad_value``: a value is no number. A value that is absent or null is no fault here: the builds' checks decide about it.
+    """
+    texts = T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField("hourly", T.StructType([T.StructField(n, texts) for n in ("time", *names)]))])
+    parsed = df.select(*keep, F.from_json(payload, schema).alias("_p"))
+    zipped = F.arrays_zip(F.col("_p.hourly.time").alias("time"), *[F.col(f"_p.hourly.{n}").alias(n) for n in names])
+    rows = parsed.select(*keep, F.posexplode_outer(zipped).alias("position", "_r"))
+    values = {target: F.col(f"_r.{source}").try_cast("double") for source, target in names.items()}
+    unread = F.lit(False)
+    for source, target in names.items():
+        unread = unread | (F.col(f"_r.{source}").isNotNull() & values[target].isNull())
+    time = F.try_to_timestamp("_r.time")
+    reason = F.when(F.col("_r").isNull(), "no_time").when(time.isNull(), "bad_time").when(unread, "bad_value")
+    rows = rows.withColumn("reason", reason)
+    accepted = rows.where("reason IS NULL").select(*keep, time.alias("timestamp"), *[v.alias(t) for t, v in values.items()])
+    return accepted, rows.where("reason IS NOT NULL").select(*keep, "position", F.col("_r.time").alias("time"), "reason")
 
 
 def wind_to_ms(df: DataFrame, unit: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from fixtures import hourly
 from pyspark.sql import functions as F
 
-from hazeline.operators.history import HISTORY_COLUMNS, checked, recover_gap, upsert
-from hazeline.sources.landed import hourly_rows
+from hazeline.operators.history import HISTORY_COLUMNS, checked, load, recover_gap, save, upsert
+from hazeline.sources.landed import hourly_checked, hourly_rows
 
 
 def _history(df, source: str):
@@ -60,3 +61,33 @@ def test_check_after_upsert_names_the_city(spark):
     good, bad = checked(kept)
     assert [r.city for r in good.select("city").distinct().collect()] == ["Islamabad"]
     assert [(r.city, r.reasons) for r in bad.collect()] == [("Lahore", ["negative_values"])]
+
+
+def test_refused_hours_say_why(spark):
+    payloads = ['{"hourly": {"time": ["2026-01-01T00:00", "soon", "2026-01-01T02:00", "2026-01-01T03:00"], "a": [1.5, 2, "n/a", null]}}',
+                '{"hourly": {"a": [1.0]}}', "no json", None, '{"hourly": {"time": [], "a": []}}']
+    df = spark.createDataFrame([(f"c{i}", p) for i, p in enumerate(payloads)], "city string, payload string")
+    good, bad = hourly_checked(df, {"a": "b"})
+    assert sorted((r.timestamp.hour, r.b) for r in good.where("b IS NOT NULL").collect()) == [(0, 1.5)]
+    assert [r.timestamp.hour for r in good.where("b IS NULL").collect()] == [3]
+    assert sorted((r.city, r.position, r.reason) for r in bad.where("position IS NOT NULL").collect()) == [("c0", 1, "bad_time"), ("c0", 2, "bad_value")]
+    assert sorted((r.city, r.reason) for r in bad.where("position IS NULL").collect()) == [(f"c{i}", "no_time") for i in (1, 2, 3, 4)]
+    assert hourly_checked(df.limit(0), {"a": "b"})[1].count() == 0
+
+
+def test_readers_see_whole_accepted_versions_only(spark, tmp_path):
+    path = str(tmp_path / "history")
+    with pytest.raises(FileNotFoundError):
+        load(spark, path)
+    both = _history(hourly(spark, 120), "archive")
+    with pytest.raises(ValueError, match="history of 2 cities refused"):
+        save(both.withColumn("pm10", F.lit(-1.0)), path)
+    with pytest.raises(FileNotFoundError):
+        load(spark, path)
+    assert save(both, path) == 1
+    lahore = both.where("city = 'Lahore'").withColumn("pm10", F.lit(7.0))
+    assert save(lahore, path) == 2
+    with pytest.raises(ValueError, match="Lahore: negative_values"):
+        save(lahore.withColumn("pm10", F.lit(-7.0)), path)
+    got = {(r.city, r.pm10): r.n for r in load(spark, path).groupBy("city", "pm10").agg(F.count("*").alias("n")).collect()}
+    assert got == {("Islamabad", 1.0): 120, ("Lahore", 7.0): 120}

@@ -29,6 +29,32 @@ def test_targets_known_answers(spark):
     assert all(r["target_aqi_24h"] is None for r in rows[-24:])
 
 
+@pytest.mark.parametrize("fault", ["none", "gap at the end", "missing cell", "negative", "repeated hour", "off the hour", "short"])
+def test_newest_features_of_a_pruned_build(spark, fault):
+    """The newest row, and the newest 30 hours with AQI, as from all rows; an even history leaves at most 190 hours."""
+    p, i = feature_panel(spark, 500).drop("aqi_current"), F.col("i")
+    lahore = F.col("city") == "Lahore"
+    if fault == "gap at the end":
+        p = p.where(~lahore | (i != 490))
+    elif fault in ("missing cell", "negative"):
+        p = p.withColumn("pm10", F.when(lahore & (i == 470), None if fault == "missing cell" else -1.0).otherwise(F.col("pm10")))
+    elif fault == "repeated hour":
+        p = p.unionByName(p.where(lahore & (i == 480)))
+    elif fault == "off the hour":
+        p = p.withColumn("timestamp", F.when(lahore & (i == 480), F.col("timestamp") + F.expr("INTERVAL 5 MINUTES")).otherwise(F.col("timestamp")))
+    elif fault == "short":
+        p = p.where(~lahore | (i < 20))
+    want = Fe.model_projection(Fe.latest_per_city(Fe.build_features(p)), "aqi_current", "aqi_category")
+    got = Fe.model_projection(Fe.newest_features(p), "aqi_current", "aqi_category")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    newest = Window.partitionBy("city").orderBy(F.col("timestamp").desc())
+    hours = [T.build_aqi(x).where("aqi_current IS NOT NULL").withColumn("rn", F.row_number().over(newest)).where("rn <= 30").select(
+        "city", "timestamp", "aqi_current") for x in (p, T.recent_rows(p, 30))]
+    assert hours[0].exceptAll(hours[1]).count() == 0 and hours[0].count() == hours[1].count()
+    if fault == "none":
+        assert T.recent_rows(p, 1, 95).count() <= 2 * 190
+
+
 @pytest.mark.parametrize("block_hours", [7, 24, 50, 5000])
 def test_time_blocks_do_not_change_the_answer(spark, block_hours):
     """Blocks far shorter than the look-back give the plain window's rows."""
