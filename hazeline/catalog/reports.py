@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeline.catalog import twin as S
-from hazeline.catalog.inputs import events, feature_table, panel
+from hazeline.catalog.inputs import events, feature_panel, feature_table, panel
 from hazeline.catalog.ledger import COMBINED_DOUBLES, COMBINED_SQL, _evaluated, holdout
 from hazeline.catalog.registry import query
 from hazeline.operators import explain as X
