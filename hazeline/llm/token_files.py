@@ -4,8 +4,8 @@ Files hold ``part`` (file number in order of doc_id), ``ordinal`` (row in the fi
 its run-length encodings (version 2), keeps minimum and maximum of every stripe and of every ``ROW_STRIDE`` rows, and a Bloom filter
 on ``doc_id``, so a range of ids or a single id reads few stripes, and stripes are read in parallel.
 
-Texts are encoded by the ``tokenizers`` library. A text is cut before single spaces where its pre-tokeniser always cuts, and the
-ids of a chunk are kept while it repeats. Scale: one range shuffle of the texts; encoding and writing happen behind it, so ids are
+Texts are encoded by the ``tokenizers`` library. A text is cut where its pre-tokeniser cuts, and the ids of a piece are kept while it
+repeats; a text with characters that versions of Unicode class differently, or with an added token, is encoded whole. Scale: one range shuffle of the texts; encoding and writing happen behind it, so ids are
 never shuffled. Reading back, only a line per document is; offsets need a sum per file, and the number of files is bounded by the
 write's tasks.
 
@@ -15,9 +15,11 @@ stand side by side, ordered by text; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,23 +33,47 @@ from hazeline.llm.common import rows_of, work_dir, worker_store, written
 
 ROW_STRIDE, STRIPE_BYTES, BLOOM_RATE = 10_000, 64 << 20, 0.01
 FILE_SQL = "part int, ordinal long, doc_id long, ids array<int>"
-#: Words kept by a worker, and what closes a word.
-MOST_CHUNKS, MOST_PIECES, LONGEST_PIECE = 900_000, 200_000, 24
-MARKS = ".,;:!?#*$%&|<>"
-#: Spaces between two white-space characters belong to a longer run and are no place to cut.
-RUN = re.compile(r"\s (?:\s|$)")
+#: Pieces kept by a worker; longer ones are not kept.
+MOST_PIECES, LONGEST_PIECE = 800_000, 48
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _ranges(codes: list[int]) -> str:
+    """A regular expression's character class."""
+    steps = np.flatnonzero(np.diff(codes) > 1)
+    pairs = zip(np.r_[0, steps + 1], np.r_[steps, len(codes) - 1])
+    return "".join(f"\\u{codes[a]:04x}-\\u{codes[b]:04x}" for a, b in pairs)
+
+
+@functools.cache
+def pre_tokeniser() -> tuple[re.Pattern, re.Pattern]:
+    """The byte-level pre-tokeniser's pieces, and the characters of which it can't be said here what they are.
+
+    What is letter or number depends on the version of Unicode, so only characters count that were the same in version 3.2 and are now.
+    """
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "unsure": []}
+    for code in range(1 << 16):
+        kind, early = unicodedata.category(chr(code))[0], unicodedata.ucd_3_2_0.category(chr(code))[0]
+        if (kind == "L") != (early == "L") or (kind == "N") != (early == "N") or (kind == "Z") != (early == "Z") or early == "C" and code >= 0xA0:
+            kinds["unsure"].append(code)
+        elif kind in kinds:
+            kinds[kind].append(code)
+    letter, number = _ranges(kinds["L"]), _ranges(kinds["N"])
+    pieces = (f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+    return re.compile(pieces), re.compile(f"[{_ranges(kinds['unsure'])}\U00010000-\U0010ffff]")
 
 
 class ChunkEncoder:
-    """Ids of texts by way of their chunks: what stands behind each single space."""
+    """Ids of texts by way of the pieces into which the pre-tokeniser cuts them: merges never cross a piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.behind_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
+        self.cut, self.unsure = pre_tokeniser()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
         #: Bytes of each token: a character of the vocabulary stands for one byte, in special tokens for itself.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -58,76 +84,36 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of words of letters behind a space, encoded as one text: the pre-tokeniser cuts it at each space."""
+    def learn(self, pieces: set[str]) -> None:
+        """Ids of pieces. Words of letters behind a space are encoded many as one text: the pre-tokeniser cuts it at each space."""
+        if len(self.known) + len(pieces) > MOST_PIECES:
+            self.known.clear()
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         for a in range(0, len(words), 4096):
             part = words[a:a + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in part])) + 1).tolist()
             packed = ids.tobytes()
-            for w, start, end in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.behind_space[w] = packed[4 * start:4 * end]
-
-    def cut(self, text: str) -> tuple[str, list[str]] | None:
-        """Letters behind the space and the pieces that follow: single line breaks and what closes a word are pieces of their own."""
-        first, *lines = text.split("\n")
-        if lines and not (first and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *lines))):
-            return None
-        stem = first.rstrip(MARKS)
-        if stem not in self.behind_space:
-            stem, pieces = "", [" " + first]
-        else:
-            pieces = [first[len(stem):]] if stem != first else []
-        for line in lines:
-            word = line.rstrip(MARKS)
-            pieces += ["\n", word, line[len(word):]] if word.isalpha() else ["\n", line]
-        return stem, pieces
-
-    def learn_pieces(self, pieces: set[str]) -> None:
-        """Ids of pieces that stand alone, all in one call."""
-        new = [p for p in pieces if p and p not in self.alone]
-        if len(self.alone) + len(new) > MOST_PIECES:
-            self.alone.clear()
-            new = [p for p in pieces if p]
-        for p, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.alone[p] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-
-    def chunks(self, texts: set[str]) -> dict[str, bytes]:
-        """Ids of a space and each chunk."""
-        cuts = {t: self.cut(t) for t in texts}
-        self.learn_pieces({p for c in cuts.values() if c for p in c[1] if len(p) <= LONGEST_PIECE})
-        own, alone = self.behind_space, self.alone
-        return {t: self.library(" " + t) if c is None else (own[c[0]] if c[0] else b"") + b"".join(
-            [(alone[p] if len(p) <= LONGEST_PIECE else self.library(p)) for p in c[1] if p]) for t, c in cuts.items()}
-
-    def piece(self, text: str) -> bytes:
-        if len(text) > LONGEST_PIECE:
-            return self.library(text)
-        if text not in self.alone:
-            self.learn_pieces({text})
-        return self.alone[text]
+            self.known.update(zip(part, [packed[4 * start:4 * end] for start, end in zip([0, *ends[:-1]], ends)]))
+        others = list(pieces.difference(words))
+        for a in range(0, len(others), 4096):
+            part = others[a:a + 4096]
+            for p, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[p] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [None if RUN.search(t) else t.split(" ") for t in texts]
-        get = self.behind_space.get
-        found = [parts and list(map(get, parts)) for parts in split]
-        stems = {c.partition("\n")[0].rstrip(MARKS) for parts, ids in zip(split, found) if parts
-                 for c, i in zip(parts[1:], ids[1:]) if i is None} - self.behind_space.keys()
-        words = [w for w in stems if w.isalpha()]
-        if len(self.behind_space) + len(words) > MOST_CHUNKS:
-            self.behind_space.clear()
-            words = list({w for parts in split if parts for c in parts[1:]
-                          if (w := c.partition("\n")[0].rstrip(MARKS)).isalpha()})
-        self.learn(words)
-        made = self.chunks({c for parts, ids in zip(split, found) if parts for c, i in zip(parts[1:], ids[1:]) if i is None})
-        out = []
-        for text, parts, ids in zip(texts, split, found):
-            if parts is None:
-                out.append(self.library(text))
-            else:
-                ids[0] = self.piece(parts[0]) if parts[0] else b""
-                out.append(b"".join([made[c] if i is None else i for c, i in zip(parts, ids)]))
+        cut = [None if self.unsure.search(t) or any(a in t for a in self.added) else self.cut.findall(t) for t in texts]
+        pieces = set().union(*filter(None, cut))
+        long = {p for p in pieces if len(p) > LONGEST_PIECE}
+        new = pieces - self.known.keys()
+        if len(self.known) + len(new) > MOST_PIECES:
+            new = pieces
+        self.learn(new)
+        get = self.known.__getitem__
+        out = [self.library(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut)]
+        for p in long:
+            del self.known[p]
         return out
 
 

@@ -300,3 +300,23 @@ def test_fertility_bands_against_brute_force(spark):
                 quarter(away[g], 2), quarter(away["aa"] + away["bb"], 2), len(away[g]))
             assert got[g, m].scatter == pytest.approx(scatter, rel=0.03, abs=1e-6)
     measured.unpersist()
+
+
+def test_pieces_are_the_pre_tokenisers():
+    """All characters of the basic plane that count as sure, beside a letter, a number, a mark and a space."""
+    own = ChunkEncoder(BYTES)
+    sure = [c for c in map(chr, range(1 << 16)) if not 0xD800 <= ord(c) < 0xE000 and not own.unsure.search(c)]
+    assert len(sure) > 40_000
+    for near in "a1!":
+        text = near.join(f" {c}" for c in sure)
+        assert own.cut.findall(text) == [text[a:b] for _, (a, b) in own.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_words_with_marks_are_cut_once():
+    """Marks behind a word make no new entry: the word's letters are known."""
+    own = ChunkEncoder(BYTES)
+    texts = ["so gran, gran. gran; \"gran\" x", "so gran! (gran) x\n<|endoftext|>"]
+    found = own.encode(texts)
+    for text, ids in zip(texts, found):
+        assert list(memoryview(ids).cast("I")) == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not any("gran" in p and p not in ("gran", " gran") for p in own.known)
