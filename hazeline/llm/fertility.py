@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ REACH, ENTROPY_REACH = 9.0, 3.5
 LEAST_REACH = {"chars_per_token": 0.06, "byte_share": 0.1, "token_entropy": 0.1, "chars_per_byte_token": 0.06, "single_byte_share": 0.03}
 #: Documents' worth of weight that the figures of all documents have in those of a group.
 PRIOR = 20
-MOST_WORDS = 400_000
+#: Words and marks kept by a worker, and what closes a word.
+MOST_WORDS, MOST_MARKS = 800_000, 10_000
+MARKS = ".,;:!?#*$%&|<>"
 WHITE = bytes(range(9, 14)) + b" "
 LETTER = re.compile(r"[^\W\d_]")
 MEASURED_SQL = ("doc_id long, band_group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -54,7 +57,8 @@ MEASURED_SQL = ("doc_id long, band_group string, n_words long, word_chars long,
 
 
 class WordPieces(dict):
-    """Ids of a word as 16-bit numbers, and beside them its byte-level tokens and those of one byte; emptied when full."""
+    """Number of each word; by number, in arrays, its piece ids and its count of byte-level tokens and of those of one byte.
+    Emptied when full."""
 
     def __init__(self, path: str, byte_path: str):
         super().__init__()
@@ -68,41 +72,120 @@ class WordPieces(dict):
         self.byte_level.encode_special_tokens = True
         #: A character of this vocabulary stands for one byte.
         vocabulary = self.byte_level.get_vocab(with_added_tokens=True)
-        self.single = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.single[[i for token, i in vocabulary.items() if len(token) == 1]] = 1
-        #: Byte-level tokens of a word, and in the low 32 bits how many of them are of one byte.
-        self.byte_tokens: dict[bytes, int] = {}
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.marks: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.ends = np.empty(0, self.kind), np.zeros(1, np.int64)
+        #: Byte-level tokens, and how many of them are of one byte.
+        self.byte_tokens = np.empty((0, 2), np.int32)
 
     def learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self]
         if len(self) + len(missing) > MOST_WORDS:
-            self.clear()
-            self.byte_tokens.clear()
+            self.forget()
             missing = list(words)
+        if not missing:
+            return
         texts = [w.decode("utf-8", "replace") for w in missing]
-        for w, ids in zip(missing, self.model.encode(texts, num_threads=1)):
-            self[w] = np.array(ids, self.kind).tobytes()
+        found = self.model.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.kind, int(counts.sum()))
+        byte_tokens = self.byte_counts(missing, texts)
+        self.update(zip(missing, range(len(self), len(self) + len(missing))))
+        self.ids = np.concatenate([self.ids, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        self.byte_tokens = np.concatenate([self.byte_tokens, byte_tokens])
+
+    def byte_counts(self, words: list[bytes], texts: list[str]) -> np.ndarray:
+        """Byte-level tokens of each word as after a space, and those of one byte. The pre-tokeniser cuts letters from the marks behind
+        them, so such a word's counts are those of its letters, often known, and of its marks."""
+        out = np.zeros((len(words), 2), np.int32)
+        letters: dict[str, list[int]] = {}
+        known, known_at, others = [], [], []
+        for i, (w, t) in enumerate(zip(words, texts)):
+            stem = t.rstrip(MARKS)
+            if not stem.isalpha():
+                others.append(i)
+                continue
+            if stem != t:
+                marks = t[len(stem):]
+                if marks not in self.marks:
+                    if len(self.marks) > MOST_MARKS:
+                        self.marks.clear()
+                    self.marks[marks] = self.counts_of([marks])[0]
+                out[i] = self.marks[marks]
+                number = self.get(w[:len(w) - len(marks)])
+                if number is not None:
+                    known.append(number)
+                    known_at.append(i)
+                    continue
+            letters.setdefault(stem, []).append(i)
+        out[known_at] += self.byte_tokens[known]
+        if letters:
+            sums = self.counts_behind_spaces(list(letters))
+            out[list(chain.from_iterable(letters.values()))] += np.repeat(sums, list(map(len, letters.values())), axis=0)
+        if others:
+            out[others] = self.counts_of([" " + texts[i] for i in others])
+        return out
+
+    def counts_of(self, texts: list[str]) -> np.ndarray:
+        out = []
         for start in range(0, len(texts), 4096):
-            found = self.byte_level.encode_batch_fast([" " + t for t in texts[start:start + 4096]], add_special_tokens=False)
-            for w, x in zip(missing[start:start + 4096], found):
-                self.byte_tokens[w] = (len(x.ids) << 32) + int(self.single[x.ids].sum())
+            found = [x.ids for x in self.byte_level.encode_batch_fast(texts[start:start + 4096], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            single = np.r_[0, np.cumsum(self.sizes[np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))] == 1)]
+            ends = np.cumsum(n)
+            out.append(np.stack([n, single[ends] - single[ends - n]], axis=1))
+        return np.concatenate(out).astype(np.int32)
+
+    def counts_behind_spaces(self, words: list[str]) -> np.ndarray:
+        """For words of letters, many of them encoded as one text: the pre-tokeniser cuts it at each space."""
+        out = []
+        for start in range(0, len(words), 4096):
+            part = words[start:start + 4096]
+            ids = np.array(self.byte_level.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids)
+            sizes = self.sizes[ids]
+            ends = np.searchsorted(np.cumsum(sizes), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            single = np.r_[0, np.cumsum(sizes == 1)]
+            starts = np.r_[0, ends[:-1]]
+            out.append(np.stack([ends - starts, single[ends] - single[starts]], axis=1))
+        return np.concatenate(out).astype(np.int32)
+
+    def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the words in turn, and how many each word has."""
+        starts = self.ends[numbers]
+        n = self.ends[numbers + 1] - starts
+        upto = np.cumsum(n)
+        return self.ids[np.repeat(starts - (upto - n), n) + np.arange(upto[-1] if len(n) else 0)], n
 
 
 def repeated_words(words: list[bytes], width: int = REPEAT_WIDTH) -> int:
     """Words inside windows that the text holds twice or more."""
-    n = len(words) - width + 1
+    known: dict[bytes, int] = {}
+    return repeated_numbers(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)), len(known), width)
+
+
+def repeated_numbers(ids: np.ndarray, most: int, width: int = REPEAT_WIDTH) -> int:
+    """The same for words given as numbers below ``most``."""
+    n = len(ids) - width + 1
     if n < 2:
         return 0
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
     key = ids[:n]
     for k in range(1, width):
-        if int(key.max() + 1) * len(known) >= 1 << 62:
+        if int(key.max() + 1) * most >= 1 << 62:
             key = np.unique(key, return_inverse=True)[1]
-        key = key * len(known) + ids[k:n + k]
-    _, at, counts = np.unique(key, return_inverse=True, return_counts=True)
-    twice = counts[at] > 1
-    covered = np.zeros(len(words), bool)
+        key = key * most + ids[k:n + k]
+    ordered = np.sort(key)
+    again = ordered[1:] == ordered[:-1]
+    if not again.any():
+        return 0
+    repeated = ordered[1:][again]
+    twice = repeated[np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)] == key
+    covered = np.zeros(len(ids), bool)
     for k in range(width):
         covered[k:n + k] |= twice
     return int(covered.sum())
@@ -130,26 +213,35 @@ def measure(docs: DataFrame, model_path: str, byte_path: str) -> DataFrame:
         for batch in rows_of(batches):
             texts = [t.as_py() or b"" for t in batch.column("text")]
             split = [t.split() for t in texts]
-            pieces.learn({w for words in split for w in words})
+            pieces.learn(set(chain.from_iterable(split)))
+            n_words = np.fromiter(map(len, split), np.int64, len(split))
+            ends = np.r_[0, np.cumsum(n_words)]
+            numbers = np.fromiter(map(pieces.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]))
+            del split
+            all_ids, n_ids = pieces.tokens(numbers)
+            id_ends = np.r_[0, np.cumsum(n_ids)][ends]
+            byte_sums = np.r_[np.zeros((1, 2), np.int64), np.cumsum(pieces.byte_tokens[numbers], axis=0, dtype=np.int64)][ends]
+            byte_sums = np.diff(byte_sums, axis=0).tolist()
             rows = []
-            for text, words, lang in zip(texts, split, batch.column("lang").to_pylist()):
-                ids = np.frombuffer(b"".join(map(pieces.__getitem__, words)), pieces.kind)
-                counts = np.bincount(ids)
-                share = counts[counts > 0] / max(1, len(ids))
+            for i, (text, lang) in enumerate(zip(texts, batch.column("lang").to_pylist())):
+                ids = all_ids[id_ends[i]:id_ends[i + 1]]
+                ordered = np.sort(ids)
+                counts = np.diff(np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])) if len(ids) else np.empty(0, np.int64)
+                share = counts / max(1, len(ids))
                 chars = len(text.translate(None, WHITE).decode("utf-8", "replace"))
                 # An even spread over n tokens has the entropy log n.
                 entropy = float(-(share * np.log(share)).sum() / np.log(len(ids))) if len(ids) > 1 else 0.0
-                n_bytes, n_single = divmod(sum(map(pieces.byte_tokens.__getitem__, words)), 1 << 32)
+                n_bytes, n_single = byte_sums[i]
                 group = lang if lang is not None else "script " + script_of(text.decode("utf-8", "replace"))
-                rows.append((group, len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text),
-                             repeated_words(words), len(ids), chars / max(1, len(ids)),
+                rows.append((group, int(n_words[i]), chars, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text),
+                             repeated_numbers(numbers[ends[i]:ends[i + 1]], len(pieces)), len(ids), chars / max(1, len(ids)),
                              float(pieces.is_byte[ids].mean()) if len(ids) else 0.0, entropy,
                              chars / max(1, n_bytes), n_single / max(1, n_bytes)))
-            group, *numbers = zip(*rows)
+            group, *columns = zip(*rows)
             kinds = [pa.int64()] * 6 + [pa.float64()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(group, pa.string()),
-                 *(pa.array(x, t) for x, t in zip(numbers, kinds))],
+                 *(pa.array(x, t) for x, t in zip(columns, kinds))],
                 names=[c.split(" ")[0] for c in MEASURED_SQL.split(", ")])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")

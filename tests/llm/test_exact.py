@@ -320,3 +320,26 @@ def test_words_with_marks_are_cut_once():
     for text, ids in zip(texts, found):
         assert list(memoryview(ids).cast("I")) == own.tokenizer.encode(text, add_special_tokens=False).ids
     assert not any("gran" in p and p not in ("gran", " gran") for p in own.known)
+
+
+def test_fertility_word_table_counts_like_the_libraries():
+    """Counts by number, with marks and non-letters, also after the table was emptied; repeats by number like by word."""
+    import numpy as np
+    own, rng = fertility.WordPieces(PIECES, BYTES), random.Random(5)
+    single = {i for token, i in own.byte_level.get_vocab().items() if len(token) == 1}
+    words = sorted({"".join(rng.choice("abé日²٣क्😀.,;'<|#1") for _ in range(rng.randint(1, 6))).encode() for _ in range(3000)} | {b"\xff,", b"<|endoftext|>."})
+    for again in range(2):
+        own.learn(set(words[:1500]))
+        own.learn(set(words))
+        numbers = np.array([own[w] for w in words])
+        ids, n = own.tokens(numbers)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == own.model.encode(texts)
+        wanted = [e.ids for e in own.byte_level.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        assert own.byte_tokens[numbers].tolist() == [[len(x), sum(i in single for i in x)] for x in wanted]
+        own.forget()
+    for _ in range(200):
+        ids = np.array([rng.randrange(4) for _ in range(rng.randrange(30))], np.int64)
+        seen = Counter(map(tuple, np.lib.stride_tricks.sliding_window_view(ids, 3).tolist())) if len(ids) > 2 else {}
+        covered = {i + k for i in range(len(ids) - 2) if seen[tuple(ids[i:i + 3].tolist())] > 1 for k in range(3)}
+        assert fertility.repeated_numbers(ids, 4) == len(covered) == fertility.repeated_words([str(i).encode() for i in ids])
