@@ -38,6 +38,8 @@ from hazeline.llm.shingle_sets import live_classes, sets_of
 PLACES, BAND_ROWS = 128, 4
 #: From this step on a shingle's order is kept as a whole; before, only its few exchanges are.
 WHOLE_ORDER_FROM = 6
+#: Text whose signatures are made at once: from step ``WHOLE_ORDER_FROM`` on each open shingle holds an order of all places.
+SIGNED_BYTES = 1 << 20
 #: Shingles of a block of a list: what one task holds of it, once or twice.
 BLOCK_SHINGLES = 1 << 20
 #: Nodes of a task's union-find before it hands over what it has.
@@ -112,7 +114,7 @@ def document_signatures(docs: DataFrame, width: int) -> DataFrame:
     """Class (null for an empty set), size and band keys of each document; in a batch only the first of a class has keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, SIGNED_BYTES):
             doc, h, digest, sizes = sets_of([t.as_py() for t in batch.column("text")], width)
             first = np.zeros(len(digest), bool)
             first[np.unique(digest, return_index=True)[1]] = True

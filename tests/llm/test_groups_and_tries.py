@@ -320,3 +320,28 @@ def test_repeated_turns_count_as_turns(spark):
     rows = [(7, 1, "user", "a"), (7, 1, "user", "a"), (8, 1, "user", "a")]
     got = collected(prefix_trie.prefix_trie(spark.createDataFrame([(*r, "?", 1, 2) for r in rows], TURNS)))
     assert [(r[0], r[1], r[3]) for r in got] == [(7, 0, 2), (7, 1, 2), (7, 2, 1)]
+
+
+def test_signatures_of_much_text_take_little_memory(spark, monkeypatch):
+    """Six megabytes in one record batch: what the signatures hold at once is bounded by a part of it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    found = {}
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            found["run"] = run
+
+    monkeypatch.setattr(superminhash, "text_of", lambda *_: Docs())
+    superminhash.document_signatures(None, 4)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1500)).encode() for _ in range(2000)]
+    numbers = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, pa.array(texts, pa.binary()), numbers], names=["doc_id", "text", "text_hash"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in found["run"](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 80 << 20, peak / (1 << 20)
