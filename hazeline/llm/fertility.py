@@ -299,7 +299,7 @@ def judged(measured: DataFrame) -> DataFrame:
 
     def beyond(m):
         own = F.col("limits")[m]
-        return F.abs(F.col(m) - own["centre"]) > F.greatest(own["least"], own["scatter"] / F.sqrt("n_words"))
+        return F.abs(F.col(m) - own["centre"]) > F.greatest(own["least"], F.try_divide(own["scatter"], F.sqrt("n_words")))
 
     outside = [F.when(beyond(m), F.lit(m)) for m in MEASURES]
     return (measured.join(groups, "band_group", "left").withColumn("base_failed", base)

@@ -343,3 +343,12 @@ def test_fertility_word_table_counts_like_the_libraries():
         seen = Counter(map(tuple, np.lib.stride_tricks.sliding_window_view(ids, 3).tolist())) if len(ids) > 2 else {}
         covered = {i + k for i in range(len(ids) - 2) if seen[tuple(ids[i:i + 3].tolist())] > 1 for k in range(3)}
         assert fertility.repeated_numbers(ids, 4) == len(covered) == fertility.repeated_words([str(i).encode() for i in ids])
+
+
+def test_fertility_of_a_text_without_words(spark):
+    """A text without words in a language that has bands is judged by the base rules, not ended by a division."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["some", "plain", "words", "here"], k=60)), "aa") for i in range(8)]
+    docs = spark.createDataFrame(rows + [(8, None, "aa"), (9, " \n", "aa")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(docs, PIECES, BYTES).collect()}
+    assert [(got[i].n_words, got[i].base_failed, got[i].kept) for i in (8, 9)] == [(0, True, False)] * 2 and len(got) == 10
