@@ -14,8 +14,9 @@ the others first, and the linked ones become groups (union-find). Lists that sti
 task holds a block's sets, or those of two blocks, lets one after the other meet the members of other groups, and returns only the links
 that join groups, fewer than members.
 
-Scale: texts are scanned once for signatures; only texts whose set shares a band are read again. Equal sets are one class, so copies
-never meet. Lists and joins hold 8-byte numbers; a hot list is joined, never collected.
+Scale: texts are scanned once for signatures and once more for those whose set shares a band; a broadcast field of bits (32 MB at most)
+keeps nearly all others out of that shuffle. Equal sets are one class, so copies never meet. Lists and joins hold 8-byte numbers; a hot
+list is joined, never collected.
 
 Edge cases: null or empty text has no shingles, links with nothing and is its own group; a text of fewer words than ``width`` is one
 shingle; a group's id is its smallest doc_id (null if it has none) and the rows with that doc_id are kept; rows that repeat a doc_id
@@ -42,6 +43,8 @@ WHOLE_ORDER_FROM = 6
 SIGNED_BYTES = 1 << 20
 #: Shingles of a block of a list: what one task holds of it, once or twice.
 BLOCK_SHINGLES = 1 << 20
+#: Bits of the sieve of texts for each chosen one, the bits of its pages, and how many there are at most.
+SIEVE_BITS, PAGE_BITS, MOST_SIEVE_BITS = 16, 1 << 15, 1 << 28
 #: Nodes of a task's union-find before it hands over what it has.
 MOST_NODES = 1_000_000
 FRACTION = np.uint64(32)
@@ -144,11 +147,26 @@ def band_entries(classes: DataFrame) -> DataFrame:
     return classes.select("class", "bands").mapInArrow(run, "key long, class long")
 
 
+def sieved(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose text's hash may be in ``hashes`` (rep_hash): all that are, few others. The more bits are taken, the more others."""
+    pages = max(1, min(SIEVE_BITS * hashes.count(), MOST_SIEVE_BITS) // PAGE_BITS)
+
+    def place(h: F.Column) -> tuple[F.Column, F.Column]:
+        return F.pmod(F.shiftright(h, 15), F.lit(pages)), h.bitwiseAND(F.lit(PAGE_BITS - 1))
+
+    page, bit = place(F.col("rep_hash"))
+    field = hashes.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    page, bit = place(F.xxhash64("text"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(field), page == F.col("page")).where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("page", "bits")
+
+
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One text of each class of ``chosen`` (rep: doc_id and text_hash); rows that repeat it come along."""
+    """One text of each class of ``chosen`` (rep: doc_id and text_hash, no two alike); rows that repeat it come along."""
     reps = chosen.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    return docs.select("doc_id", "text").join(
-        reps, (F.xxhash64("text") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    # An inner join: the optimizer would move a semi-join below the sieve.
+    return sieved(docs.select("doc_id", "text"), reps.select("rep_hash")).join(
+        reps, (F.xxhash64("text") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("doc_id", "text")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

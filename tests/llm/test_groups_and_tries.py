@@ -223,6 +223,25 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(empty(spark)).collect() == []
 
 
+def test_few_texts_are_shuffled_for_candidates(spark, monkeypatch):
+    """The sieve lets every chosen text through, the repeated and the short ones too, and few others; also with a few bits only."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "if(id % 50 = 1, 'x', concat('text ', id DIV 3)) AS text").union(
+        spark.createDataFrame([(None, None), (None, "text 7")], "doc_id long, text string"))
+    chosen = docs.where("text = 'x' OR doc_id % 100 = 0").selectExpr("xxhash64(text) AS rep_hash", "text")
+    texts = {r.text for r in chosen.collect()}
+    want = collected(docs.where(docs.text.isin(*texts)))
+    for most in (superminhash.MOST_SIEVE_BITS, superminhash.PAGE_BITS):
+        monkeypatch.setattr(superminhash, "MOST_SIEVE_BITS", most)
+        got = collected(superminhash.sieved(docs, chosen.select("rep_hash")))
+        assert [r for r in got if r[1] in texts] == want
+        assert len(want) <= len(got) < len(want) + 120
+    # In the plan the sieve lies below the join that shuffles texts.
+    plan = superminhash.texts_of(docs, docs.where("doc_id < 5").selectExpr("struct(doc_id, xxhash64(text) AS text_hash) AS rep"))
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join, sieve = (next(i for i, x in enumerate(lines) if "Join" in x and y in x) for y in ("rep_hash", "page"))
+    assert join < sieve and lines[join].index("Join") < lines[sieve].index("Join")
+
+
 def test_union_find_keeps_what_is_connected(spark, monkeypatch):
     monkeypatch.setattr(superminhash, "MOST_NODES", 20)
     rng = random.Random(4)
