@@ -33,7 +33,7 @@ SPACE = "▁"
 SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Segments longer than this are encoded anew each time; the stores of segments and pairs are emptied at these sizes. A segment costs
 #: about ``SEGMENT_COST`` bytes besides its text and ids.
-LONGEST_KEPT, MOST_SEGMENT_BYTES, SEGMENT_COST, MOST_PAIRS = 64, 160 << 20, 200, 400_000
+LONGEST_KEPT, MOST_SEGMENT_BYTES, SEGMENT_COST, MOST_PAIRS = 64, 64 << 20, 200, 200_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
 

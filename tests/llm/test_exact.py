@@ -6,8 +6,11 @@ import hashlib
 import math
 import random
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import sentencepiece
@@ -20,7 +23,7 @@ from hazeline.llm.blobs import pack40, unpack40
 from hazeline.llm.decontaminate import ItemAutomaton, contamination, cut, merged
 from hazeline.llm.fertility import MEASURES, measure, quality_rules
 from hazeline.llm.jaccard_join import jaccard_components
-from hazeline.llm.sentencepieces import encode_pieces, encoder
+from hazeline.llm.sentencepieces import PieceEncoder, encode_pieces, encoder
 from hazeline.llm.substrings import drop_repeated_passages
 from hazeline.llm.token_files import ChunkEncoder, read_token_ids, token_file_round_trip
 
@@ -108,6 +111,40 @@ def test_sentencepiece_on_noise():
         assert own.decode(ids) == model.decode(ids)
 
 
+def test_sentencepiece_keeps_little():
+    """A million segments, each once: the store of segments stays below 100 MB."""
+    own = PieceEncoder(PIECES)
+    own.pieces = lambda segment: ["a", "b", "c"]
+    most = 0
+    for a in range(0, 1_000_000, 50_000):
+        own.encode_packed(" ".join(f"w{i}" for i in range(a, a + 50_000)))
+        most = max(most, sys.getsizeof(own.segments) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in own.segments.items()))
+    assert most < 100 << 20, most / (1 << 20)
+
+
+def test_a_dropped_store_goes_back_to_the_system():
+    """A worker that turns to another operator is not larger than before the first one."""
+    code = """
+from hazeline.llm.common import worker_store
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+def scattered():
+    held = [bytes(2000 + i % 7) for i in range(100_000)]
+    return held, held[::500]
+keep = []
+before = resident()
+held, some = worker_store(("a",), scattered)
+keep += some
+full = resident()
+del held, some
+worker_store(("b",), dict)
+print(full - before, resident() - before)
+"""
+    full, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True,
+                                          cwd=Path(__file__).parents[2]).stdout.split())
+    assert full > 150 and after < 40, (full, after)
+
+
 def brute_components(rows, width=5, percent=75):
     sets = []
     for _, text in rows:
