@@ -4,8 +4,9 @@ Files hold ``part`` (file number in order of doc_id), ``ordinal`` (row in the fi
 its run-length encodings (version 2), keeps minimum and maximum of every stripe and of every ``ROW_STRIDE`` rows, and a Bloom filter
 on ``doc_id``, so a range of ids or a single id reads few stripes, and stripes are read in parallel.
 
-Texts are encoded by the ``tokenizers`` library. A text is cut where its pre-tokeniser cuts, and the ids of a piece are kept while it
-repeats; a text with characters that versions of Unicode class differently, or with an added token, is encoded whole. Scale: one range shuffle of the texts; encoding and writing happen behind it, so ids are
+Texts are encoded by the ``tokenizers`` library. A text is cut where its pre-tokeniser cuts, a megabyte of texts at a time; each distinct
+piece of these is looked up once, and its ids are kept while it repeats. A text with characters that versions of Unicode class
+differently, or with an added token, is encoded whole. Scale: one range shuffle of the texts; encoding and writing happen behind it, so ids are
 never shuffled. Reading back, only a line per document is; offsets need a sum per file, and the number of files is bounded by the
 write's tasks.
 
@@ -29,15 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import rows_of, work_dir, worker_store, written
+from hazeline.llm.common import mix, rows_of, work_dir, worker_store, written
 
 ROW_STRIDE, STRIPE_BYTES, BLOOM_RATE = 10_000, 64 << 20, 0.01
 FILE_SQL = "part int, ordinal long, doc_id long, ids array<int>"
 #: Pieces kept by a worker; longer ones are not kept.
 MOST_PIECES, LONGEST_PIECE = 800_000, 48
+#: Characters of texts that are cut and looked up together.
+MOST_JOINED = 1 << 20
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: What a character is to the pre-tokeniser.
+LETTER, NUMBER, MARK, BLANK, OTHER_WHITE, UNSURE = range(6)
+
+
 def _ranges(codes: list[int]) -> str:
     """A regular expression's character class."""
     steps = np.flatnonzero(np.diff(codes) > 1)
@@ -46,21 +53,82 @@ def _ranges(codes: list[int]) -> str:
 
 
 @functools.cache
-def pre_tokeniser() -> tuple[re.Pattern, re.Pattern]:
-    """The byte-level pre-tokeniser's pieces, and the characters of which it can't be said here what they are.
+def character_kinds() -> np.ndarray:
+    """Kind of each character of the basic plane; ``UNSURE`` where it can't be said here what the pre-tokeniser takes it for.
 
     What is letter or number depends on the version of Unicode, so only characters count that were the same in version 3.2 and are now.
     """
-    kinds: dict[str, list[int]] = {"L": [], "N": [], "unsure": []}
+    kinds, white = np.full(1 << 16, MARK, np.uint8), re.compile(f"[{WHITE}]")
     for code in range(1 << 16):
         kind, early = unicodedata.category(chr(code))[0], unicodedata.ucd_3_2_0.category(chr(code))[0]
         if (kind == "L") != (early == "L") or (kind == "N") != (early == "N") or (kind == "Z") != (early == "Z") or early == "C" and code >= 0xA0:
-            kinds["unsure"].append(code)
-        elif kind in kinds:
-            kinds[kind].append(code)
-    letter, number = _ranges(kinds["L"]), _ranges(kinds["N"])
+            kinds[code] = UNSURE
+        elif kind in "LN":
+            kinds[code] = LETTER if kind == "L" else NUMBER
+        elif white.match(chr(code)):
+            kinds[code] = BLANK if code == 32 else OTHER_WHITE
+    return kinds
+
+
+@functools.cache
+def pre_tokeniser() -> tuple[re.Pattern, re.Pattern]:
+    """The byte-level pre-tokeniser's pieces, and the characters of which it can't be said here what they are."""
+    letter, number, unsure = (_ranges(np.flatnonzero(character_kinds() == k).tolist()) for k in (LETTER, NUMBER, UNSURE))
     pieces = (f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-    return re.compile(pieces), re.compile(f"[{_ranges(kinds['unsure'])}\U00010000-\U0010ffff]")
+    return re.compile(pieces), re.compile(f"[{unsure}\U00010000-\U0010ffff]")
+
+
+def piece_starts(codes: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pre-tokeniser's pieces start in joined texts, given as code points, their kinds and the start of each text.
+
+    A piece is a run of one kind with the space before it. A run of white space gives its last character up to what follows, which
+    takes a space and nothing else; a contraction's apostrophe takes its letters.
+    """
+    n = len(codes)
+    white, opens = (kinds == BLANK) | (kinds == OTHER_WHITE), np.zeros(n + 1, bool)
+    opens[first] = opens[n] = True
+    starts = opens.copy()
+    text = ~white
+    starts[1:n] |= np.where(white[1:], text[:-1], np.where(white[:-1], kinds[:-1] == OTHER_WHITE, kinds[1:] != kinds[:-1]))
+    starts[:n - 1] |= white[:-1] & text[1:] & ~opens[1:n]
+    marks = np.flatnonzero((codes == ord("'")) & starts[:n])
+    if len(marks):
+        near = np.zeros((2, len(marks)), codes.dtype)  # the next two characters of the same text
+        for k in (1, 2):
+            there = marks + k < n
+            there[there] &= ~opens[marks[there] + k]
+            there &= (near[0] > 0) if k == 2 else True
+            near[k - 1, there] = codes[marks[there] + k]
+        one = np.isin(near[0], [ord(c) for c in "stmd"])
+        two = np.zeros(len(marks), bool)
+        for a, b in ("re", "ve", "ll"):
+            two |= (near[0] == ord(a)) & (near[1] == ord(b))
+        starts[marks[one | two] + 1] = False
+        starts[marks[two] + 2] = False
+        starts[marks[one] + 2] = True
+        starts[marks[two] + 3] = True
+    return np.flatnonzero(starts[:n])
+
+
+def distinct_pieces(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """A place for each distinct piece, and for every piece which of these it is; None if two pieces share a hash."""
+    sizes = np.diff(np.r_[starts, len(codes)])
+    inside = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+        h = mix(np.add.reduceat(mix_table().take(codes) * powers.take(inside), starts))
+    which = pa.array(h).dictionary_encode().indices.to_numpy()
+    place = np.empty(int(which.max()) + 1, np.int64)
+    place[which[::-1]] = np.arange(len(which))[::-1]
+    same = (sizes == sizes[place][which]).all()
+    same = same and (codes == codes.take(np.repeat(starts[place].astype(np.int32)[which], sizes) + inside)).all()
+    return (place, which) if same else None
+
+
+@functools.cache
+def mix_table() -> np.ndarray:
+    """A number of its own for each character of the basic plane."""
+    return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 class ChunkEncoder:
@@ -101,21 +169,74 @@ class ChunkEncoder:
             for p, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[p] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those not known yet are learnt, long ones forgotten again."""
+        packed = [*map(self.known.get, pieces)]
+        if None in packed:
+            new = {p for p, ids in zip(pieces, packed) if ids is None}
+            self.learn(new if len(self.known) + len(new) <= MOST_PIECES else set(pieces))
+            packed = [*map(self.known.__getitem__, pieces)]
+            for p in new:
+                if len(p) > LONGEST_PIECE:
+                    del self.known[p]
+        return packed
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [None if self.unsure.search(t) or any(a in t for a in self.added) else self.cut.findall(t) for t in texts]
-        pieces = set().union(*filter(None, cut))
-        long = {p for p in pieces if len(p) > LONGEST_PIECE}
-        new = pieces - self.known.keys()
-        if len(self.known) + len(new) > MOST_PIECES:
-            new = pieces
-        self.learn(new)
-        get = self.known.__getitem__
-        out = [self.library(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut)]
-        for p in long:
-            del self.known[p]
+        out = [b""] * len(texts)
+        group, size = [], 0
+        for i, t in enumerate(texts):
+            if any(a in t for a in self.added):
+                out[i] = self.library(t)
+            elif t:
+                group.append(i)
+                size += len(t)
+                if size > MOST_JOINED:
+                    self.together(texts, group, out)
+                    group, size = [], 0
+        if group:
+            self.together(texts, group, out)
         return out
 
+    def together(self, texts: list[str], group: list[int], out: list[bytes]) -> None:
+        """Ids of some texts, none of them empty: each distinct piece is looked up once."""
+        joined = "".join([texts[i] for i in group])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum([0, *(len(texts[i]) for i in group)])
+        kinds = character_kinds().take(codes, mode="clip")  # the last character of the plane is none, so it is not sure
+        unsure = np.logical_or.reduceat(kinds == UNSURE, first[:-1])
+        if unsure.any():
+            for i in np.compress(unsure, group).tolist():
+                out[i] = self.library(texts[i])
+            if rest := np.compress(~unsure, group).tolist():
+                self.together(texts, rest, out)
+            return
+        starts = piece_starts(codes, kinds, first[:-1])
+        found = distinct_pieces(codes, starts)
+        if found is None:
+            for i in group:
+                out[i] = self.one_by_one(texts[i])
+            return
+        place, which = found
+        ends = np.r_[starts[1:], len(codes)]
+        pieces = [joined[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist())]
+        packed = self.ids_of(pieces)
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        own = counts[which]
+        before = np.r_[0, np.cumsum(own)]
+        # Each piece's ids from where those of its like lie.
+        at = np.repeat((np.cumsum(counts) - counts)[which] - before[:-1], own) + np.arange(before[-1])
+        data = ids[at].tobytes()
+        cuts = (4 * before[np.searchsorted(starts, first)]).tolist()
+        for i, a, b in zip(group, cuts, cuts[1:]):
+            out[i] = data[a:b]
+
+    def one_by_one(self, text: str) -> bytes:
+        parts = self.cut.findall(text)
+        distinct = list(dict.fromkeys(parts))
+        return b"".join(map(dict(zip(distinct, self.ids_of(distinct))).__getitem__, parts))
+
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Write the ids of every text, each with ``end_id`` behind it, in ascending doc_id order."""

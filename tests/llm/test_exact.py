@@ -12,13 +12,14 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 import sentencepiece
 from public_tokenizers import path
 from samples import LOWER, empty, frame, prose, words
 from tokenizers import Tokenizer
 
-from hazeline.llm import fertility
+from hazeline.llm import fertility, token_files
 from hazeline.llm.blobs import pack40, unpack40
 from hazeline.llm.decontaminate import ItemAutomaton, contamination, cut, merged
 from hazeline.llm.fertility import MEASURES, measure, quality_rules
@@ -349,6 +350,25 @@ def test_pieces_are_the_pre_tokenisers():
         assert own.cut.findall(text) == [text[a:b] for _, (a, b) in own.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def test_pieces_of_joined_texts_are_the_librarys(monkeypatch):
+    """White space, contractions and kinds in every order, texts side by side in blocks; each piece of a block is looked up once."""
+    own, rng = ChunkEncoder(BYTES), random.Random(8)
+    some = ["a", "b", " ", " ", "\n", "\t", ".", "1", "'", "s", "t", "ll", "re", "v", "e", "d", "\u00e9", "\u3000"]
+    noise = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(20000)]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in noise]
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(token_files, "MOST_JOINED", most)
+        assert [list(memoryview(x).cast("I")) if x else [] for x in own.encode(noise)] == want
+    # Two pieces under one hash: piece by piece instead.
+    monkeypatch.setattr(token_files, "mix_table", lambda: np.zeros(1 << 16, np.uint64))
+    assert [list(memoryview(x).cast("I")) if x else [] for x in own.encode(noise[:300])] == want[:300]
+    monkeypatch.undo()
+    asked = []
+    monkeypatch.setattr(own, "ids_of", lambda pieces, of=own.ids_of: asked.append(pieces) or of(pieces))
+    own.encode(["so gran so"] * 1000)
+    assert [sorted(x) for x in asked] == [[" gran", " so", "so"]]
+
+
 def test_words_with_marks_are_cut_once():
     """Marks behind a word make no new entry: the word's letters are known."""
     own = ChunkEncoder(BYTES)
