@@ -5,7 +5,7 @@ its run-length encodings (version 2), keeps minimum and maximum of every stripe
 on ``doc_id``, so a range of ids or a single id reads few stripes, and stripes are read in parallel.
 
 Texts are encoded by the ``tokenizers`` library. A text is cut where its pre-tokeniser cuts, a megabyte of texts at a time; each distinct
-piece of these is looked up once, and its ids are kept while it repeats. A text with characters that versions of Unicode class
+piece of these is looked up once, a new one goes to the library's model, and its ids are kept while it repeats. A text with characters that versions of Unicode class
 differently, or with an added token, is encoded whole. Scale: one range shuffle of the texts; encoding and writing happen behind it, so ids are
 never shuffled. Reading back, only a line per document is; offsets need a sum per file, and the number of files is bounded by the
 write's tasks.
@@ -131,6 +131,13 @@ def mix_table() -> np.ndarray:
     return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
+@functools.cache
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: its own if that can be seen, else one from 256 on."""
+    seen = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    return seen | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
 class ChunkEncoder:
     """Ids of texts by way of the pieces into which the pre-tokeniser cuts them: merges never cross a piece."""
 
@@ -139,46 +146,32 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cut, self.unsure = pre_tokeniser()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        #: Bytes of each token: a character of the vocabulary stands for one byte, in special tokens for itself.
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.sizes[i] = len(token)
-
     def library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces. Words of letters behind a space are encoded many as one text: the pre-tokeniser cuts it at each space."""
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the library's model alone, which has nothing left to cut; kept where a piece is not too long."""
         if len(self.known) + len(pieces) > MOST_PIECES:
             self.known.clear()
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for a in range(0, len(words), 4096):
-            part = words[a:a + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in part])) + 1).tolist()
-            packed = ids.tobytes()
-            self.known.update(zip(part, [packed[4 * start:4 * end] for start, end in zip([0, *ends[:-1]], ends)]))
-        others = list(pieces.difference(words))
-        for a in range(0, len(others), 4096):
-            part = others[a:a + 4096]
-            for p, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        found, tokens_of, spelling, pack = [], self.model.tokenize, byte_characters(), struct.pack
+        for p in pieces:
+            ids = [t.id for t in tokens_of(p.encode().decode("latin-1").translate(spelling))]
+            found.append(pack(f"<{len(ids)}I", *ids))
+        self.known.update((p, ids) for p, ids in zip(pieces, found) if len(p) <= LONGEST_PIECE)
+        return found
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces; those not known yet are learnt, long ones forgotten again."""
+        """Ids of distinct pieces; those not known yet are learnt."""
         packed = [*map(self.known.get, pieces)]
         if None in packed:
-            new = {p for p, ids in zip(pieces, packed) if ids is None}
-            self.learn(new if len(self.known) + len(new) <= MOST_PIECES else set(pieces))
-            packed = [*map(self.known.__getitem__, pieces)]
-            for p in new:
-                if len(p) > LONGEST_PIECE:
-                    del self.known[p]
+            new = [i for i, ids in enumerate(packed) if ids is None]
+            for i, ids in zip(new, self.learn([pieces[i] for i in new])):
+                packed[i] = ids
         return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:

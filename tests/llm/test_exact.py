@@ -369,6 +369,19 @@ def test_pieces_of_joined_texts_are_the_librarys(monkeypatch):
     assert [sorted(x) for x in asked] == [[" gran", " so", "so"]]
 
 
+def test_new_pieces_go_to_the_model_alone(monkeypatch):
+    """The library's pre-tokeniser does not cut again what is cut; all bytes, kinds and white space, pieces too long to be kept."""
+    own, rng = ChunkEncoder(BYTES), random.Random(9)
+    some = [c for c in map(chr, range(0x250)) if not own.unsure.search(c)]
+    texts = ["".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(300)] + [" so gran\n\n  so 12 " + "wort" * 30, "w" * 49 + " \t "]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(own, "tokenizer", None)
+    for most in (token_files.MOST_PIECES, 50):
+        monkeypatch.setattr(token_files, "MOST_PIECES", most)
+        assert [list(memoryview(x).cast("I")) for t in range(2) for x in own.encode(texts)] == want * 2
+    assert max(map(len, own.known)) <= token_files.LONGEST_PIECE
+
+
 def test_words_with_marks_are_cut_once():
     """Marks behind a word make no new entry: the word's letters are known."""
     own = ChunkEncoder(BYTES)
