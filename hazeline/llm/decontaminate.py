@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import LETTER_DIGIT_WORDS, text_of
+from hazeline.llm.common import LETTER_DIGIT_WORDS, rows_of, text_of, worker_store
 
 #: Words of items in one automaton; about 100,000 states.
 BLOCK_WORDS = 50_000
@@ -133,17 +133,14 @@ class ItemAutomaton:
         return spans, items, longest
 
 
-_held: OrderedDict[tuple, ItemAutomaton] = OrderedDict()
-
-
 def _automaton(digest: str, block, n: int) -> ItemAutomaton:
-    key = (digest, n)
-    if key not in _held:
-        while len(_held) >= HELD:
-            _held.popitem(last=False)
-        _held[key] = ItemAutomaton(block.value, n)
-    _held.move_to_end(key)
-    return _held[key]
+    held, key = worker_store(("automata",), OrderedDict), (digest, n)
+    if key not in held:
+        while len(held) >= HELD:
+            held.popitem(last=False)
+        held[key] = ItemAutomaton(block.value, n)
+    held.move_to_end(key)
+    return held[key]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,7 +189,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, max_share: flo
     blocks = [(hashlib.sha256(repr(b).encode()).hexdigest(), spark.sparkContext.broadcast(b)) for b in item_blocks(items)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_of(batches):
             out = {name: [] for name in ("n_words", "n_hit", "n_items", "sha", "longest", "ids", "clean")}
             for text in batch.column("text"):
                 text = text.as_py() or b""

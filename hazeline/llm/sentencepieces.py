@@ -180,7 +180,7 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, with
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
         begin, end = struct.pack("<I", own.begin), struct.pack("<I", own.end)
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, 1 << 20):
             counts, digests, decoded_digests, kept, decoded_texts = [], [], [], [], []
             for text in batch.column("text"):
                 packed = begin + own.encode_packed((text.as_py() or b"").decode("utf-8", "replace")) + end

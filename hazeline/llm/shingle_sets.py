@@ -24,6 +24,8 @@ SHARED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("classes", p
                     ("hashes", pa.binary()), ("spread", pa.binary())])
 SHARED_SQL = "block long, bucket long, classes binary, counts binary, hashes binary, spread binary"
 KEY_BITS = np.uint64(40)
+#: Text whose sets are only sized, made at once; sent ones are packed by blocks as large as may be.
+SETS_BYTES = 1 << 20
 #: A class's shared shingles in global order: fewest classes first, then by hash.
 LIVE = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("central", pa.int64()), ("shingles", pa.list_(pa.int64())),
                   ("spread", pa.list_(pa.int32()))])
@@ -63,7 +65,7 @@ def document_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """Class and size of every document's set; the class of an empty set is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
+        for batch in rows_of(batches, SETS_BYTES):
             _, _, digest, sizes = sets_of([t.as_py() for t in batch.column("text")], width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(digest, mask=sizes == 0), pa.array(sizes, pa.int64())],

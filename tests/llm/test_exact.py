@@ -146,6 +146,59 @@ print(full - before, resident() - before)
     assert full > 150 and after < 40, (full, after)
 
 
+def test_a_worker_gives_back_what_a_task_freed():
+    """After a task's last batch; what an operator kept goes when one comes that keeps nothing, item automata included."""
+    code = """
+import ctypes
+import pyarrow as pa
+from hazeline.llm import common, decontaminate, secret_forest
+class Docs:
+    def mapInArrow(self, run, schema):
+        return run
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some text"])], names=["doc_id", "text"])
+before = resident()
+keep = []
+for part in common.rows_of(iter([batch])):
+    held = [bytes(2000 + i % 7) for i in range(100_000)]
+    keep += held[::500]
+    full = resident()
+    del held
+print(full - before, resident() - before)
+class Block:
+    value = [("a", b"one two three")]
+decontaminate._automaton("digest", Block, 2)
+secret_forest.text_of = lambda *_: Docs()
+print(len(common._store), *(len(common._store) for _ in [list(secret_forest.seed_findings(None)(iter([batch])))]))
+"""
+    full, after, kept, left = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True,
+                                                      cwd=Path(__file__).parents[2]).stdout.split())
+    assert full > 150 and after < 40 and (kept, left) == (1, 0), (full, after, kept, left)
+
+
+def test_record_batches_of_long_texts_are_small(spark, tmp_path):
+    """Thirty megabytes in one partition travel in several batches; a size that the session sets stays."""
+    import pyarrow as pa
+    from hazeline.llm.common import ARROW_BYTES, read_table
+    spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('x', 10000) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        n = [b.nbytes for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
+
+    def most():
+        return max(r.n for r in read_table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long").collect())
+
+    spark.conf.unset(ARROW_BYTES)
+    assert most() < 6 << 20
+    spark.conf.set(ARROW_BYTES, 8 << 20)
+    try:
+        assert 6 << 20 < most() < 10 << 20
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+
+
 def brute_components(rows, width=5, percent=75):
     sets = []
     for _, text in rows:
