@@ -7,7 +7,9 @@ positions from which no encoding was found, so none is tried twice. A sequence w
 the merges. Runs of spaces are merged directly, because their pieces share one rank.
 
 No piece of the vocabulary holds a space mark after another character, nor a line break with anything else, so a text is encoded
-segment by segment, cut there; segments repeat and are kept. Scale: a scan; no shuffle, nothing broadcast but the model's path.
+segment by segment, cut there; segments repeat and are kept. The segments of a batch that are not known yet take each step (a piece
+tried, taken or taken back) together, in arrays; few or unusual ones are encoded one by one. Merging two pieces' characters anew replays the
+merges of both, recorded once per piece, side by side. Scale: a scan; no shuffle, nothing broadcast but the model's path.
 
 Edge cases: null text is the empty text, which is encoded as begin and end ids alone; characters outside the vocabulary become bytes;
 invalid UTF-8 becomes U+FFFD first; other columns are ignored.
@@ -20,6 +22,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -34,6 +37,10 @@ SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Segments longer than this are encoded anew each time; the stores of segments and pairs are emptied at these sizes. A segment costs
 #: about ``SEGMENT_COST`` bytes besides its text and ids.
 LONGEST_KEPT, MOST_SEGMENT_BYTES, SEGMENT_COST, MOST_PAIRS = 64, 64 << 20, 200, 200_000
+#: Fewer open segments than this are gone through one by one; bits of the number of places for pairs of ids that were compared.
+LEAST_TOGETHER, PAIR_BITS = 48, 20
+#: A match is an id and, in the low bits, the number of characters.
+SIZE_BITS, LARGEST = 16, 0xFFFF
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
 
@@ -60,14 +67,26 @@ class PieceEncoder:
         self.trie = ahocorasick.Automaton()
         for piece in self.id:
             if len(piece) > 1 and SPACE * 2 not in piece and self.merge(piece) == [piece]:
-                self.trie.add_word(piece, len(piece))
+                self.trie.add_word(piece, self.id[piece] << SIZE_BITS | len(piece))
         self.trie.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.segments: dict[str, bytes] = {}
         self.held = 0
+        # The same as arrays, for segments that are encoded together. An id of ``none`` stands for a character outside the vocabulary.
+        self.none = model.get_piece_size()
+        self.piece = {i: piece for piece, i in self.id.items()}
+        self.length = np.ones(self.none + 1, np.int64)
+        self.length[list(self.piece)] = [len(piece) for piece in self.piece.values()]
+        single = {ord(piece): i for piece, i in self.id.items() if len(piece) == 1}
+        self.single = np.full(max(single, default=0) + 2, self.none, np.int32)
+        self.single[list(single)] = list(single.values())
+        self.spellings = pa.array(self.spelt, pa.binary())
+        self.compared = np.full(1 << PAIR_BITS, -1)
+        self.traces: dict[int, tuple[list[str], list[str], list[float]]] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of ``text`` by doing the merges: best score first, leftmost among equals."""
+    def merge(self, text: str, trace: list[tuple[int, int, float]] | None = None) -> list[str]:
+        """Pieces of ``text`` by doing the merges: best score first, leftmost among equals. ``trace`` gets each merge: where its two
+        pieces start, and its score."""
         symbols: list[str | None] = list(text)
         before, after = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
         heap: list[tuple[float, int, int, str]] = []
@@ -83,6 +102,8 @@ class PieceEncoder:
             if symbols[a] is None or symbols[b] is None or after[a] != b or symbols[a] + symbols[b] != joined:
                 continue
             symbols[a], symbols[b] = joined, None
+            if trace is not None:
+                trace.append((a, b, self.score[joined]))
             after[a] = after[b]
             if after[b] >= 0:
                 before[after[b]] = a
@@ -103,7 +124,7 @@ class PieceEncoder:
         if SPACE * 2 in segment:
             return self.merge(segment)
         # Matches come in order of their ends, so the longest from each start stays.
-        longest = {last - size: size for last, size in self.trie.iter(segment)}
+        longest = {last - (found & LARGEST): found & LARGEST for last, found in self.trie.iter(segment)}
         pairs, at, n, before, out = self.pairs, 0, len(segment), "", []
         while at < n:  # most segments need no step back
             piece = segment[at:at + longest.get(at - 1, 1)]
@@ -118,8 +139,8 @@ class PieceEncoder:
         """The same with steps back: shorter matches in turn, positions without an encoding marked in a bit field."""
         n = len(segment)
         fits: dict[int, list[int]] = {}
-        for last, size in self.trie.iter(segment):
-            fits.setdefault(last - size + 1, [1]).append(size)
+        for last, found in self.trie.iter(segment):
+            fits.setdefault(last - (found & LARGEST) + 1, [1]).append(found & LARGEST)
         alone, pairs = [1], self.pairs
         failed, starts = bytearray(n + 1), []
         at, choice, before = 0, len(fits.get(0, alone)) - 1, ""
@@ -143,31 +164,151 @@ class PieceEncoder:
                 before = segment[starts[-1]:at] if starts else ""
         return [segment[a:b] for a, b in zip(starts, [*starts[1:], n])]
 
-    def __missing(self, segment: str) -> bytes:
+    def trace(self, i: int) -> tuple[list[str], list[str], list[float]]:
+        """First and last symbol of a piece before each of its merges, in their order, and after them; the scores of the merges."""
+        if i not in self.traces:
+            piece, steps = self.piece[i], []
+            self.merge(piece, steps)
+            first, last, starts = [1], [len(piece) - 1], set(range(1, len(piece)))
+            for a, b, _ in steps:
+                starts.remove(b)
+                first.append(min(starts, default=len(piece)))
+                last.append(a if b == last[-1] else last[-1])
+            self.traces[i] = [piece[:x] for x in first], [piece[x:] for x in last], [*(s for _, _, s in steps), -np.inf]
+        return self.traces[i]
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether merging the characters of two pieces, given by their ids, gives the two back: no merge across their border is ever
+        the best one. Merges on both sides go on as in each piece alone; among equals the left one comes first."""
+        if a == self.none or b == self.none:
+            return True
+        (_, ends, left), (begins, _, right) = self.trace(a), self.trace(b)
+        score, i, j = self.score, 0, 0
+        while True:
+            across = score.get(ends[i] + begins[j])
+            if across is not None and across > left[i] and across >= right[j]:
+                return False
+            if left[i] >= right[j]:
+                if left[i] == -np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def compatible_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stay_apart`` of many pairs of ids; each place of the table keeps the last pair that fell there."""
+        key = a * (self.none + 1) + b
+        with np.errstate(over="ignore"):
+            place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        known = self.compared[place]
+        out = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != key)
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            at = new[first]
+            found = np.fromiter(map(self.stay_apart, a[at].tolist(), b[at].tolist()), bool, len(at))
+            self.compared[place[at]] = 2 * key[at] + found
+            out[new] = found[back]
+        return out
+
+    def encode_together(self, segments: list[str]) -> dict[str, bytes]:
+        """Packed ids of segments without line break or two space marks in a row; all open ones take each step together.
+
+        A position is entered once at most: one that is stepped back from has failed. So what led there can stand at the position.
+        Segments with characters outside the vocabulary, or still open when few are, are missing from the result.
+        """
+        joined = "\n".join(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        stop, n = begin + sizes, len(joined) + 1
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        alone = self.single[np.minimum(code, len(self.single) - 1)].astype(np.int64)
+        matches = np.fromiter(chain.from_iterable(self.trie.iter(joined)), np.int64).reshape(-1, 2)
+        # Matches come in order of their ends, so those from one start, kept in order, come in order of their sizes.
+        start = matches[:, 0] + 1 - (matches[:, 1] & LARGEST)
+        match = (matches[:, 1] >> SIZE_BITS)[np.argsort(start, kind="stable")]
+        count = np.bincount(start, minlength=n)
+        offset = np.cumsum(count) - count
+        before, via, chosen = np.full(n, -1), np.full(n, self.none), np.zeros(n, np.int64)
+        failed = np.zeros(n, bool)
+        open_ = np.arange(len(segments))
+        at, choice = begin.copy(), count[begin]
+        while len(open_) >= LEAST_TOGETHER:
+            here, c = at[open_], choice[open_]
+            tried = c >= 0
+            piece = alone[here]
+            several = np.flatnonzero(c > 0)
+            piece[several] = match[offset[here[several]] + c[several] - 1]
+            end = here + self.length[piece]
+            fits = tried & ~failed[end]
+            asked = np.flatnonzero(fits & (here != begin[open_]))
+            fits[asked] = self.compatible_all(via[here[asked]], piece[asked])
+            taken, h, e = open_[fits], here[fits], end[fits]
+            chosen[h], before[e], via[e], at[taken] = c[fits], h, piece[fits], e
+            choice[taken] = count[np.minimum(e, n - 1)]
+            choice[open_[tried & ~fits]] -= 1
+            back = open_[~tried]
+            failed[at[back]] = True
+            at[back] = before[at[back]]
+            choice[back] = chosen[at[back]] - 1
+            open_ = open_[at[open_] < stop[open_]]
+        done = np.ones(len(segments), bool)
+        done[open_] = False
+        path = np.zeros(n, bool)
+        walk, first = stop[done], begin[done]
+        while len(walk):
+            path[walk] = True
+            walk = before[walk]
+            walk, first = walk[walk > first], first[walk > first]
+        ids = via[path]
+        ends = np.cumsum(path)[stop]  # a segment's places end where it stops; its first character is no end of a piece
+        starts = ends - np.bincount(np.repeat(np.arange(len(segments)), sizes + 1), path.astype(float), len(segments)).astype(np.int64)
+        done &= np.bincount(np.repeat(np.arange(len(segments)), ends - starts), ids == self.none, len(segments)) == 0
+        packed = ids.astype("<u4").tobytes()
+        return {segments[k]: packed[4 * starts[k]:4 * ends[k]] for k in np.flatnonzero(done).tolist()}
+
+    def encode_segment(self, segment: str) -> bytes:
         ids: list[int] = []
         for piece in self.pieces(segment):
             known = self.id.get(piece)
             ids += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(segment) <= LONGEST_KEPT:
-            if self.held >= MOST_SEGMENT_BYTES:
-                self.segments.clear()
-                self.held = 0
-            self.segments[segment] = packed
-            self.held += SEGMENT_COST + 2 * len(segment) + len(packed)
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers, without begin and end."""
+        cut = [SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        if self.held >= MOST_SEGMENT_BYTES:
+            self.segments.clear()
+            self.held = 0
+        known = self.segments
+        missing = list(set().union(*cut).difference(known))
+        plain = [s for s in missing if len(s) <= LONGEST_KEPT and SPACE * 2 not in s and s != "\n"]
+        new = self.encode_together(plain) if len(plain) >= LEAST_TOGETHER else {}
+        for segment in missing:
+            if segment not in new:
+                new[segment] = self.encode_segment(segment)
+        long = {s: new.pop(s) for s in missing if len(s) > LONGEST_KEPT}
+        known.update(new)
+        self.held += SEGMENT_COST * len(new) + 2 * sum(map(len, new)) + sum(map(len, new.values()))
+        if long:
+            return [b"".join([known.get(s) or long[s] for s in segments]) for segments in cut]
+        return [b"".join(map(known.__getitem__, segments)) for segments in cut]
 
     def encode_packed(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers, without begin and end."""
-        if not text:
-            return b""
-        get, missing = self.segments.get, self.__missing
-        return b"".join([get(s) or missing(s) for s in SEGMENT.findall(SPACE + text.replace(" ", SPACE))])
+        """Ids of one text."""
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, bytes read as UTF-8, the leading space mark dropped."""
-        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_batch(np.asarray(ids, np.int64), [len(ids)])[0]
+
+    def decode_batch(self, ids: np.ndarray, counts: list[int]) -> list[str]:
+        """Texts of many sequences of ids, which follow each other in ``ids``."""
+        spelt = self.spellings.take(pa.array(ids))
+        ends = np.frombuffer(spelt.buffers()[1], np.int32)[np.r_[0, np.cumsum(counts, dtype=np.int64)]].tolist()
+        data = memoryview(spelt.buffers()[2] or b"")
+        texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
+        return [text[1:] if text.startswith(" ") else text for text in texts]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -181,22 +322,18 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, with
         own = encoder(model_path)
         begin, end = struct.pack("<I", own.begin), struct.pack("<I", own.end)
         for batch in rows_of(batches, 1 << 20):
-            counts, digests, decoded_digests, kept, decoded_texts = [], [], [], [], []
-            for text in batch.column("text"):
-                packed = begin + own.encode_packed((text.as_py() or b"").decode("utf-8", "replace")) + end
-                ids = memoryview(packed).cast("I")
-                decoded = own.decode(ids)
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(packed).hexdigest())
-                decoded_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    kept.append(packed)
-                decoded_texts.append(decoded if with_text else None)
+            texts = [(text.as_py() or b"").decode("utf-8", "replace") for text in batch.column("text")]
+            packed = [begin + ids + end for ids in own.encode_batch(texts)]
+            counts = [len(ids) // 4 for ids in packed]
+            flat = np.frombuffer(b"".join(packed), "<i4")
+            decoded = own.decode_batch(flat, counts)
+            digests = [hashlib.sha256(ids).hexdigest() for ids in packed]
+            decoded_digests = [hashlib.sha256(text.encode()).hexdigest() for text in decoded]
             if with_ids:  # the packed ids are the column's values, no Python number is made of them
-                ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
-                all_ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(kept), "<i4")))
+                all_ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat))
             else:
                 all_ids = pa.nulls(len(counts), pa.list_(pa.int32()))
+            decoded_texts = decoded if with_text else [None] * len(counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
                  pa.array(decoded_digests, pa.string()), all_ids, pa.array(decoded_texts, pa.string())],

@@ -123,6 +123,41 @@ def test_sentencepiece_keeps_little():
     assert most < 100 << 20, most / (1 << 20)
 
 
+def test_segments_together_are_the_librarys(monkeypatch):
+    """Segments of many texts take their steps together: the ids are the library's, whatever has to be stepped back from, is long, outside
+    the vocabulary or known already, and few of them are encoded one by one."""
+    model, own, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), PieceEncoder(PIECES), random.Random(11)
+    alone, scalar = [], own.encode_segment
+    monkeypatch.setattr(own, "encode_segment", lambda segment: alone.append(segment) or scalar(segment))
+    for letters in ("abeinorsttheé ", "zqxöüñ日\U0001f600.,01<>s'\n▁ ", "eeeaaann  "):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for _ in range(800)] + ["", " ", "e" * 200]
+        for _ in range(2):
+            alone.clear()
+            for text, ids in zip(texts, own.encode_batch(texts)):
+                assert memoryview(ids).cast("I").tolist() == model.encode(text), text
+    own.segments.clear()
+    alone.clear()
+    own.encode_batch(["".join(rng.choice("abeinorstthe ") for _ in range(90)) for _ in range(800)])
+    assert len(own.segments) > 2000 and len(alone) < 500
+    seen = [model.encode(t) for t in texts]
+    flat = np.array([i for ids in seen for i in ids])
+    assert own.decode_batch(flat, [len(ids) for ids in seen]) == [model.decode(ids) for ids in seen]
+
+
+def test_pieces_stay_apart_as_in_a_merge():
+    """Replaying the merges of two pieces side by side says what merging their characters anew says."""
+    own, rng = PieceEncoder(PIECES), random.Random(12)
+    whole = [i for i, p in own.piece.items() if len(p) == 1 or "▁▁" not in p and own.merge(p) == [p]]
+    common = [i for i in whole if len(own.piece[i]) < 4]
+    for pool in (whole, common):
+        for a, b in ((rng.choice(pool), rng.choice(pool)) for _ in range(5000)):
+            both = [own.piece[a], own.piece[b]]
+            assert own.stay_apart(a, b) == (own.merge("".join(both)) == both), both
+    a, b = (np.array([rng.choice(common) for _ in range(3000)]) for _ in range(2))
+    want = [own.stay_apart(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    assert own.compatible_all(a, b).tolist() == want == own.compatible_all(a, b).tolist()
+
+
 def test_a_dropped_store_goes_back_to_the_system():
     """A worker that turns to another operator is not larger than before the first one."""
     code = """
