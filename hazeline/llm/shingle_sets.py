@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.blobs import by_bucket, layout, pack40, runs, split_hash, table, tasks, unpack40
-from hazeline.llm.common import ASCII_LOWER, WordHashes, mix, rows_of, text_of, windows, worker_store
+from hazeline.llm.common import ASCII_LOWER, drop_stores, mix, rows_of, text_of, windows, word_hashes
 
 SETS_SQL = "doc_id long, class long, n_shingles long"
 SENT_SQL = "bucket long, source long, classes binary, counts binary, hashes binary"
@@ -33,11 +33,12 @@ LIVE_SQL = "class long, n long, central long, shingles array<long>, spread array
 
 def sets_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document numbers and shingles of all distinct (document, shingle); per document the set's digest and size."""
-    split = [(t or b"").translate(ASCII_LOWER).split() for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    doc = np.repeat(np.arange(len(split)), counts)
-    hashes = worker_store(("hashes",), WordHashes)
-    h = np.concatenate([hashes.of(w) for w in split]) if len(doc) else np.empty(0, np.uint64)
+    drop_stores()
+    hashed = [word_hashes((t or b"").translate(ASCII_LOWER).split()) for t in texts]
+    counts = np.fromiter(map(len, hashed), np.int64, len(hashed))
+    doc = np.repeat(np.arange(len(hashed)), counts)
+    h = np.concatenate(hashed) if len(doc) else np.empty(0, np.uint64)
+    del hashed
     full = windows(h, width)
     inside = doc[:len(full)] == doc[width - 1:] if len(full) else np.empty(0, bool)
     parts, owners = [full[inside]], [doc[:len(full)][inside]]
@@ -51,8 +52,8 @@ def sets_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarr
     if len(h):
         first = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
         h, doc = h[first], doc[first]
-    sizes = np.bincount(doc, minlength=len(split))
-    digest = np.zeros(len(split), np.uint64)
+    sizes = np.bincount(doc, minlength=len(texts))
+    digest = np.zeros(len(texts), np.uint64)
     if len(h):
         some = np.flatnonzero(sizes)
         with np.errstate(over="ignore"):

@@ -8,6 +8,7 @@ import random
 import struct
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -158,6 +159,20 @@ def test_pieces_stay_apart_as_in_a_merge():
     assert own.compatible_all(a, b).tolist() == want == own.compatible_all(a, b).tolist()
 
 
+def test_sets_keep_nothing_between_batches():
+    """Shingle sets of a million words, each once: a worker holds nothing of them afterwards, nor what it kept for another operator."""
+    from hazeline.llm import common, shingle_sets
+    common.worker_store(("other",), lambda: bytes(1000))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for a in range(0, 1_000_000, 50_000):
+        sizes = shingle_sets.sets_of([" ".join(f"W{i}" for i in range(a, a + 50_000)).encode(), b"a B", None], 4)[3]
+        assert sizes.tolist() == [49_997, 1, 0]
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert held < 4 << 20 and not common._store, held
+
+
 def test_a_dropped_store_goes_back_to_the_system():
     """A worker that turns to another operator is not larger than before the first one."""
     code = """
